@@ -36,7 +36,8 @@ SELECT event_id AS id,
   CASE WHEN event_type = 'click' THEN '/data/f' || CAST(event_id % 50 AS STRING) || '.txt' END
        AS file_path,
   CASE WHEN value > 300 THEN 'Critical' WHEN value > 200 THEN 'High'
-       WHEN value > 100 THEN 'Medium' ELSE 'Low' END AS severity
+       WHEN value > 100 THEN 'Medium' ELSE 'Low' END AS severity,
+  props AS content
 FROM {source}
 """
 
@@ -45,9 +46,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(EVENTS_SQL, source=read(spark, sf_dir, "events"))
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The common event table; one projection, no shuffle."""
-    flat = spark.sql(EVENTS_SQL, source=read(spark, sf_dir, "events"))
+    flat = _flat(spark, sf_dir)
     present = F.filter(
         F.array(
             F.struct(F.lit("status").alias("key"), F.col("status").alias("value")),
@@ -94,12 +99,8 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     The byte size is the total length of the events' properties, so it is a
     plain aggregate over the whole table.
     """
-    raw = read(spark, sf_dir, "events").select(
-        F.col("event_id").alias("id"), F.length("props").alias("size")
-    )
-    ev = events(spark, sf_dir).select("id", "case_id", "evidence_id", "source_type", "timestamp")
     return (
-        ev.join(raw, "id")
+        _flat(spark, sf_dir).withColumn("size", F.length("content"))
         .groupBy("case_id", "evidence_id")
         .agg(
             F.min("source_type").alias("evidence_type"),
@@ -117,3 +118,11 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
             "uploaded_at",
         )
     )
+
+
+def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The original record behind every event: its properties text."""
+    return _flat(spark, sf_dir).select(
+        "case_id", "evidence_id", F.col("id").alias("row_index"), "content",
+        F.lit(None).cast("string").alias("reject_reason"),
+    )
