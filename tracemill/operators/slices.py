@@ -145,3 +145,24 @@ def near_any(
         .withColumn(out, F.coalesce(hit, F.lit(False)))
         .drop("slice", "_same", "_before", "_after")
     )
+
+
+def number_rows(
+    df: DataFrame, keys: list[str], identity: list[str], out: str = "number", salts: int = 1024
+) -> DataFrame:
+    """Numbers 1..n per group in a fixed pseudo-random order of ``identity``.
+
+    Rows are ranked inside (group, salt); the counts of the salts before, at
+    most ``salts`` rows per group, are added on top.
+    """
+    hashed = df.withColumn("_hash", F.xxhash64(*identity)).withColumn("_salt", F.pmod("_hash", F.lit(salts)))
+    counts = hashed.groupBy(*keys, "_salt").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*keys, "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy(*keys, "_salt").orderBy("_hash", *identity)
+    return (
+        hashed.withColumn("_rank", F.row_number().over(inside))
+        .join(offsets, [*keys, "_salt"])
+        .withColumn(out, F.col("_offset") + F.col("_rank"))
+        .drop("_hash", "_salt", "_rank", "_offset")
+    )
