@@ -107,7 +107,10 @@ def fold_reviews(actions: DataFrame, findings: DataFrame) -> tuple[DataFrame, Da
         F.when(F.col("known").isNull(), "FINDING_NOT_FOUND")
         .when(F.col("to_status") == F.col("from_status"), "FINDING_STATUS_UNCHANGED")
         .when(~F.col("counts"), "FINDING_STATUS_TRANSITION"),
-    ).withColumn("accepted", F.col("reject_code").isNull())
+    ).withColumns({
+        "accepted": F.col("reject_code").isNull(),
+        "from_status": F.when(F.col("known"), F.col("from_status")),
+    })
     final = last.groupBy(*key).agg(F.max(F.struct("slice", "last_status")).alias("f"))
     statuses = known.join(final, key, "left").select(
         *key, F.coalesce("f.last_status", F.lit("New")).alias("status")
