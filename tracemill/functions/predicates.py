@@ -90,9 +90,28 @@ def confidence_band(confidence: Column) -> Column:
 
 
 def micros(ts: Column) -> Column:
-    """Microseconds since 1970 of a naive timestamp, whatever the session zone."""
-    return F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'"), ts)
+    """Microseconds since 1970 of a naive timestamp.
+
+    Built from the date and clock fields, so the session zone (and its clock
+    changes) has no part in it.
+    """
+    seconds = F.unix_date(ts.cast("date")) * F.lit(86_400).cast("long") + F.hour(ts) * 3600 + F.minute(ts) * 60
+    return seconds * 1_000_000 + (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("long")
 
 
 def from_micros(us: Column) -> Column:
     return F.timestamp_add("MICROSECOND", us, F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'"))
+
+
+def stamp(ts: Column | str) -> Column:
+    """``yyyy-MM-dd HH:mm:ss`` of a naive timestamp."""
+    return F.substring(_text(ts), 1, 19)
+
+
+def clock(ts: Column | str) -> Column:
+    """``HH:mm`` of a naive timestamp."""
+    return F.substring(_text(ts), 12, 5)
+
+
+def _text(ts: Column | str) -> Column:
+    return (F.col(ts) if isinstance(ts, str) else ts).cast("string")

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracemill.functions import predicates as P
 from tracemill.operators.features import window_start
 from tracemill.operators.slices import top_k_per_group
 from tracemill.schema import FEATURE_NAMES, AnomalyParams
@@ -85,7 +86,7 @@ def raw_scores(windows: DataFrame, forests: DataFrame, p: AnomalyParams = Anomal
     against the case's forest.
     """
     cols = list(FEATURE_NAMES)
-    month = F.date_format("window_start", "yyyyMM")
+    month = F.substring(P.stamp("window_start"), 1, 7)
     rows = windows.select("case_id", "window_start", month.alias("month"), *cols)
     months = windows.select(
         F.col("case_id").alias("slab_case"), month.alias("slab_month")
@@ -182,7 +183,6 @@ def annotate_events(events: DataFrame, scored: DataFrame, p: AnomalyParams = Ano
 
 def ml_windows(scored: DataFrame, p: AnomalyParams = AnomalyParams()) -> DataFrame:
     """The first flagged windows of every case, with severity and title."""
-    hhmm = lambda c: F.date_format(c, "HH:mm")
     top = top_k_per_group(
         scored.filter("flagged"), ["case_id"], [F.asc("window_start")], p.max_findings,
         rank="ml_rank", salt_on=["window_start"],
@@ -191,11 +191,11 @@ def ml_windows(scored: DataFrame, p: AnomalyParams = AnomalyParams()) -> DataFra
         {
             "severity": F.when(F.col("score") >= p.high_score, "High").otherwise("Medium"),
             "title": F.concat(
-                F.lit("Anomalous activity window "), hhmm("window_start"), F.lit("–"), hhmm("window_end")
+                F.lit("Anomalous activity window "), P.clock("window_start"), F.lit("–"), P.clock("window_end")
             ),
             "explanation": F.concat(
-                F.lit("Window "), F.date_format("window_start", "yyyy-MM-dd HH:mm"), F.lit("–"),
-                hhmm("window_end"), F.lit(" has an anomaly score of "), F.format_string("%.3f", "score"),
+                F.lit("Window "), F.substring(P.stamp("window_start"), 1, 16), F.lit("–"),
+                P.clock("window_end"), F.lit(" has an anomaly score of "), F.format_string("%.3f", "score"),
                 F.lit(f" against a detection threshold of {p.threshold:.2f}; the raw model score also "
                       f"sits below the case reference gate (mean - {p.z_sigmas:g}·std)."),
             ),

@@ -42,7 +42,7 @@ def graph(
     event_nodes = flagged.select(
         "case_id", F.col("event_uid").alias("node_id"), F.lit("event").alias("node_type"),
         F.when(label != "", label).otherwise(F.col("event_uid")).alias("label"),
-        F.coalesce(F.col("timestamp").cast("string"), F.lit("no timestamp")).alias("detail"),
+        F.coalesce(F.replace(F.col("timestamp").cast("string"), F.lit(" "), F.lit("T")), F.lit("no timestamp")).alias("detail"),
         none.alias("severity"),
         F.when(F.col("rule_seen"), "SUSPICIOUS").when(tagged | F.col("is_anomalous"), "NOTABLE")
         .alias("significance"),

@@ -265,11 +265,10 @@ def groups(
         .otherwise(F.concat(F.lit("Cross-source activity group — "),
                             F.coalesce("subject", F.lit("multiple sources"))))
     )
-    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
     word = F.coalesce(P.lookup(F.col("only_source"), SOURCE_WORDS), F.lit("cross-source"))
     explanation = F.concat(
         F.col("members").cast("string"), F.lit(" "), word, F.lit(" event(s) between "),
-        stamp("time_start"), F.lit(" and "), stamp("time_end"), F.lit(" linked by "),
+        P.stamp("time_start"), F.lit(" and "), P.stamp("time_end"), F.lit(" linked by "),
         F.coalesce("link_count", F.lit(0)).cast("string"), F.lit(" correlation(s) ("),
         F.array_join(F.coalesce("types", F.array().cast("array<string>")), ", "),
         F.lit(f") inside the {p.window_seconds}-second window. {CORRELATION_NOTE}"),

@@ -191,7 +191,7 @@ def facts(t: CaseTables, p: ViewParams = ViewParams()) -> DataFrame:
         parts.append(_facts(files, intent, F.col("ref"), 3, F.col("evidence_id"), _evidence_line(),
                             F.lit("evidence"), F.col("evidence_id")))
 
-    when = F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss")
+    when = P.stamp("timestamp")
     who = F.concat_ws("@", "user", "host")
     entry_line = _say(when, " - ", F.col("event_uid"), " [", F.col("source_type"), "/", F.col("event_type"), "]",
                       F.when(who != "", F.concat(F.lit(" ("), who, F.lit(")"))).otherwise(""))
@@ -204,7 +204,7 @@ def facts(t: CaseTables, p: ViewParams = ViewParams()) -> DataFrame:
         "case_id", (F.col("position") + F.col("at")).alias("center"), "position", "line", "event_uid")
     centers = entries.select("case_id", F.col("position").alias("center"), F.col("event_uid").alias("ref"))
     around = around.join(centers, ["case_id", "center"])
-    minute = entries.withColumn("ref", F.date_format("timestamp", "HH:mm"))
+    minute = entries.withColumn("ref", P.clock("timestamp"))
     minute = top_k_per_group(minute, ["case_id", "ref"], [F.asc("position")], top, salt_on=["id"])
     order = F.lpad(F.col("position").cast("string"), 6, "0")
     for df, ref in ((flagged, blank), (around, F.col("ref")), (minute, F.col("ref"))):

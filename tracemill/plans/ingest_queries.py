@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tracemill import adapter
 from tracemill.functions import records as R
+from tracemill.functions.predicates import micros
 from tracemill.functions.timestamps import parse_timestamp
 from tracemill.operators import casework, rollups
 from tracemill.plans.process import Processed, process, rejected_view
@@ -138,8 +139,8 @@ def ts_formats(spark, d):
 
 
 def epoch_formats(spark, d):
-    rows = adapter.read(spark, d, "events").selectExpr(
-        "event_id", "CAST(timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01', ts) DIV 1000 AS STRING) AS ms")
+    ms = F.floor(micros(F.col("ts")) / 1000).cast("string")
+    rows = adapter.read(spark, d, "events").select("event_id", ms.alias("ms"))
     text = F.when(F.col("event_id") % 2 == 0, F.col("ms")).otherwise(F.expr("substring(ms, 1, 10)"))
     return rows.select("event_id", parse_timestamp(text)["value"].alias("value"))
 
