@@ -61,11 +61,12 @@ def star_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star steps: each needs one minimum per
     node and one join, so a hub is never gathered, and the number of rounds
-    grows with the logarithm of the graph, not with its diameter. Lineage is
-    cut each round; only the changed-edge count reaches the driver.
+    grows with the logarithm of the graph, not with its diameter. The steps
+    keep the components, so the work is done when every edge points at a node
+    without an edge of its own. Lineage is cut each round; only the answer to
+    that test reaches the driver.
     """
-    cur = edges.select("src", "dst").filter("src <> dst").distinct()
-    cur = reliable_checkpoint(cur)
+    cur = reliable_checkpoint(edges.select("src", "dst").filter("src <> dst").distinct())
     for _ in range(max_rounds):
         both = cur.unionByName(cur.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         low = both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("m"))
@@ -73,19 +74,16 @@ def star_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             both.join(low, "src").filter(F.col("dst") > F.col("src"))
             .select(F.col("dst").alias("src"), F.col("m").alias("dst")).distinct()
         )
-        down = large.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
-        small_low = down.groupBy("src").agg(F.min("dst").alias("m"))
-        nxt = (
-            down.join(small_low, "src")
+        small_low = large.groupBy("src").agg(F.min("dst").alias("m"))
+        cur = reliable_checkpoint(
+            large.join(small_low, "src")
             .select(F.explode(F.array(
                 F.struct(F.col("dst").alias("src"), F.col("m").alias("dst")),
                 F.struct(F.col("src"), F.col("m").alias("dst")))).alias("e"))
             .select("e.src", "e.dst").filter("src <> dst").distinct()
         )
-        nxt = reliable_checkpoint(nxt)
-        changed = nxt.exceptAll(cur).limit(1).count() + cur.exceptAll(nxt).limit(1).count()
-        cur = nxt
-        if changed == 0:
+        inner = cur.join(cur.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+        if inner.isEmpty():
             break
     else:
         raise RuntimeError("components did not settle")

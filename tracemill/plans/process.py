@@ -14,12 +14,6 @@ from tracemill.session import reliable_checkpoint
 from tracemill.sources.decode import decode_files
 
 KEY = ["case_id", "evidence_id"]
-INTEGRITY_ERROR = (
-    "Evidence integrity mismatch — processing aborted because the stored file no longer matches its "
-    "recorded SHA-256."
-)
-
-
 @dataclass(frozen=True)
 class Processed:
     raw_records: DataFrame  # every record, rejects with their reason
@@ -28,17 +22,9 @@ class Processed:
     members: DataFrame      # archive member inventory
 
 
-def split_by_hash(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(intact, altered): recompute the hash against the recorded one."""
-    hashed = files.withColumn("computed_hash", F.sha2("content", 256))
-    same = F.coalesce(F.col("computed_hash") == F.col("recorded_sha256"), F.lit(False))
-    return hashed.filter(same), hashed.filter(~same)
-
-
-def read_records(decoded: DataFrame, files: DataFrame, p: IngestParams = IngestParams()) -> DataFrame:
+def read_records(decoded: DataFrame, p: IngestParams = IngestParams()) -> DataFrame:
     """One row per record, mapped to the common schema or carrying a reject reason."""
-    declared = files.select(*KEY, "declared_type")
-    typed = decoded.join(declared, KEY).withColumn(
+    typed = decoded.withColumn(
         "source_type",
         R.detect_source(
             F.col("columns"),
@@ -61,7 +47,7 @@ def read_records(decoded: DataFrame, files: DataFrame, p: IngestParams = IngestP
 
 
 def file_errors(decoded: DataFrame) -> DataFrame:
-    """Evidence whose file (or an archive member) cannot be classified."""
+    """One row per evidence file; ``error`` when it (or an archive member) cannot be read."""
     unknown = (F.size("columns") > 0) & R.detect_source(F.col("columns"), F.lit("")).isNull()
     error = F.coalesce("error", F.when(unknown, F.lit(R.NO_TIMESTAMP)))
     return decoded.groupBy(*KEY).agg(
@@ -79,11 +65,10 @@ def process(files: DataFrame, p: IngestParams = IngestParams()) -> Processed:
     recorded_sha256. Per-file steps stay bounded by the admission size and the
     record cap; numbering inside a case only sums per-file counts.
     """
-    intact, altered = split_by_hash(files)
-    decoded = reliable_checkpoint(decode_files(intact, p))
-    errors = file_errors(decoded)
+    decoded = reliable_checkpoint(decode_files(files, p))
+    errors = reliable_checkpoint(file_errors(decoded))
     good = decoded.join(errors.filter("error is null").select(*KEY), KEY, "left_semi")
-    rows = reliable_checkpoint(read_records(good, intact, p))
+    rows = reliable_checkpoint(read_records(good, p))
 
     accepted = rows.filter("reject_reason is null")
     per_file = accepted.groupBy(*KEY).agg(F.count("*").alias("n"))
@@ -109,9 +94,8 @@ def process(files: DataFrame, p: IngestParams = IngestParams()) -> Processed:
     ).withColumn("dedupe_hash", fingerprint())
     events = mark_duplicates(shaped, KEY, "row_index", "event_uid")
 
-    received = decoded.select(*KEY, F.size("records").alias("n"), F.transform(
-        "records", lambda r: r["row_index"]).alias("ix")).groupBy(*KEY).agg(
-        F.sum(F.size(F.filter("ix", lambda i: i > p.max_records))).alias("dropped"))
+    over_cap = F.size(F.filter("records", lambda r: r["row_index"] > p.max_records))
+    received = decoded.groupBy(*KEY).agg(F.sum(over_cap).alias("dropped"))
     counts = rows.groupBy(*KEY).agg(
         F.count("*").alias("records_received"),
         F.count_if(F.col("parse_error").isNull()).alias("records_parsed"),
@@ -122,11 +106,8 @@ def process(files: DataFrame, p: IngestParams = IngestParams()) -> Processed:
     copies = events.groupBy(*KEY).agg(F.count_if(F.col("duplicate_of").isNotNull()).alias("duplicates_detected"))
     names = ("records_received", "records_parsed", "records_normalized", "records_rejected", "duplicates_detected", "dropped")
     joined = (
-        files.select(*KEY)
-        .join(errors, KEY, "left").join(counts, KEY, "left").join(copies, KEY, "left")
-        .join(received, KEY, "left").join(altered.select(*KEY, F.lit(INTEGRITY_ERROR).alias("altered")), KEY, "left")
+        errors.join(counts, KEY, "left").join(copies, KEY, "left").join(received, KEY, "left")
         .withColumns({c: F.coalesce(c, F.lit(0)) for c in names})
-        .withColumn("error", F.coalesce("altered", "error"))
     )
     truncated = F.col("dropped") > 0
     status = (
