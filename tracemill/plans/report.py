@@ -240,7 +240,7 @@ def report_sections(t: ReportTables) -> DataFrame:
 
 def snapshots(t: ReportTables, previous: DataFrame, generated_at: str) -> DataFrame:
     """One immutable snapshot row per case, numbered after ``previous``."""
-    last = previous.groupBy("case_id").agg(F.max(F.substring("report_uid", 5, 20).cast("int")).alias("last"))
+    last = previous.groupBy("case_id").agg(F.max(F.substring("report_uid", 5, 20).try_cast("int")).alias("last"))
     number = F.coalesce("last", F.lit(0)) + 1
     body = F.to_json(F.struct(*SECTIONS), {"ignoreNullFields": "false"})
     return report_sections(t).join(last, "case_id", "left").select(

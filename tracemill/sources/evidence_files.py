@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions.timestamps import strip
@@ -23,7 +23,11 @@ PEEK = 8192
 
 
 def scan_evidence(spark: SparkSession, path: str) -> DataFrame:
-    """Files under ``path`` with size and SHA-256 (S1). Expects case=<id> folders or adds none."""
+    """Files under ``path`` with size and SHA-256.
+
+    Spark's file scan leaves out files of zero bytes; ``with_empty`` brings
+    them back where a listing of the expected names exists.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select(
         "path",
@@ -35,6 +39,19 @@ def scan_evidence(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def with_empty(scanned: DataFrame, expected: DataFrame) -> DataFrame:
+    """Every expected ``filename``; one the scan did not see has no bytes."""
+    nothing = F.lit(b"")
+    return (
+        expected.select("filename").join(scanned, "filename", "left")
+        .withColumns({
+            "content": F.coalesce("content", nothing),
+            "file_size": F.coalesce("file_size", F.lit(0)),
+            "sha256": F.coalesce("sha256", F.sha2(nothing, 256)),
+        })
+    )
+
+
 def safe_name(c):
     """Base name without control or reserved characters, no leading dots, at most 200 long."""
     name = F.element_at(F.split(F.regexp_replace(c, r"[/\\]+$", ""), r"[/\\]"), -1)
@@ -112,10 +129,8 @@ def split_new(incoming: DataFrame, manifest: DataFrame) -> tuple[DataFrame, Data
 
 def evidence_ids(incoming: DataFrame, manifest: DataFrame) -> DataFrame:
     """EV-0001 style ids per case, continuing after the manifest's greatest number."""
-    from pyspark.sql import Window
-
     last = manifest.groupBy("case_id").agg(
-        F.max(F.substring("evidence_id", 4, 20).cast("int")).alias("last")
+        F.max(F.substring("evidence_id", 4, 20).try_cast("int")).alias("last")
     )
     order = Window.partitionBy("case_id").orderBy("path")
     number = F.coalesce("last", F.lit(0)) + F.row_number().over(order)
