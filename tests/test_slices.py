@@ -53,7 +53,7 @@ def test_near_any(spark):
 def test_top_k_and_numbering(spark):
     rows = [("hot" if i % 3 else "cold", i, i * 7 % 101) for i in range(500)]
     df = spark.createDataFrame(rows, "k string, id long, v long")
-    got = S.top_k_per_group(df, ["k"], [F.desc("v"), F.asc("id")], 9, salt_on=["id"]).collect()
+    got = S.top_k_per_group(df, ["k"], [F.desc("v"), F.asc("id")], 9).collect()
     for k in ("hot", "cold"):
         want = sorted((r for r in rows if r[0] == k), key=lambda r: (-r[2], r[1]))[:9]
         assert [(r.k, r.id, r.v) for r in sorted((r for r in got if r.k == k), key=lambda r: r.rank)] == want

@@ -55,7 +55,7 @@ def fit_forests(windows: DataFrame, p: AnomalyParams = AnomalyParams()) -> DataF
     draw = F.xxhash64("case_id", "window_start", F.lit(p.seed))
     pool = top_k_per_group(
         windows.select("case_id", "window_start", *cols).withColumn("draw", draw),
-        ["case_id"], [F.asc("draw"), F.asc("window_start")], _POOL, salt_on=["window_start"],
+        ["case_id"], [F.asc("draw"), F.asc("window_start")], _POOL,
     )
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -185,7 +185,7 @@ def ml_windows(scored: DataFrame, p: AnomalyParams = AnomalyParams()) -> DataFra
     """The first flagged windows of every case, with severity and title."""
     top = top_k_per_group(
         scored.filter("flagged"), ["case_id"], [F.asc("window_start")], p.max_findings,
-        rank="ml_rank", salt_on=["window_start"],
+        rank="ml_rank",
     )
     return top.withColumns(
         {

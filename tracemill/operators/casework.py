@@ -79,30 +79,31 @@ def fold_reviews(actions: DataFrame, findings: DataFrame) -> tuple[DataFrame, Da
     with the last row of earlier slices carried over.
     """
     key = ["case_id", "finding_uid"]
+    moves = F.col("to_status").isin("Under Review", "Confirmed", "Dismissed")
     known = findings.select(*key)
-    first = (
-        actions.filter(F.col("to_status") == "Under Review").groupBy(*key).agg(F.min("seq").alias("first_seq"))
+    sliced = actions.withColumn("slice", F.floor(F.col("seq") / _SEQ_SLICE))
+    # One row per (finding, slice): everything an action needs from outside its slice.
+    per_slice = sliced.groupBy(*key, "slice").agg(
+        F.min(F.when(F.col("to_status") == "Under Review", F.col("seq"))).alias("first_here"),
+        F.max(F.when(moves, F.struct("seq", "to_status"))).alias("last_move"),
     )
-    slice_ = F.floor(F.col("seq") / _SEQ_SLICE)
-    rows = (
-        actions.join(known.withColumn("known", F.lit(True)), key, "left").join(first, key, "left")
-        .withColumn("slice", slice_)
-        .withColumn("counts", F.coalesce(
-            (F.col("seq") >= F.col("first_seq")) & F.col("to_status").isin("Under Review", "Confirmed", "Dismissed"),
-            F.lit(False)))
+    first = per_slice.groupBy(*key).agg(F.min("first_here").alias("first_seq"))
+    reached = F.coalesce(F.col("last_move.seq") >= F.col("first_seq"), F.lit(False))
+    earlier = Window.partitionBy(*key).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    outside = (
+        per_slice.join(first, key)
+        .join(known.withColumn("known", F.lit(True)), key, "left")
+        .withColumn("last_status", F.when(reached, F.col("last_move.to_status")))
+        .withColumn("carried", F.last("last_status", ignorenulls=True).over(earlier))
+        .drop("first_here", "last_move")
+    )
+    rows = sliced.join(outside, [*key, "slice"]).withColumn(
+        "counts", F.coalesce((F.col("seq") >= F.col("first_seq")) & moves, F.lit(False))
     )
     effect = F.when(F.col("counts"), F.col("to_status"))
     inside = Window.partitionBy(*key, "slice").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    last = (
-        rows.filter("counts").groupBy(*key, "slice").agg(F.max(F.struct("seq", "to_status")).alias("l"))
-        .select(*key, "slice", F.col("l.to_status").alias("last_status"))
-    )
-    earlier = Window.partitionBy(*key).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    every = rows.select(*key, "slice").distinct().join(last, [*key, "slice"], "left").withColumn(
-        "carried", F.last("last_status", ignorenulls=True).over(earlier)
-    ).select(*key, "slice", "carried")
     before = F.coalesce(F.last(effect, ignorenulls=True).over(inside), F.col("carried"), F.lit("New"))
-    decided = rows.join(every, [*key, "slice"]).withColumn("from_status", before).withColumn(
+    decided = rows.withColumn("from_status", before).withColumn(
         "reject_code",
         F.when(F.col("known").isNull(), "FINDING_NOT_FOUND")
         .when(F.col("to_status") == F.col("from_status"), "FINDING_STATUS_UNCHANGED")
@@ -111,7 +112,9 @@ def fold_reviews(actions: DataFrame, findings: DataFrame) -> tuple[DataFrame, Da
         "accepted": F.col("reject_code").isNull(),
         "from_status": F.when(F.col("known"), F.col("from_status")),
     })
-    final = last.groupBy(*key).agg(F.max(F.struct("slice", "last_status")).alias("f"))
+    final = outside.filter("last_status is not null").groupBy(*key).agg(
+        F.max(F.struct("slice", "last_status")).alias("f")
+    )
     statuses = known.join(final, key, "left").select(
         *key, F.coalesce("f.last_status", F.lit("New")).alias("status")
     )

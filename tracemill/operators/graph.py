@@ -69,8 +69,7 @@ def graph(
     candidates = evidence_nodes.unionByName(finding_nodes).unionByName(event_nodes, allowMissingColumns=True)
     order = [F.asc("layer"), F.asc("o1"), F.asc("o2"), F.asc("o3")]
     nodes = reliable_checkpoint(
-        top_k_per_group(candidates, ["case_id"], order, p.graph_max_nodes, rank="node_rank",
-                        salt_on=["node_id"])
+        top_k_per_group(candidates, ["case_id"], order, p.graph_max_nodes, rank="node_rank")
     )
     # The node cap bounds every later join input.
     shown = nodes.filter("node_type = 'event'").select("case_id", "id", F.col("node_id").alias("event_uid"))
@@ -110,7 +109,7 @@ def graph(
     )
     edges = top_k_per_group(
         all_edges, ["case_id"], [F.asc("part"), F.asc("o1"), F.asc("o2"), F.asc("o3")],
-        p.graph_max_edges, rank="edge_rank", salt_on=["source", "target"],
+        p.graph_max_edges, rank="edge_rank",
     )
     node_totals = candidates.groupBy("case_id").agg(F.count("*").alias("nodes_total"))
     edge_totals = all_edges.groupBy("case_id").agg(F.count("*").alias("edges_total"))

@@ -201,7 +201,7 @@ def groups(
     grouped = ev.join(components, ["case_id", "id"])
     key = ["case_id", "component"]
     kept = top_k_per_group(
-        grouped, key, [F.asc("timestamp"), F.asc("id")], p.max_members, rank="position", salt_on=["id"]
+        grouped, key, [F.asc("timestamp"), F.asc("id")], p.max_members, rank="position"
     )
     kept = reliable_checkpoint(kept)
     kinds = kept.groupBy(*key).agg(
@@ -283,7 +283,7 @@ def groups(
     top = top_k_per_group(
         titled, ["case_id"],
         [F.asc("time_start"), F.desc("members"), F.asc("title"), F.asc("component")],
-        p.max_groups, rank="group_rank", salt_on=["component"],
+        p.max_groups, rank="group_rank",
     ).withColumn("group_uid", F.concat(F.lit("GRP-"), F.lpad(F.col("group_rank").cast("string"), 6, "0")))
     out = reliable_checkpoint(top)
     members = kept.join(out.select(*key, "group_uid"), key).select(

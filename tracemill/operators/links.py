@@ -22,12 +22,14 @@ from tracemill.functions import predicates as P
 from tracemill.functions.network import external_ip
 from tracemill.operators.slices import sliding, top_k_per_group
 from tracemill.schema import CONFIDENCE_BANDS, CORRELATION_TYPES, LinkParams
+from tracemill.session import small_side
 
 _FIELDS = [
     "id", "event_uid", "evidence_id", "us", "source_type", "user", "host", "source_ip",
     "process", "file_path", "destination_ip", "external",
 ]
 _KEY = ["case_id", "kind", "value", "slice"]
+_PARTS = 32
 
 
 def dated_events(events: DataFrame) -> DataFrame:
@@ -98,6 +100,7 @@ def _prune_rows(rows: DataFrame, span_us: int, max_links: int) -> DataFrame:
 
     # Address groups: an event that is neither authentication nor network opens a
     # link only if such an event follows, in its slice or early in the next one.
+    # The lookup is repeated per salt, so a hot address slice is not one task.
     rows = rows.withColumn("strong", strong)
     ends = (
         rows.filter((F.col("kind") == "source_ip") & F.col("strong"))
@@ -109,20 +112,26 @@ def _prune_rows(rows: DataFrame, span_us: int, max_links: int) -> DataFrame:
             F.max(F.when(F.col("step") == 0, F.col("last"))).alias("last_strong"),
             F.min(F.when(F.col("step") == -1, F.col("first_us"))).alias("next_strong_us"),
         )
+        .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(_PARTS - 1))))
     )
     early = F.struct("us", "id") < F.col("last_strong")
     late = F.col("next_strong_us") - F.col("us") <= span_us
     group = (
-        F.when(F.col("strong"), "strong")
-        .when(F.coalesce(early, F.lit(False)), "early")
+        F.when(F.coalesce(early, F.lit(False)), "early")
         .when(F.coalesce(late, F.lit(False)), "late")
         .otherwise("closer")
     )
-    ranked = rows.join(ends, _KEY, "left").withColumn("group", group).drop(
-        "last_strong", "next_strong_us"
+    weak = (
+        rows.filter(~F.col("strong"))
+        .withColumn("part", F.pmod(F.xxhash64("id"), F.lit(_PARTS)).cast("int"))
+        .join(ends, [*_KEY, "part"], "left")
+        .withColumn("group", group)
+    )
+    ranked = rows.filter("strong").withColumn("group", F.lit("strong")).unionByName(
+        weak.select(*rows.columns, "group")
     )
     # Enough rows of each sort to close every kept link an opener starts.
-    kept = top_k_per_group(ranked, [*_KEY, "group"], order, openers + 2 * max_links, salt_on=["id"])
+    kept = top_k_per_group(ranked, [*_KEY, "group"], order, openers + 2 * max_links)
     opens = (
         F.when(F.col("group") == "strong", F.col("rank") <= openers)
         .when(F.col("group") == "closer", False)
@@ -186,7 +195,7 @@ def links(events: DataFrame, p: LinkParams = LinkParams()) -> DataFrame:
     """The first ``max_links`` links of every case, numbered in time order."""
     span = p.window_seconds * 1_000_000
     dated = dated_events(events)
-    last = _last_slices(dated, span, p.max_links)
+    last = small_side(_last_slices(dated, span, p.max_links))
     # A kept link opens at or before the last slice, so it closes one later at most.
     dated = (
         dated.join(last, "case_id", "left")
@@ -220,7 +229,7 @@ def links(events: DataFrame, p: LinkParams = LinkParams()) -> DataFrame:
     )
     order = [F.asc("a.us"), F.asc("a.id"), F.asc("b.us"), F.asc("b.id")]
     kept = top_k_per_group(
-        pairs, ["case_id"], order, p.max_links, rank="link_rank", salt_on=["a.id", "b.id"]
+        pairs, ["case_id"], order, p.max_links, rank="link_rank"
     )
     same = {c: F.coalesce(F.col(f"a.{c}") == F.col(f"b.{c}"), F.lit(False))
             for c in ("host", "user", "source_ip")}

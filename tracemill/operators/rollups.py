@@ -175,7 +175,7 @@ def review_queue(findings: DataFrame, limit: int = 50) -> DataFrame:
     """Open findings, most severe first, then by uid (creation order)."""
     open_items = findings.filter(F.col("status").isin(*OPEN_STATUSES))
     order = [F.desc(P.severity_rank(F.col("severity"))), F.asc("finding_uid")]
-    return top_k_per_group(open_items, ["case_id"], order, limit, rank="position", salt_on=["finding_uid"])
+    return top_k_per_group(open_items, ["case_id"], order, limit, rank="position")
 
 
 def integrity_headline(evidence: DataFrame, checks: DataFrame) -> DataFrame:

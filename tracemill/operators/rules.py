@@ -24,7 +24,7 @@ from tracemill.operators.slices import (
     top_k_per_group,
 )
 from tracemill.schema import RuleParams
-from tracemill.session import reliable_checkpoint
+from tracemill.session import reliable_checkpoint, small_side
 
 MINUTE_US = 60_000_000
 SCOPE = ["case_id", "scope_a", "scope_b"]
@@ -47,10 +47,11 @@ DEFAULT_SEVERITY = {
 
 @dataclass(frozen=True)
 class RuleOutput:
-    """Findings (one row each) and their supporting events (long form)."""
+    """Findings (one row each), their supporting events and named values (long form)."""
 
     findings: DataFrame
     finding_events: DataFrame
+    finding_values: DataFrame
 
 
 def _text(c: str) -> Column:
@@ -346,7 +347,6 @@ def cap_candidates(found: DataFrame, p: RuleParams = RuleParams()) -> DataFrame:
     order = [F.asc_nulls_first("start_us"), F.asc("scope_a"), F.asc("scope_b")]
     return top_k_per_group(
         found, ["case_id", "rule_id"], order, p.max_findings_per_rule, rank="rule_rank",
-        salt_on=["scope_a", "scope_b"],
     )
 
 
@@ -406,15 +406,14 @@ def members(events: DataFrame, found: DataFrame, p: RuleParams) -> DataFrame:
     return out.select(*SCOPE, "rule_id", *keep, "role", "tokens")
 
 
+# How many names a text spells out. Files and destinations end in
+# "…" beyond that, other lists say how many more there are.
 _LISTED = {"files": 5, "destinations": 4}
+MAX_NAMES = 100
 
 
-def _facets(member_rows: DataFrame) -> DataFrame:
-    """Distinct values the finding texts spell out, as one map row per finding.
-
-    Values are made distinct before they are gathered; the two long lists
-    (files, destinations) are cut to what the text shows by a two-level top-k.
-    """
+def finding_values(member_rows: DataFrame) -> DataFrame:
+    """Every distinct value behind a finding's text, in long form and whole."""
     rid = F.col("rule_id")
     role = F.col("role")
     def facet(name: str, value: Column) -> Column:
@@ -446,12 +445,17 @@ def _facets(member_rows: DataFrame) -> DataFrame:
         .groupBy(*key, F.col("f.facet").alias("facet"), F.col("f.value").alias("value"))
         .agg(F.count("*").alias("n"))
     )
-    long_lists = F.col("facet").isin(*_LISTED)
-    cut = top_k_per_group(
-        values.filter(long_lists), [*key, "facet"], [F.asc("value")], max(_LISTED.values()),
-        salt_on=["value"],
-    )
-    shown = values.filter(~long_lists).unionByName(cut.drop("rank"))
+    return values
+
+
+def _facets(values: DataFrame) -> DataFrame:
+    """What the texts spell out, as one map row per finding.
+
+    Only the first names of a list are gathered, by a two-level top-k; the
+    totals are counted.
+    """
+    key = [*SCOPE, "rule_id"]
+    shown = top_k_per_group(values, [*key, "facet"], [F.asc("value")], MAX_NAMES)
     lists = shown.groupBy(*key, "facet").agg(
         F.sort_array(F.collect_list(F.struct("value", "n"))).alias("items")
     )
@@ -466,18 +470,28 @@ def _facets(member_rows: DataFrame) -> DataFrame:
     )
 
 
+def _total(facet: str) -> Column:
+    return F.coalesce(F.try_element_at("totals", F.lit(facet)), F.lit(0))
+
+
+def _rest(facet: str) -> Column:
+    """Empty, or how many names are not spelled out."""
+    left = _total(facet) - MAX_NAMES
+    return F.when(left > 0, F.concat(F.lit(", … ("), left.cast("string"), F.lit(" more)"))).otherwise("")
+
+
 def _joined(facet: str, sep: str = ", ") -> Column:
     items = F.coalesce(
         F.try_element_at("lists", F.lit(facet)), F.array().cast("array<struct<value:string,n:bigint>>")
     )
     if facet in _LISTED:
         items = F.slice(items, 1, _LISTED[facet])
-    return F.array_join(F.transform(items, lambda i: i["value"]), sep)
+    text = F.array_join(F.transform(items, lambda i: i["value"]), sep)
+    return text if facet in _LISTED else F.concat(text, _rest(facet))
 
 
 def _more(facet: str) -> Column:
-    total = F.coalesce(F.try_element_at("totals", F.lit(facet)), F.lit(0))
-    return F.when(total > _LISTED[facet], F.lit("…")).otherwise(F.lit(""))
+    return F.when(_total(facet) > _LISTED[facet], F.lit("…")).otherwise(F.lit(""))
 
 
 def _texts(p: RuleParams) -> tuple[Column, Column]:
@@ -490,6 +504,7 @@ def _texts(p: RuleParams) -> tuple[Column, Column]:
     actions = F.array_join(
         F.transform(F.try_element_at("lists", F.lit("actions")),
                     lambda i: F.concat(i["value"], F.lit("="), i["n"].cast("string"))), ", ")
+    actions = F.concat(actions, _rest("actions"))
     addresses = F.transform(
         F.try_element_at("lists", F.lit("addresses")), lambda i: F.substring(i["value"], 22, 64))
     first_ip, second_ip = F.get(addresses, F.lit(0)), F.get(addresses, F.lit(1))
@@ -499,7 +514,7 @@ def _texts(p: RuleParams) -> tuple[Column, Column]:
     scope = F.concat_ws(
         " / ", F.when(a != "", F.concat(F.lit("host "), a)), F.when(b != "", F.concat(F.lit("user "), b)))
     scope = F.when(scope != "", scope).otherwise("unattributed scope")
-    files = F.coalesce(F.try_element_at("totals", F.lit("files")), F.lit(0)).cast("string")
+    files = _total("files").cast("string")
 
     def say(*parts) -> Column:
         return F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
@@ -578,20 +593,22 @@ def run_rules(events: DataFrame, p: RuleParams = RuleParams()) -> RuleOutput:
     """All rules over all cases: capped findings with text, and their members.
 
     The capped candidates (at most 70 rows per case) and the members feed
-    several branches, so each is computed once and cut from its lineage.
+    several branches, so each is computed once and cut from its lineage. The
+    events are not shuffled for the member join while the candidates are few.
     """
-    kept = reliable_checkpoint(cap_candidates(candidates(events, p), p))
+    kept = small_side(cap_candidates(candidates(events, p), p))
     rows = reliable_checkpoint(members(events, kept, p))
     key = [*SCOPE, "rule_id"]
     explanation, reasons = _texts(p)
     support = rows.groupBy(*key).agg(
-        F.count_distinct("id").alias("event_count"),
+        F.count("*").alias("event_count"),
         F.count_distinct("evidence_id").alias("distinct_evidence"),
     )
+    values = finding_values(rows)
     title = P.lookup(F.col("rule_id"), TITLES)
     findings = (
         kept.join(support, key)
-        .join(_facets(rows), key, "left")
+        .join(_facets(values), key, "left")
         .select(
             *key,
             title.alias("title"),
@@ -606,7 +623,7 @@ def run_rules(events: DataFrame, p: RuleParams = RuleParams()) -> RuleOutput:
         )
     )
     return RuleOutput(
-        findings, rows.select(*key, "id", "event_uid", "evidence_id", "timestamp").distinct()
+        findings, rows.select(*key, "id", "event_uid", "evidence_id", "timestamp"), values
     )
 
 

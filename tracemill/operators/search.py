@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracemill.functions import predicates as P
 from tracemill.operators.slices import top_k_per_group
+from tracemill.session import small_side
 
 MAX_PAGE = 500
 
@@ -44,9 +45,9 @@ def newest_events(events: DataFrame, limit: int = 100, offset: int = 0) -> DataF
     return page(events, [F.desc_nulls_last("timestamp"), F.desc("id")], limit, offset)
 
 
-def page_per_case(df: DataFrame, order: list[Column], limit: int, salt_on: list[str]) -> DataFrame:
+def page_per_case(df: DataFrame, order: list[Column], limit: int) -> DataFrame:
     """The first page of every case at once."""
-    return top_k_per_group(df, ["case_id"], order, limit, rank="position", salt_on=salt_on)
+    return top_k_per_group(df, ["case_id"], order, limit, rank="position")
 
 
 def event_detail(events: DataFrame, raw_records: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -67,14 +68,17 @@ def trace(
         "case_id", "finding_uid", "kind", "title", "severity", "status",
         F.when(F.size("reasons") > 0, F.col("reasons")).otherwise(F.array("explanation")).alias("reason"),
     )
-    rows = finding_events.select("case_id", "finding_uid", "id")
+    head = small_side(head)
+    rows = finding_events.select("case_id", "finding_uid", "id").join(head, ["case_id", "finding_uid"])
     detail = events.select(
         "case_id", "id", "event_uid", "timestamp", "source_type", "event_type", "user", "host", "action",
         "evidence_id", "row_index",
     )
-    return event_detail(rows.join(detail, ["case_id", "id"]), raw_records, evidence).join(
-        head, ["case_id", "finding_uid"], "right"
+    chains = event_detail(rows.join(detail, ["case_id", "id"]), raw_records, evidence)
+    alone = head.join(
+        finding_events.select("case_id", "finding_uid").distinct(), ["case_id", "finding_uid"], "left_anti"
     )
+    return chains.unionByName(alone, allowMissingColumns=True)
 
 
 def filter_findings(
@@ -91,7 +95,7 @@ def filter_findings(
 def ranked_findings(findings: DataFrame, limit: int) -> DataFrame:
     """O3: most severe first per case, newest uid first among equals."""
     order = [F.desc(P.severity_rank(F.col("severity"))), F.desc("finding_uid")]
-    return page_per_case(findings, order, limit, ["finding_uid"])
+    return page_per_case(findings, order, limit)
 
 
 def latest_per_key(df: DataFrame, keys: list[str], newest: list[str]) -> DataFrame:

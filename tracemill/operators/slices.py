@@ -11,23 +11,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 64
-
-
 def top_k_per_group(
-    df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank",
-    salt_on: list[str] | None = None,
+    df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank"
 ) -> DataFrame:
     """The first ``k`` rows per group in ``order``, numbered from 1.
 
-    Two levels: per (group, salt), then per group over at most ``SALTS * k``
-    rows. Spark prunes both before their shuffle (WindowGroupLimit).
+    Two levels: per (group, salt), then per group over at most ``salts * k``
+    rows. The salt is the task a row comes from, so a task sends at most ``k``
+    rows of a group, all to one place (Spark prunes them before the shuffle, see
+    ``spark.sql.optimizer.windowGroupLimitThreshold``). Which salt a row gets
+    has no influence on the result; ``order`` must be total.
     """
-    salt = F.pmod(F.xxhash64(*(salt_on or df.columns)), F.lit(SALTS))
+    salts = 256 if k <= 1000 else 4096
     first = Window.partitionBy(*keys, "_salt").orderBy(*order)
     second = Window.partitionBy(*keys).orderBy(*order)
     return (
-        df.withColumn("_salt", salt)
+        df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
         .withColumn(rank, F.row_number().over(first))
         .filter(F.col(rank) <= k)
         .withColumn(rank, F.row_number().over(second))

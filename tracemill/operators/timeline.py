@@ -89,7 +89,6 @@ def timeline(
     kept = reliable_checkpoint(
         top_k_per_group(
             all_entries, ["case_id"], [F.asc("us"), F.asc("id")], p.timeline_max, rank="position",
-            salt_on=["id"],
         )
     )
     ids = kept.filter("tagged").select("case_id", "id")

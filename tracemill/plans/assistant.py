@@ -154,32 +154,31 @@ def facts(t: CaseTables, p: ViewParams = ViewParams()) -> DataFrame:
         "Case ", F.col("case_id"), ": ", F.col("title"), ". Status: ", F.col("status"), "; overall severity: ",
         F.col("severity"), ". Contains ", F.col("evidence_count"), " evidence file(s) and ", F.col("finding_count"),
         " finding(s) from the automated analysis."), F.lit("case"), F.col("case_id")))
-    first_files = top_k_per_group(t.evidence, ["case_id"], [F.asc("evidence_id")], top, salt_on=["evidence_id"])
+    first_files = top_k_per_group(t.evidence, ["case_id"], [F.asc("evidence_id")], top)
     parts.append(_facts(first_files, "CASE_SUMMARY", blank, 1, F.lpad(F.col("rank").cast("string"), 6, "0"), _evidence_line(),
                         F.lit("evidence"), F.col("evidence_id")))
 
     worst_first = [F.desc(P.severity_rank(F.col("severity"))), F.asc("finding_uid")]
-    important = top_k_per_group(t.findings, ["case_id"], worst_first, top, salt_on=["finding_uid"])
+    important = top_k_per_group(t.findings, ["case_id"], worst_first, top)
     parts.append(_facts(important, "TOP_FINDINGS", blank, 0, F.lpad(F.col("rank").cast("string"), 6, "0"), _heading(),
                         F.lit("finding"), F.col("finding_uid")))
 
     # The finding of a question without an id is the most severe, newest one.
     best = top_k_per_group(
         t.findings, ["case_id"], [F.desc(P.severity_rank(F.col("severity"))), F.desc("finding_uid")], 1,
-        salt_on=["finding_uid"],
     ).select("case_id", "finding_uid", F.lit("").alias("ref"))
     named = t.findings.select("case_id", "finding_uid", F.col("finding_uid").alias("ref")).unionByName(best)
     about = t.findings.join(named, ["case_id", "finding_uid"])
     rows = t.finding_events.join(
         t.events.select("case_id", "id", "source_type", "event_type"), ["case_id", "id"])
-    shown = top_k_per_group(rows, ["case_id", "finding_uid"], [F.asc("timestamp"), F.asc("id")], top, salt_on=["id"])
+    shown = top_k_per_group(rows, ["case_id", "finding_uid"], [F.asc("timestamp"), F.asc("id")], top)
     shown = shown.join(named, ["case_id", "finding_uid"])
     event_line = _say(F.col("event_uid"), ": ", F.col("source_type"), "/", F.col("event_type"))
     pad = F.lpad(F.col("rank").cast("string"), 6, "0")
     files = t.finding_events.select("case_id", "finding_uid", "evidence_id").distinct().join(
         t.evidence.select("case_id", "evidence_id", "original_filename", "evidence_type", "record_count"),
         ["case_id", "evidence_id"])
-    files = top_k_per_group(files, ["case_id", "finding_uid"], [F.asc("evidence_id")], top, salt_on=["evidence_id"])
+    files = top_k_per_group(files, ["case_id", "finding_uid"], [F.asc("evidence_id")], top)
     files = files.join(named, ["case_id", "finding_uid"])
     for intent in ("FINDING_EXPLANATION", "FINDING_TRACE", "EVIDENCE_SUPPORT"):
         parts.append(_facts(about, intent, F.col("ref"), 0, F.lit("0"), _heading(), F.lit("finding"), F.col("finding_uid")))
@@ -197,7 +196,7 @@ def facts(t: CaseTables, p: ViewParams = ViewParams()) -> DataFrame:
                       F.when(who != "", F.concat(F.lit(" ("), who, F.lit(")"))).otherwise(""))
     entries = t.entries.withColumn("line", entry_line).withColumn(
         "flagged", (F.size("finding_ids") > 0) | (F.size("correlation_ids") > 0) | F.col("is_anomalous"))
-    flagged = top_k_per_group(entries, ["case_id"], [F.desc("flagged"), F.asc("position")], top, salt_on=["id"])
+    flagged = top_k_per_group(entries, ["case_id"], [F.desc("flagged"), F.asc("position")], top)
     any_flag = flagged.groupBy("case_id").agg(F.max("flagged").alias("any_flag"))
     flagged = flagged.join(any_flag, "case_id").filter(F.col("flagged") | ~F.col("any_flag"))
     around = entries.withColumn("at", F.explode(F.sequence(F.lit(-2), F.lit(2)))).select(
@@ -205,7 +204,7 @@ def facts(t: CaseTables, p: ViewParams = ViewParams()) -> DataFrame:
     centers = entries.select("case_id", F.col("position").alias("center"), F.col("event_uid").alias("ref"))
     around = around.join(centers, ["case_id", "center"])
     minute = entries.withColumn("ref", P.clock("timestamp"))
-    minute = top_k_per_group(minute, ["case_id", "ref"], [F.asc("position")], top, salt_on=["id"])
+    minute = top_k_per_group(minute, ["case_id", "ref"], [F.asc("position")], top)
     order = F.lpad(F.col("position").cast("string"), 6, "0")
     for df, ref in ((flagged, blank), (around, F.col("ref")), (minute, F.col("ref"))):
         parts.append(_facts(df, "TIMELINE_CONTEXT", ref, 0, order, F.col("line"), F.lit("event"), F.col("event_uid")))
@@ -231,7 +230,7 @@ def facts(t: CaseTables, p: ViewParams = ViewParams()) -> DataFrame:
         F.lit("finding"), F.col("finding_uid")))
 
     newest = [F.desc("finding_uid")]
-    waiting = top_k_per_group(t.findings.filter("status = 'New'"), ["case_id"], newest, top, salt_on=["finding_uid"])
+    waiting = top_k_per_group(t.findings.filter("status = 'New'"), ["case_id"], newest, top)
     counts = rollups.breakdown(t.findings, "status", ("New", "Under Review", "Confirmed", "Dismissed"), ["case_id"])
     parts.append(_facts(counts, "REVIEW_QUEUE", blank, 0, F.lit("0"), _say(
         F.col("status_new"), " finding(s) still need investigator review. Review status distribution: Confirmed=",
@@ -249,7 +248,7 @@ def facts(t: CaseTables, p: ViewParams = ViewParams()) -> DataFrame:
     parts.append(_facts(summed, "INTEGRITY_STATUS", blank, 0, F.lit("0"), _say(
         "Evidence integrity verification (SHA-256): verified: ", F.col("verified"), " file(s), pending verification: ",
         F.col("pending"), " file(s), hashes that did not match: ", F.col("MISMATCH"), " file(s)")))
-    each = top_k_per_group(latest, ["case_id", "state"], [F.asc("evidence_id")], top, salt_on=["evidence_id"])
+    each = top_k_per_group(latest, ["case_id", "state"], [F.asc("evidence_id")], top)
     parts.append(_facts(each, "INTEGRITY_STATUS", blank, 1,
                         F.concat(F.when(F.col("state") == "verified", "0").when(F.col("state") == "MISMATCH", "1").otherwise("2"), F.col("evidence_id")),
                         _say(F.col("state"), " ", F.col("evidence_id"), ": ", F.col("original_filename")),
@@ -340,4 +339,4 @@ def answers(classified: DataFrame, t: CaseTables, p: ViewParams = ViewParams())
 def history(log: DataFrame, limit: int = 100) -> DataFrame:
     """Newest questions per case."""
     return top_k_per_group(log, ["case_id"], [F.desc("asked_at"), F.desc("question_id")], limit,
-                           rank="position", salt_on=["question_id"])
+                           rank="position")

@@ -83,7 +83,7 @@ def notes_load(spark, d):
 
 def notes_newest(spark, d):
     good = casework.load_notes(note_rows(spark, d), Q.analysis(spark, d).findings).filter("reject_reason is null")
-    return search.page_per_case(good, [F.desc("created_at"), F.desc("note_id")], 20, ["note_id"]).select("case_id", "position", "note_id")
+    return search.page_per_case(good, [F.desc("created_at"), F.desc("note_id")], 20).select("case_id", "position", "note_id")
 
 
 def custody_log(spark, d):
@@ -218,11 +218,11 @@ def _report_tables(spark, d) -> report.ReportTables:
     a = Q.analysis(spark, d)
     tl, g = Q._timeline(spark, d), Q._graph(spark, d)
     ev, cases = adapter.evidence(spark, d), adapter.cases(spark, d)
-    chain = search.trace(a.findings, a.finding_events, a.events, adapter.raw_records(spark, d), ev)
     notes = casework.load_notes(note_rows(spark, d), a.findings).filter("reject_reason is null")
     synthetic = casework.synthetic_cases(cases, ev, adapter.raw_records(spark, d))
     return report.ReportTables(
-        cases, ev, checks(spark, d), csv_run(spark, d).runs, a.events, a.findings, chain, Q.found_links(spark, d),
+        cases, ev, checks(spark, d), csv_run(spark, d).runs, a.events, a.findings, a.finding_events, adapter.raw_records(spark, d),
+        Q.found_links(spark, d),
         Q.found_groups(spark, d)[0], tl.entries, tl.totals, g.nodes, g.edges, graph.table_rows(g), g.totals, a.stats, notes, synthetic)
 
 

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from tracemill import wording as W
 from tracemill.functions import predicates as P
-from tracemill.operators import rollups
+from tracemill.operators import rollups, search
 from tracemill.operators.slices import top_k_per_group
 from tracemill.schema import FINDING_STATUSES
+from tracemill.session import small_side
 
 MAX_LISTED, MAX_TRACED, MAX_GRAPH_ROWS, MAX_TRACE_EVENTS = 200, 50, 50, 200
 
@@ -33,7 +34,8 @@ class ReportTables:
     runs: DataFrame
     events: DataFrame
     findings: DataFrame
-    trace: DataFrame
+    finding_events: DataFrame
+    raw_records: DataFrame
     links: DataFrame
     groups: DataFrame
     entries: DataFrame
@@ -47,9 +49,9 @@ class ReportTables:
     synthetic: DataFrame
 
 
-def _listed(df: DataFrame, order: list[Column], limit: int, item: Column, name: str, salt: list[str]) -> DataFrame:
+def _listed(df: DataFrame, order: list[Column], limit: int, item: Column, name: str) -> DataFrame:
     """The first ``limit`` rows of a case as one ordered array; bounded by the section's cap."""
-    top = top_k_per_group(df, ["case_id"], order, limit, rank="_pos", salt_on=salt)
+    top = top_k_per_group(df, ["case_id"], order, limit, rank="_pos")
     return top.groupBy("case_id").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("_pos", item.alias("item")))), lambda x: x["item"]).alias(name)
     )
@@ -61,7 +63,7 @@ def _zero(c: str) -> Column:
 
 def evidence_section(t: ReportTables) -> DataFrame:
     item = F.struct("evidence_id", "original_filename", "evidence_type", "file_size", "sha256", "record_count", "status")
-    return _listed(t.evidence, [F.asc("evidence_id")], MAX_LISTED, item, "items", ["evidence_id"])
+    return _listed(t.evidence, [F.asc("evidence_id")], MAX_LISTED, item, "items")
 
 
 def integrity_section(t: ReportTables) -> DataFrame:
@@ -85,14 +87,14 @@ def integrity_section(t: ReportTables) -> DataFrame:
         .otherwise("NOT VERIFIED")
     )
     items = _listed(joined, [F.asc("evidence_id")], MAX_LISTED,
-                    F.struct("evidence_id", "original_filename", "result", "checked_at"), "items", ["evidence_id"])
+                    F.struct("evidence_id", "original_filename", "result", "checked_at"), "items")
     return counts.withColumn("status", status).join(items, "case_id", "left")
 
 
 def processing_section(t: ReportTables) -> DataFrame:
     item = F.struct("evidence_id", "parser", "status", "records_received", "records_normalized", "records_rejected",
                     "duplicates_detected", "error")
-    shown = top_k_per_group(t.runs, ["case_id"], [F.desc("evidence_id")], MAX_LISTED, rank="_pos", salt_on=["evidence_id"])
+    shown = top_k_per_group(t.runs, ["case_id"], [F.desc("evidence_id")], MAX_LISTED, rank="_pos")
     return shown.groupBy("case_id").agg(
         F.count("*").alias("run_count"),
         *[F.sum(c).alias(c) for c in ("records_received", "records_normalized", "records_rejected")],
@@ -103,18 +105,24 @@ def processing_section(t: ReportTables) -> DataFrame:
 def findings_section(t: ReportTables) -> DataFrame:
     item = F.struct("finding_uid", "kind", "title", "severity", "status", "rule_id", "confidence", "css",
                     "event_count", F.col("distinct_evidence").alias("evidence_count"))
-    listed = _listed(t.findings, [F.desc("finding_uid")], MAX_LISTED, item, "findings", ["finding_uid"])
+    listed = _listed(t.findings, [F.desc("finding_uid")], MAX_LISTED, item, "findings")
     return rollups.review_summary(t.findings).join(listed, "case_id", "left")
 
 
 def trace_section(t: ReportTables) -> DataFrame:
-    """The newest findings with the first events of each down to the file hash."""
-    rows = top_k_per_group(
-        t.findings.select("case_id", "finding_uid"), ["case_id"], [F.desc("finding_uid")], MAX_TRACED,
-        rank="_f", salt_on=["finding_uid"])
-    chains = t.trace.join(rows, ["case_id", "finding_uid"])
-    chains = top_k_per_group(chains, ["case_id", "finding_uid"], [F.asc("timestamp"), F.asc("event_uid")],
-                             MAX_TRACE_EVENTS, rank="_e", salt_on=["event_uid"])
+    """The newest findings with the first events of each down to the file hash.
+
+    Findings and events are cut to what is shown before the chain is joined.
+    """
+    rows = small_side(top_k_per_group(
+        t.findings.select("case_id", "finding_uid"), ["case_id"], [F.desc("finding_uid")], MAX_TRACED, rank="_f"))
+    shown = top_k_per_group(
+        t.finding_events.join(rows, ["case_id", "finding_uid"]).drop("_f"), ["case_id", "finding_uid"],
+        [F.asc("timestamp"), F.asc("id")], MAX_TRACE_EVENTS, rank="_e")
+    newest = t.findings.join(rows, ["case_id", "finding_uid"])
+    chains = search.trace(newest, shown, t.events, t.raw_records, t.evidence).join(rows, ["case_id", "finding_uid"])
+    chains = top_k_per_group(
+        chains, ["case_id", "finding_uid"], [F.asc_nulls_last("timestamp"), F.asc("event_uid")], MAX_TRACE_EVENTS, rank="_e")
     step = F.struct("_e", F.struct("event_uid", "timestamp", "row_index", "content", "evidence_id",
                                    "original_filename", "sha256").alias("item"))
     per = chains.groupBy("case_id", "finding_uid", "_f").agg(
@@ -132,7 +140,7 @@ def links_section(t: ReportTables) -> DataFrame:
     item = F.struct("correlation_uid", "correlation_type", "event_a_uid", "event_b_uid", "time_delta_seconds",
                     "confidence", "reason", "evidence_ids")
     total = rollups.count_by_case(t.links, "total")
-    listed = _listed(t.links, [F.asc("link_rank")], MAX_LISTED, item, "correlations", ["link_rank"])
+    listed = _listed(t.links, [F.asc("link_rank")], MAX_LISTED, item, "correlations")
     return total.join(listed, "case_id").withColumn("truncated", F.col("total") > MAX_LISTED)
 
 
@@ -140,13 +148,13 @@ def groups_section(t: ReportTables) -> DataFrame:
     item = F.struct("group_uid", "kind", "title", "severity", "explanation", "time_start", "time_end",
                     F.col("members").alias("event_count"), F.col("link_count").alias("correlation_count"), "evidence_ids")
     total = rollups.count_by_case(t.groups, "total")
-    return total.join(_listed(t.groups, [F.asc("group_rank")], MAX_LISTED, item, "groups", ["group_rank"]), "case_id")
+    return total.join(_listed(t.groups, [F.asc("group_rank")], MAX_LISTED, item, "groups"), "case_id")
 
 
 def timeline_section(t: ReportTables) -> DataFrame:
     item = F.struct("timestamp", "event_uid", "source_type", "event_type", "user", "host", "significance", "reasons",
                     "finding_ids", "correlation_ids", "evidence_id", "context")
-    listed = _listed(t.entries, [F.asc("position")], 500, item, "entries", ["id"])
+    listed = _listed(t.entries, [F.asc("position")], 500, item, "entries")
     return t.entry_totals.join(listed, "case_id", "left")
 
 
@@ -155,7 +163,7 @@ def graph_section(t: ReportTables) -> DataFrame:
     nodes = rollups.breakdown(t.nodes, "node_type", ("evidence", "finding", "event"), ["case_id"])
     edges = rollups.breakdown(t.edges, "relation", ("contains", "triggered", "correlated"), ["case_id"])
     rows = _listed(t.edge_rows, [F.asc("edge_rank")], MAX_GRAPH_ROWS,
-                   F.struct("source_label", "relation", "target_label"), "table_rows", ["edge_rank"])
+                   F.struct("source_label", "relation", "target_label"), "table_rows")
     return t.graph_totals.select("case_id", "truncated").join(nodes, "case_id", "left").join(
         edges, "case_id", "left").join(rows, "case_id", "left")
 
@@ -172,7 +180,7 @@ def ml_section(t: ReportTables) -> DataFrame:
 def review_section(t: ReportTables) -> DataFrame:
     counts = rollups.breakdown(t.findings, "status", FINDING_STATUSES, ["case_id"])
     notes = _listed(t.notes, [F.asc("created_at"), F.asc("note_id")], MAX_LISTED,
-                    F.struct("finding_uid", "author", "body", "created_at"), "notes", ["note_id"])
+                    F.struct("finding_uid", "author", "body", "created_at"), "notes")
     return counts.join(notes, "case_id", "full")
 
 
@@ -268,7 +276,7 @@ def workspaces(t: ReportTables) -> DataFrame:
     queue = rollups.review_queue(t.findings)
     shown = queue.groupBy("case_id").agg(F.transform(F.sort_array(F.collect_list(
         F.struct("position", "finding_uid", "severity", "title", "status"))), lambda x: x["finding_uid"]).alias("review_queue"))
-    first_links = _listed(t.links, [F.asc("link_rank")], 100, F.col("correlation_uid"), "link_preview", ["link_rank"])
+    first_links = _listed(t.links, [F.asc("link_rank")], 100, F.col("correlation_uid"), "link_preview")
     numbers = ("event_count", "anomalous_event_count", "high_severity", "open_items", "correlation_count",
                "activity_group_count", "verified", "mismatch", "unverified", "total_bytes")
     unverified = F.coalesce("integrity_status", F.lit(W.INTEGRITY_LABELS[0]))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "tracemill", master: str | None = None, **conf) -> SparkSession:
@@ -18,6 +19,8 @@ def build_session(app: str = "tracemill", master: str | None = None, **conf) ->
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
+        # Top-k per group is pruned before its shuffle up to this k (link cap: 5000).
+        "spark.sql.optimizer.windowGroupLimitThreshold": "20000",
         **{k.replace("__", "."): str(v) for k, v in conf.items()},
     }
     for key, value in settings.items():
@@ -39,3 +42,14 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a shared folder")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tracemill-ckpt-"))
     return df.checkpoint(eager=True)
+
+
+def small_side(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """``df`` written once, and broadcast only if it has at most ``max_rows`` rows.
+
+    For lookups with a few short columns and one row per case (or a capped
+    number). Beyond the limit the caller's join shuffles, with AQE splitting
+    hot keys.
+    """
+    kept = reliable_checkpoint(df)
+    return F.broadcast(kept) if kept.limit(max_rows + 1).count() <= max_rows else kept
