@@ -109,3 +109,39 @@ def resolve_run(runs: DataFrame) -> DataFrame:
     """Per case the newest completed run, else the newest one."""
     done = (F.col("status") == "Completed").cast("int").alias("done")
     return latest_per_key(runs.withColumn("done", done), ["case_id"], ["done", "run_uid"]).drop("done")
+
+
+def of_run(df: DataFrame, runs: DataFrame, run_uid: str | None = None) -> DataFrame:
+    """Rows of one run, by default of each case's newest completed run."""
+    if run_uid is not None:
+        return df.filter(F.col("run_uid") == run_uid)
+    return df.join(small_side(resolve_run(runs).select("case_id", "run_uid")), ["case_id", "run_uid"], "left_semi")
+
+
+def filter_links(
+    links: DataFrame, *, correlation_type: str | None = None, band: str | None = None,
+    min_confidence: float | None = None, event_uid: str | None = None,
+) -> DataFrame:
+    out = links
+    for name, value in (("correlation_type", correlation_type), ("band", band)):
+        if value is not None:
+            out = out.filter(F.col(name) == value)
+    if min_confidence is not None:
+        out = out.filter(F.col("confidence") >= min_confidence)
+    if event_uid is not None:
+        out = out.filter((F.col("event_a_uid") == event_uid) | (F.col("event_b_uid") == event_uid))
+    return out
+
+
+def finding_index(findings: DataFrame, finding_events: DataFrame) -> DataFrame:
+    """One row per (event, finding) with what a view says about the finding.
+
+    Pass one run's findings, or every run's to repeat tags on re-analysis.
+    """
+    tags = small_side(findings.select(
+        "case_id", "finding_uid", "rule_id", "title", "severity", "status",
+        F.when(F.col("kind") == "ml", F.col("anchor_score")).otherwise(F.col("css")).alias("score"),
+    ))
+    return finding_events.select("case_id", "finding_uid", "kind", "id", "event_uid").join(
+        tags, ["case_id", "finding_uid"]
+    )

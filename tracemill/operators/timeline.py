@@ -153,3 +153,22 @@ def timeline(
         )
     )
     return Timeline(entries, totals)
+
+
+def timeline_notes(totals: DataFrame, events: DataFrame, p: ViewParams = ViewParams()) -> DataFrame:
+    """The note under a case's timeline."""
+    seen = events.groupBy("case_id").agg(F.count("*").alias("events"))
+    base = (
+        F.when(F.coalesce("events", F.lit(0)) == 0, "No normalized forensic events available for correlation.")
+        .when(F.col("total") == 0, "No flagged, correlated, or contextual events yet. Run automated analysis and "
+              "correlation to reconstruct this timeline.")
+        .when(F.col("truncated"), F.concat(F.lit(f"Showing the first {p.timeline_max} of "),
+              F.col("total").cast("string"), F.lit(" entries (TIMELINE_MAX_ENTRIES).")))
+    )
+    undated = F.when(
+        (F.col("undated_events") > 0) & (F.col("total") > 0),
+        F.concat(F.col("undated_events").cast("string"), F.lit(" event(s) without a recorded timestamp were excluded.")),
+    )
+    return totals.join(seen, "case_id", "left").withColumn(
+        "note", F.nullif(F.concat_ws(" ", base, undated), F.lit(""))
+    ).drop("events")

@@ -132,3 +132,17 @@ def run_stats(events: DataFrame, scored: DataFrame, findings: DataFrame) -> Data
 def finding_order():
     """Severity first, then newest, then uid."""
     return [F.desc(P.severity_rank(F.col("severity"))), F.desc("finding_uid")]
+
+
+def model_diagnostics(stats: DataFrame, p: AnomalyParams = AnomalyParams()) -> DataFrame:
+    """The run statistics of a case with the settings they were made with."""
+    return stats.select(
+        "*",
+        F.lit("isolation_forest").alias("model_name"),
+        F.lit(p.seed).alias("random_state"),
+        F.lit(p.n_estimators).alias("n_estimators"),
+        F.lit(p.threshold).alias("threshold_value"),
+        F.lit(p.z_sigmas).alias("z_sigmas"),
+        F.lit(p.min_windows).alias("min_windows"),
+        F.when(F.col("abstained"), anomaly.abstain_reason(p)).alias("abstain_reason"),
+    )

@@ -61,6 +61,7 @@ CAPABILITY_TOPICS = (
 )
 NO_LINKS = "No correlations have been produced yet. Run the correlation stage over the processed evidence."
 NO_GROUPS = "No investigation groups have been produced yet. Run the correlation stage over the processed evidence."
+NO_ANALYSIS_RUN = "No automated analysis has been run yet for this case."
 NO_REVIEW = "No findings have been produced yet, so nothing requires review."
 # -------------------------------------------------------------------------------------
 
@@ -122,12 +123,13 @@ def _say(*parts) -> Column:
 
 
 def _facts(df: DataFrame, intent: str, ref: Column, part: int, order: Column, line: Column,
-           kind: Column | None = None, source: Column | None = None) -> DataFrame:
+           kind: Column | None = None, source: Column | None = None, solid: Column | None = None) -> DataFrame:
     none = F.lit(None).cast("string")
     return df.select(
         "case_id", F.lit(intent).alias("intent"), ref.alias("ref"), F.lit(part).alias("part"),
         order.cast("string").alias("ord"), line.alias("line"),
         (none if kind is None else kind).alias("source_type"), (none if source is None else source).alias("source_id"),
+        (F.lit(part > 0) if solid is None else solid).alias("solid"),
     )
 
 
@@ -253,7 +255,7 @@ def facts(t: CaseTables, p: ViewParams = ViewParams()) -> DataFrame:
                         F.concat(F.when(F.col("state") == "verified", "0").when(F.col("state") == "MISMATCH", "1").otherwise("2"), F.col("evidence_id")),
                         _say(F.col("state"), " ", F.col("evidence_id"), ": ", F.col("original_filename")),
                         F.when(F.col("state") == "verified", "evidence"),
-                        F.when(F.col("state") == "verified", F.col("evidence_id"))))
+                        F.when(F.col("state") == "verified", F.col("evidence_id")), F.col("state") != "pending"))
 
     done = rollups.processing_rollup(t.cases, t.runs)
     by_status = t.runs.groupBy("case_id", "status").agg(F.count("*").alias("n")).groupBy("case_id").agg(
@@ -262,8 +264,10 @@ def facts(t: CaseTables, p: ViewParams = ViewParams()) -> DataFrame:
     parts.append(_facts(done, "PROCESSING_STATUS", blank, 0, F.lit("0"), _say(
         "Processing runs: ", F.col("runs"), " (", F.col("by_status"), "); ", F.col("records_parsed"), " records parsed, ",
         F.col("records_normalized"), " normalized, ", F.col("records_rejected"), " rejected, ",
-        F.col("duplicates_detected"), " duplicates detected.")))
-    parts.append(_facts(first_files, "PROCESSING_STATUS", blank, 1, F.lpad(F.col("rank").cast("string"), 6, "0"),
+        F.col("duplicates_detected"), " duplicates detected.",
+        F.when(F.col("runs") == 0, " No evidence has been processed yet for this case.").otherwise(""))))
+    ran = done.filter("runs > 0").select("case_id")
+    parts.append(_facts(first_files.join(ran, "case_id", "left_semi"), "PROCESSING_STATUS", blank, 1, F.lpad(F.col("rank").cast("string"), 6, "0"),
                         _evidence_line(), F.lit("evidence"), F.col("evidence_id")))
     return reduce(DataFrame.unionByName, parts)
 
@@ -272,7 +276,7 @@ _FIXED = {
     "CAPABILITIES": ("I can currently answer questions about: " + ", ".join(CAPABILITY_TOPICS), "HIGH"),
     "UNKNOWN": (ANSWER_UNSUPPORTED, "LOW"),
 }
-_EMPTY = {"CORRELATION_SUMMARY": NO_LINKS, "GROUP_SUMMARY": NO_GROUPS, "REVIEW_QUEUE": NO_REVIEW}
+_EMPTY = {"CORRELATION_SUMMARY": NO_LINKS, "GROUP_SUMMARY": NO_GROUPS, "REVIEW_QUEUE": NO_REVIEW, "ML_EXPLANATION": NO_ANALYSIS_RUN}
 
 
 def answers(classified: DataFrame, t: CaseTables, p: ViewParams = ViewParams()) -> DataFrame:
@@ -287,9 +291,9 @@ def answers(classified: DataFrame, t: CaseTables, p: ViewParams = ViewParams())
     folded = lines.groupBy("case_id", "intent", "ref").agg(
         F.sort_array(F.collect_list(line)).alias("ls"),
         F.sort_array(F.collect_list(F.when(F.col("source_id").isNotNull(), source))).alias("ss"),
-        F.max("part").alias("depth"),
+        F.max("solid").alias("solid"),
     ).select(
-        "case_id", "intent", "ref", "depth",
+        "case_id", "intent", "ref", "solid",
         F.array_join(F.transform("ls", lambda x: x["line"]), "\n").alias("body"),
         F.slice(F.array_distinct(F.transform("ss", lambda x: F.concat(x["source_type"], F.lit(":"), x["source_id"]))), 1, p.top_n).alias("sources"),
     )
@@ -319,11 +323,11 @@ def answers(classified: DataFrame, t: CaseTables, p: ViewParams = ViewParams())
         .otherwise(F.coalesce("body", missing))
     )
     thin = F.col("intent").isin("ML_EXPLANATION", "REVIEW_QUEUE", "INTEGRITY_STATUS", "FINDING_EXPLANATION",
-                                "FINDING_TRACE", "EVIDENCE_SUPPORT", "CASE_SUMMARY")
+                                "FINDING_TRACE", "EVIDENCE_SUPPORT", "CASE_SUMMARY", "PROCESSING_STATUS")
     confidence = (
         F.when(fixed, P.lookup(F.col("intent"), {k: v[1] for k, v in _FIXED.items()}))
         .when(empty | F.col("body").isNull(), "LOW")
-        .when(thin & (F.col("depth") == 0), "MEDIUM")
+        .when(thin & ~F.col("solid"), "MEDIUM")
         .otherwise("HIGH")
     )
     none = F.array().cast("array<string>")
@@ -333,7 +337,7 @@ def answers(classified: DataFrame, t: CaseTables, p: ViewParams = ViewParams())
             "confidence": confidence,
             "sources": F.when(fixed | empty, none).otherwise(F.coalesce("sources", none)),
         }
-    ).drop("wanted", "known", "files", "body", "depth")
+    ).drop("wanted", "known", "files", "body", "solid")
 
 
 def history(log: DataFrame, limit: int = 100) -> DataFrame:

@@ -309,6 +309,12 @@ GRAPH = TAGGED + """
 """
 
 ORACLES.update({
+    "finding_index": EV + FINDINGS + """SELECT fe.case_id, e.event_uid, fe.finding_uid, fe.kind, f.rule_id, f.severity, 'New' AS status
+FROM fe JOIN ev e ON e.id=fe.id JOIN fnd f ON f.case_id=fe.case_id AND f.finding_uid=fe.finding_uid""",
+    "links_strong": EV + LINKS + """SELECT lk.case_id, 'COR-'||lpad(CAST(link_rank AS VARCHAR),6,'0') AS correlation_uid, a.event_uid AS event_a_uid, b.event_uid AS event_b_uid
+FROM lk JOIN ev a ON a.id=event_a_id JOIN ev b ON b.id=event_b_id WHERE correlation_type='CORR-002' AND band='High'""",
+    "timeline_notes": EV + TAGGED + entries(2, 500) + """SELECT case_id, CASE WHEN count(*)>500 THEN 'Showing the first 500 of '||count(*)||' entries (TIMELINE_MAX_ENTRIES).' END AS note FROM ent GROUP BY 1""",
+    "model_diagnostics": EV + FINDINGS + """SELECT case_id, count(*) AS windows_total, count(*) FILTER (flagged) AS windows_flagged, 200 AS n_estimators, NULL::VARCHAR AS abstain_reason FROM gated GROUP BY 1""",
     "groups": EV + GROUPS + "SELECT case_id, group_uid, component, kind, title, severity, members, link_count, time_start, time_end, evidence_ids FROM gr",
     "group_members": EV + GROUPS + "SELECT gm.case_id, group_uid, position, event_uid FROM gm JOIN gr USING (case_id, component)",
     "graph_nodes": EV + GRAPH + "SELECT case_id, node_rank, node_id, node_type, severity, significance FROM nd",

@@ -58,9 +58,13 @@ def file_errors(decoded: DataFrame) -> DataFrame:
     )
 
 
-def process(files: DataFrame, p: IngestParams = IngestParams()) -> Processed:
+def process(
+    files: DataFrame, p: IngestParams = IngestParams(), last_ids: DataFrame | None = None
+) -> Processed:
     """All evidence files of all cases in one job.
 
+    ``last_ids`` (case_id, last_id) continues the numbering of earlier runs.
+
     ``files`` has case_id, evidence_id, filename, declared_type, content and
     recorded_sha256. Per-file steps stay bounded by the admission size and the
     record cap; numbering inside a case only sums per-file counts.
@@ -74,6 +78,10 @@ def process(files: DataFrame, p: IngestParams = IngestParams()) -> Processed:
     per_file = accepted.groupBy(*KEY).agg(F.count("*").alias("n"))
     before = Window.partitionBy("case_id").orderBy("evidence_id").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_file.select(*KEY, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    if last_ids is not None:
+        offsets = offsets.join(last_ids, "case_id", "left").select(
+            *KEY, (F.col("offset") + F.coalesce("last_id", F.lit(0))).alias("offset")
+        )
     in_file = Window.partitionBy(*KEY).orderBy("row_index")
     member = F.when(
         F.col("member_path").isNotNull(),

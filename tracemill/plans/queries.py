@@ -12,6 +12,7 @@ from tracemill.functions.scores import suspicion
 from tracemill.operators import anomaly, graph, groups, links, rules, search, timeline
 from tracemill.operators.duplicates import fingerprint, mark_duplicates
 from tracemill.operators.features import feature_windows
+from tracemill.plans import analyze as analyze_plan
 from tracemill.plans.analyze import Analysis, analyze
 from tracemill.schema import LinkParams, RuleParams, ViewParams
 from tracemill.session import reliable_checkpoint
@@ -306,7 +307,33 @@ def trace(spark, d):
     )
 
 
+def finding_index(spark, d):
+    a = analysis(spark, d)
+    return search.finding_index(a.findings, a.finding_events).select(
+        "case_id", "event_uid", "finding_uid", "kind", "rule_id", "severity", "status")
+
+
+def links_strong(spark, d):
+    """Links of one type and band, from the newest run of a case."""
+    lk = found_links(spark, d).withColumn("run_uid", F.lit("RUN-1"))
+    runs = lk.select("case_id", "run_uid", F.lit("Completed").alias("status")).distinct()
+    hits = search.filter_links(search.of_run(lk, runs), correlation_type="CORR-002", band="High")
+    return hits.select("case_id", "correlation_uid", "event_a_uid", "event_b_uid")
+
+
+def timeline_notes(spark, d):
+    return timeline.timeline_notes(_timeline(spark, d).totals, analysis(spark, d).events, VIEW_PARAMS).select("case_id", "note")
+
+
+def model_diagnostics(spark, d):
+    return analyze_plan.model_diagnostics(analysis(spark, d).stats).select("case_id", "windows_total", "windows_flagged", "n_estimators", "abstain_reason")
+
+
 QUERIES = {
+    "finding_index": finding_index,
+    "links_strong": links_strong,
+    "timeline_notes": timeline_notes,
+    "model_diagnostics": model_diagnostics,
     "events_search": events_search,
     "events_page": events_page,
     "external_sources": external_sources,

@@ -6,6 +6,7 @@ since the last call, and the checkpoint folder remembers which files were seen.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,8 +50,15 @@ def ingest_available(
         .option("recursiveFileLookup", "true").load(landing)
     )
 
+    def last_ids() -> DataFrame | None:
+        try:
+            known = spark.read.parquet(f"{out}/events")
+        except AnalysisException:  # nothing written yet
+            return None
+        return known.groupBy("case_id").agg(F.max("id").alias("last_id"))
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        run = process(landing_files(batch, manifest), p)
+        run = process(landing_files(batch, manifest), p, last_ids())
         replace_per_evidence(run.events, f"{out}/events")
         replace_per_evidence(run.raw_records, f"{out}/raw_records")
         append_history(run.runs.withColumn("run_uid", F.lit(f"BATCH-{batch_id:06d}")), f"{out}/runs")
