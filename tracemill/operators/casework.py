@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions.timestamps import strip
+from tracemill.operators.slices import slice_of
 from tracemill.wording import SYNTHETIC_LABEL
 
 MAX_NOTE, MAX_AUTHOR = 4000, 127
@@ -81,7 +82,7 @@ def fold_reviews(actions: DataFrame, findings: DataFrame) -> tuple[DataFrame, Da
     key = ["case_id", "finding_uid"]
     moves = F.col("to_status").isin("Under Review", "Confirmed", "Dismissed")
     known = findings.select(*key)
-    sliced = actions.withColumn("slice", F.floor(F.col("seq") / _SEQ_SLICE))
+    sliced = actions.withColumn("slice", slice_of(F.col("seq"), _SEQ_SLICE))
     # One row per (finding, slice): everything an action needs from outside its slice.
     per_slice = sliced.groupBy(*key, "slice").agg(
         F.min(F.when(F.col("to_status") == "Under Review", F.col("seq"))).alias("first_here"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tracemill.functions import predicates as P
 from tracemill.operators.slices import (
     nearest_preceding,
+    slice_of,
     sliding,
     top_k_per_group,
 )
@@ -99,7 +100,7 @@ def _sessions(points: DataFrame, keys: list[str], span_us: int) -> DataFrame:
     is then carried over slices, one row per (key, slice).
     """
     prev = sliding(points, keys, "us", span_us, {"seen": F.count("*")}, forward=False)
-    own = F.floor(F.col("us") / F.lit(span_us)).cast("long")
+    own = slice_of(F.col("us"), span_us)
     marked = prev.withColumn("opens", F.when(F.col("seen") == 1, F.col("us"))).withColumn("slice", own)
     last_open = (
         marked.groupBy(*keys, "slice").agg(F.max("opens").alias("last_open"))

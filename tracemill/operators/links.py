@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tracemill.functions import predicates as P
 from tracemill.functions.network import external_ip
-from tracemill.operators.slices import sliding, top_k_per_group
+from tracemill.operators.slices import slice_of, sliding, top_k_per_group
 from tracemill.schema import CONFIDENCE_BANDS, CORRELATION_TYPES, LinkParams
 from tracemill.session import small_side
 
@@ -47,7 +47,7 @@ def dated_events(events: DataFrame) -> DataFrame:
 
 
 def _slice(span_us: int) -> Column:
-    return F.floor(F.col("us") / F.lit(span_us)).cast("long")
+    return slice_of(F.col("us"), span_us)
 
 
 def _last_slices(dated: DataFrame, span_us: int, max_links: int) -> DataFrame:
@@ -92,21 +92,47 @@ def _by_value(dated: DataFrame, span_us: int) -> DataFrame:
 
 
 def _prune_rows(rows: DataFrame, span_us: int, max_links: int) -> DataFrame:
-    """Keep rows that can be in a kept link, flagged with the side they can take."""
+    """Keep rows that can be in a kept link, flagged when they can open one.
+
+    Groups of at most ``openers`` rows, which is nearly all, pass unranked; the
+    larger ones are found by a count and ranked.
+    """
     openers = math.ceil((math.sqrt(8 * max_links + 1) - 1) / 2)
-    order = [F.asc("us"), F.asc("id")]
     typed = F.col("source_type").isin("authentication", "network")
-    strong = (F.col("kind") != "source_ip") | typed
+    rows = rows.withColumn("strong", (F.col("kind") != "source_ip") | typed)
+    kind_key = [*_KEY, "strong"]
+    large = small_side(
+        rows.groupBy(*kind_key).count().filter(F.col("count") > openers).select(*kind_key)
+    )
+    calm = rows.join(large, kind_key, "left_anti").withColumn("opens", F.lit(True))
+    busy = rows.join(large, kind_key, "left_semi")
+    # Enough rows of each sort to close every kept link an opener starts.
+    ranked = top_k_per_group(
+        _busy_groups(busy, rows, large, span_us), [*_KEY, "group"], [F.asc("us"), F.asc("id")],
+        openers + 2 * max_links,
+    )
+    opens = (
+        F.when(F.col("group") == "strong", F.col("rank") <= openers)
+        .when(F.col("group") == "closer", False)
+        .otherwise(F.col("rank") <= max_links)
+    )
+    return calm.unionByName(ranked.withColumn("opens", opens).drop("rank", "group"))
 
-    # Address groups: an event that is neither authentication nor network opens a
-    # link only if such an event follows, in its slice or early in the next one.
-    # The lookup is repeated per salt, so a hot address slice is not one task.
-    rows = rows.withColumn("strong", strong)
+
+def _busy_groups(busy: DataFrame, rows: DataFrame, large: DataFrame, span_us: int) -> DataFrame:
+    """Adds ``group``. In an address group an event that is neither authentication
+    nor network opens a link only if such an event follows, in its slice
+    (``early``) or soon enough in the next one (``late``).
+
+    The lookup of those events is repeated per part, so that a hot address
+    slice is not joined in one task.
+    """
     ends = (
         rows.filter((F.col("kind") == "source_ip") & F.col("strong"))
         .groupBy(*_KEY).agg(F.max(F.struct("us", "id")).alias("last"), F.min("us").alias("first_us"))
         .withColumn("step", F.explode(F.array(F.lit(0), F.lit(-1))))
         .withColumn("slice", F.col("slice") + F.col("step"))
+        .join(large.filter(~F.col("strong")).select(*_KEY), _KEY, "left_semi")
         .groupBy(*_KEY)
         .agg(
             F.max(F.when(F.col("step") == 0, F.col("last"))).alias("last_strong"),
@@ -122,22 +148,14 @@ def _prune_rows(rows: DataFrame, span_us: int, max_links: int) -> DataFrame:
         .otherwise("closer")
     )
     weak = (
-        rows.filter(~F.col("strong"))
+        busy.filter(~F.col("strong"))
         .withColumn("part", F.pmod(F.xxhash64("id"), F.lit(_PARTS)).cast("int"))
         .join(ends, [*_KEY, "part"], "left")
         .withColumn("group", group)
     )
-    ranked = rows.filter("strong").withColumn("group", F.lit("strong")).unionByName(
-        weak.select(*rows.columns, "group")
-    )
-    # Enough rows of each sort to close every kept link an opener starts.
-    kept = top_k_per_group(ranked, [*_KEY, "group"], order, openers + 2 * max_links)
-    opens = (
-        F.when(F.col("group") == "strong", F.col("rank") <= openers)
-        .when(F.col("group") == "closer", False)
-        .otherwise(F.col("rank") <= max_links)
+    return busy.filter("strong").withColumn("group", F.lit("strong")).unionByName(
+        weak.select(*busy.columns, "group")
     )
-    return kept.withColumn("opens", opens).drop("rank")
 
 
 def _correlation_type() -> Column:

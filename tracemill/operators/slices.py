@@ -35,9 +35,14 @@ def top_k_per_group(
     )
 
 
+def slice_of(us: Column, span_us: int) -> Column:
+    """Index of the time slice, by whole-number arithmetic, also before 1970."""
+    return F.call_function("div", us - F.pmod(us, F.lit(span_us)), F.lit(span_us))
+
+
 def with_neighbour_slice(points: DataFrame, us: str, span_us: int, forward: bool) -> DataFrame:
     """Each row in its own slice, and a visiting copy in the slice that looks at it."""
-    own = F.floor(F.col(us) / F.lit(span_us)).cast("long")
+    own = slice_of(F.col(us), span_us)
     other = own - 1 if forward else own + 1
     return points.withColumn(
         "_copy",
@@ -93,7 +98,7 @@ def nearest_preceding(
         right.select(*keys, us, F.struct(F.col(us).alias("at"), F.col(value)).alias("_hit")),
         us, span_us, forward=False,
     ).withColumn("home", F.lit(False))
-    own = F.floor(F.col(us) / F.lit(span_us)).cast("long")
+    own = slice_of(F.col(us), span_us)
     le = left.select(
         *keys, us, F.lit(None).cast(r.schema["_hit"].dataType).alias("_hit"),
         own.alias("slice"), F.lit(True).alias("home"),
@@ -117,7 +122,7 @@ def near_any(
     and the earliest of the slice after matter; a mark in the own slice always
     hits. The lookup therefore has one row per (key, slice).
     """
-    own = F.floor(F.col(us) / F.lit(span_us)).cast("long")
+    own = slice_of(F.col(us), span_us)
     bounds = (
         marks.withColumn("slice", own)
         .groupBy(*keys, "slice")
