@@ -13,13 +13,17 @@ def points(spark, seed, n=400, span=3000):
 
 def test_sliding_both_ways(spark):
     rows = points(spark, 1)
-    df = spark.createDataFrame(rows, "k string, us long, c int")
+    rows = [(k, u, c - 1) for k, u, c in rows]
+    df = spark.createDataFrame(rows, "k string, us long, c long")
     for forward in (True, False):
-        got = {(r.k, r.us): (r.s, r.m) for r in S.sliding(df, ["k"], "us", 70, {"s": F.sum("c"), "m": F.max("us")}, forward).collect()}
+        got = {(r.k, r.us): (r.s, r.e) for r in S.sliding(df, ["k"], "us", 70, "c", "s", "e", forward).collect()}
         for k, u, _ in rows:
             lo, hi = (u, u + 70) if forward else (u - 70, u)
             inside = [(c, x) for kk, x, c in rows if kk == k and lo <= x <= hi]
-            assert got[k, u] == (sum(c for c, _ in inside), max(x for _, x in inside))
+            edges = [x for c, x in inside if c > 0]
+            assert got[k, u][0] == sum(c for c, _ in inside)
+            if edges:
+                assert got[k, u][1] == (max(edges) if forward else min(edges))
 
 
 def test_next_instant_and_as_of(spark):

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from tracemill.functions import predicates as P
 from tracemill.operators.slices import (
     nearest_preceding,
+    next_instant,
     slice_of,
-    sliding,
     top_k_per_group,
 )
 from tracemill.schema import LinkParams
@@ -99,9 +99,11 @@ def _sessions(points: DataFrame, keys: list[str], span_us: int) -> DataFrame:
     Whether an instant opens a session is decided within two slices; the start
     is then carried over slices, one row per (key, slice).
     """
-    prev = sliding(points, keys, "us", span_us, {"seen": F.count("*")}, forward=False)
+    # Backwards in time the next instant is the one before; none near means a new session.
+    mirrored = points.withColumn("us", -F.col("us"))
+    prev = next_instant(mirrored, keys, "us", span_us, {"prev_us": "us"}).withColumn("us", -F.col("us"))
     own = slice_of(F.col("us"), span_us)
-    marked = prev.withColumn("opens", F.when(F.col("seen") == 1, F.col("us"))).withColumn("slice", own)
+    marked = prev.withColumn("opens", F.when(F.col("prev_us").isNull(), F.col("us"))).withColumn("slice", own)
     last_open = (
         marked.groupBy(*keys, "slice").agg(F.max("opens").alias("last_open"))
         .withColumn(

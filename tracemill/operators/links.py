@@ -308,7 +308,7 @@ def link_stats(events: DataFrame, found: DataFrame, p: LinkParams = LinkParams()
         F.max(F.struct("us_a", "event_a_id", "us_b", "event_b_id")).alias("end"),
     ).withColumn("end", F.when(F.col("links") >= p.max_links, F.col("end")))
     points = dated.groupBy("case_id", "us").agg(F.count("*").alias("c"))
-    ahead = sliding(points, ["case_id"], "us", span, {"reach": F.sum("c")})
+    ahead = sliding(points, ["case_id"], "us", span, "c", out="reach")
     # An instant with c events and `reach` events from it on makes these pairs.
     whole = F.col("c") * F.col("reach") - F.col("c") * (F.col("c") + 1) / 2
     ends = per_case.select("case_id", "end")

@@ -151,15 +151,8 @@ def auth001(events: DataFrame, p: RuleParams) -> DataFrame:
         F.count_if(P.is_failure()).alias("failures"),
         F.min(F.when(P.is_success(), F.col("id"))).alias("success_id"),
     ).filter((F.col("failures") > 0) | F.col("success_id").isNotNull())
-    failing = F.when(F.col("failures") > 0, F.col("us"))
-    before = sliding(
-        points, SCOPE, "us", span,
-        {"n": F.sum("failures"), "first_us": F.min(failing)}, forward=False,
-    )
-    after = sliding(
-        points, SCOPE, "us", span,
-        {"n": F.sum("failures"), "last_us": F.max(failing)},
-    )
+    before = sliding(points, SCOPE, "us", span, "failures", edge="first_us", forward=False)
+    after = sliding(points, SCOPE, "us", span, "failures", edge="last_us")
     # Most failures first; among equals the earliest instant.
     best_success = (
         before.filter(F.col("success_id").isNotNull() & (F.col("n") >= p.auth001_min_failures))
@@ -276,7 +269,7 @@ def _densest(rows: DataFrame, minutes: int, least: int) -> DataFrame:
     """Densest forward window per scope; among equals the one starting latest."""
     points = rows.groupBy(*SCOPE, "us").agg(F.count("*").alias("c"))
     return (
-        sliding(points, SCOPE, "us", minutes * MINUTE_US, {"n": F.sum("c"), "last_us": F.max("us")})
+        sliding(points, SCOPE, "us", minutes * MINUTE_US, "c", edge="last_us")
         .filter(F.col("n") >= least)
         .groupBy(*SCOPE)
         .agg(F.max(F.struct("n", "us", "last_us")).alias("b"))

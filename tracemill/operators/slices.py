@@ -56,18 +56,39 @@ def with_neighbour_slice(points: DataFrame, us: str, span_us: int, forward: bool
 
 
 def sliding(
-    points: DataFrame, keys: list[str], us: str, span_us: int, aggs: dict[str, Column],
-    forward: bool = True,
+    points: DataFrame, keys: list[str], us: str, span_us: int, value: str, out: str = "n",
+    edge: str | None = None, forward: bool = True,
 ) -> DataFrame:
-    """Aggregates over ``[us, us + span]`` (or ``[us - span, us]``) per key.
+    """Sum of ``value`` over ``[us, us + span]`` (or ``[us - span, us]``) per key.
 
-    ``points`` must hold one row per (key, instant).
+    ``edge`` names a column for the farthest instant of the frame whose value
+    is above 0. ``points`` must hold one row per (key, instant). Each instant
+    also puts a probe at the far end of its frame; running sums at the two
+    positions give the frame's sum, so the work per slice is one sort, whereas
+    a moving frame would be added up anew for every row.
     """
-    frame = Window.partitionBy(*keys, "slice").orderBy(us)
-    frame = frame.rangeBetween(0, span_us) if forward else frame.rangeBetween(-span_us, 0)
-    copies = with_neighbour_slice(points, us, span_us, forward)
-    out = copies.select("*", *[agg.over(frame).alias(name) for name, agg in aggs.items()])
-    return out.filter("home").drop("slice", "home")
+    sign = 1 if forward else -1
+    at = F.col(us) * sign
+    own = slice_of(at, span_us)
+    spots = F.array(
+        F.struct(own.alias("slice"), at.alias("pos"), F.lit(0).alias("probe"), F.lit(True).alias("home")),
+        F.struct((own - 1).alias("slice"), at.alias("pos"), F.lit(0).alias("probe"), F.lit(False).alias("home")),
+        F.struct(own.alias("slice"), (at + span_us).alias("pos"), F.lit(1).alias("probe"), F.lit(True).alias("home")),
+    )
+    rows = points.withColumn("_s", F.explode(spots)).select(*points.columns, "_s.*")
+    so_far = Window.partitionBy(*keys, "slice").orderBy("pos", "probe").rowsBetween(Window.unboundedPreceding, 0)
+    amount = F.when(F.col("probe") == 0, F.col(value)).otherwise(F.lit(0))
+    summed = rows.select(
+        "*", amount.alias("_v"), F.sum(amount).over(so_far).alias("_sum"),
+        F.max(F.when(amount > 0, F.col("pos"))).over(so_far).alias("_far"),
+    )
+    is_probe = F.col("probe") == 1
+    aggs = [
+        (F.max(F.when(is_probe, F.col("_sum"))) - F.max(F.when(~is_probe, F.col("_sum") - F.col("_v")))).alias(out)
+    ]
+    if edge:
+        aggs.append((F.max(F.when(is_probe, F.col("_far"))) * sign).alias(edge))
+    return summed.filter("home").groupBy(*points.columns, "slice").agg(*aggs).drop("slice")
 
 
 def next_instant(
