@@ -40,7 +40,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), most:
         .withColumn("level_here", (F.col("total") - F.col("capped_before")) / F.col("weight_from"))
     )
     free = F.when(F.col("cap") / F.col("weight") >= F.col("level_here"), F.col("level_here"))
-    return stepped.withColumn("level", F.min(free).over(everything)).select(
+    return stepped.withColumn("level", F.max(free).over(everything)).select(
         "source", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target")
     )
 

@@ -86,7 +86,7 @@ w AS (SELECT *, CAST([5, 2, 1][turn % 3 + 1] AS DOUBLE) AS weight, source_size *
 l AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE)
     - coalesce(sum(cap) OVER (ORDER BY cap / weight, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / sum(weight) OVER (ORDER BY cap / weight, turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS here FROM w),
-t AS (SELECT *, least(cap, coalesce(min(CASE WHEN cap / weight >= here THEN here END) OVER () * weight, cap)) AS target FROM l),
+t AS (SELECT *, least(cap, coalesce(max(CASE WHEN cap / weight >= here THEN here END) OVER () * weight, cap)) AS target FROM l),
 x AS (SELECT d.doc_id, d.size, t.source_size, t.target, coalesce(least(t.target / nullif(t.source_size, 0), 3.0), 0) AS rate
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, size * CAST(floor(rate) +
