@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -103,17 +104,17 @@ class Weights:
         return out * count
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], column: int, most_chars: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of at most 2048 rows and about ``most_chars`` characters (one long text may exceed it alone)."""
+def _chunks(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of at most 2048 rows and about ``most_bytes`` of text (one long text may exceed it alone)."""
     for batch in batches:
-        texts, begin, size = batch.column(column).to_pylist(), 0, 0
-        for i, text in enumerate(texts):
-            if i > begin and (size + len(text) > most_chars or i - begin == 2048):
-                yield batch.slice(begin, i - begin), texts[begin:i]
+        begin, size = 0, 0
+        for i, more in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
+            if i > begin and (size + more > most_bytes or i - begin == 2048):
+                yield (part := batch.slice(begin, i - begin)), part.column(column).to_pylist()
                 begin, size = i, 0
-            size += len(text)
-        if texts:
-            yield batch.slice(begin), texts[begin:]
+            size += more
+        if batch.num_rows:
+            yield (part := batch.slice(begin)), part.column(column).to_pylist()
 
 
 def learn_weights(texts: DataFrame, documents: int, share: float = 1 / 256) -> Weights:
@@ -150,10 +151,20 @@ def learn_weights(texts: DataFrame, documents: int, share: float = 1 / 256) -> W
     marked[[r["cell"] for r in found]] = True
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, some in _chunks(batches, 0, 16_000_000):
+        held, size = [], 0
+
+        def summed():
+            seen, n = np.unique(np.concatenate([*held, np.empty(0, np.uint64)]), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int64)), pa.array(n.astype(np.int64))], names=["shingle", "n"])
+
+        for _, some in _chunks(batches, 0):
             _, hashed, _ = shingles(some)
-            seen, n = np.unique(hashed[marked[hashed.astype(np.int64) & (_CELLS - 1)]], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int64)), pa.array(n.astype(np.int64))], names=["shingle", "n"])
+            held.append(hashed[marked[hashed.astype(np.int64) & (_CELLS - 1)]])
+            size += len(held[-1])
+            if size > 1_000_000:
+                yield summed()
+                held, size = [], 0
+        yield summed()
 
     rows = texts.mapInArrow(count, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= floor).toArrow() if marked.any() else None
     scale = math.log(1 / share)
