@@ -67,11 +67,12 @@ def corpus():
     return texts + ["", None, "", " ", "\n", "one two", "One  two", "é", "a b c d e", "A b c D e", texts[3], texts[3], "z " * 30_000, "z " * 30_001]
 
 
-@pytest.fixture(scope="module")
-def rows(spark):
+@pytest.fixture(scope="module", params=[64, 0])
+def rows(spark, request):
+    """With 0 every late comparison goes through blocks."""
     texts = corpus()
     frame = spark.createDataFrame([(i, t, "n", "l") for i, t in enumerate(texts)], "doc_id long, text string, node string, links string")
-    return texts, frame, {r.doc_id: r for r in near_dedup.near_classes(frame).collect()}
+    return texts, frame, {r.doc_id: r for r in near_dedup.near_classes(frame, pairs_per_bucket=request.param).collect()}
 
 
 def test_classes_equal_brute_force(rows):
@@ -110,6 +111,18 @@ def test_samples_estimate_weighted_jaccard():
         assert abs((signs[0] == signs[1]).mean() - exact) < 0.06
 
 
+def test_blocks_equal_single_pairs():
+    texts = [t for t in corpus()[:60] if t and t.split()] + ["a b c d e a b c d e a b c d e", "a b c d e f a b c d e"]
+    weights = near_dedup.Weights(np.empty(0, np.uint64), np.empty(0), 2.0)
+    each = []
+    for t in texts:
+        _, shingle, count = near_dedup.shingles([t])
+        each.append((shingle, weights.of(shingle, count)))
+    grid = near_dedup.similarities(texts[:9] + texts[-2:], texts, weights, width=50)
+    for i, a in enumerate(each[:9] + each[-2:]):
+        assert np.allclose(grid[i], [near_dedup.weighted_jaccard(a, b) for b in each])
+
+
 def test_shingles_do_not_depend_on_the_batch():
     texts = ["a b c d e f g", "", "a b", "é ü ö ä ß x", "b c d e f"]
     doc, shingle, _ = near_dedup.shingles(texts)

@@ -266,7 +266,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, weights: Weights, threshold: f
             for i in range(batch.num_rows):
                 if last[0] != src[i]:
                     last = (src[i], profile(batch.column(2)[i].as_py()))
-                near.append(weighted_jaccard(last[1], profile(batch.column(3)[i].as_py())) >= threshold)
+                near.append(weighted_jaccard(last[1], profile(batch.column(3)[i].as_py())) >= threshold - 1e-9)
             kept = batch.filter(pa.array(near))
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["src", "dst"])
 
@@ -276,8 +276,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, weights: Weights, threshold: f
     return joined.mapInArrow(run, "src bigint, dst bigint")
 
 
-def near_classes(docs: DataFrame, threshold: float = 0.8, bands: int = 16, band_rows: int = 4, id_column: str = "doc_id",
-                 text_column: str = "text") -> DataFrame:
+def near_classes(docs: DataFrame, threshold: float = 0.8, bands: int = 16, band_rows: int = 4, pairs_per_bucket: int = 64,
+                 id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, class_id, group_size, links, kept): every row with its class of near duplicates.
 
     Texts with a weighted Jaccard similarity of ``threshold`` or more are linked,
@@ -292,6 +292,8 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, bands: int = 16, band_
        through again: nodes outside the bucket's most frequent component are
        compared with every node of another component whose total weight
        allows the threshold. No pair that could join two components is left out.
+       Buckets that ask for more than ``pairs_per_bucket`` comparisons are
+       compared block by block, exactly as well; only links leave a block.
 
     Null and empty texts are equal to each other and similar to nothing else, as
     are texts without words; texts under five words are one shingle. A null
@@ -308,10 +310,12 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, bands: int = 16, band_
     sketches = staged(_sketches(named.select("own", "text"), weights, bands, band_rows), "near-sketches")
     nodes = sketches.join(copies.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
     entries = nodes.select("node", "mass", F.posexplode("bands").alias("band", "bucket"))
-    crowded = entries.groupBy("band", "bucket").agg(F.min("node").alias("centre"), F.max("node").alias("most")).filter("centre < most").drop("most")
+    # Each band orders nodes its own way, so a large group meets several centres.
+    crowded = entries.groupBy("band", "bucket").agg(
+        F.min_by("node", F.xxhash64("node", "band")).alias("centre"), F.count("*").alias("n")).filter("n > 1").drop("n")
     members = staged(entries.join(crowded, ["band", "bucket"]), "near-members")
 
-    pairs = members.filter("node <> centre").select(F.col("centre").alias("src"), F.col("node").alias("dst")).distinct()
+    pairs = members.filter("node <> centre").select(F.least("centre", "node").alias("src"), F.greatest("centre", "node").alias("dst")).distinct()
     wanted = members.select("node").distinct()
     texts = staged(named.select(F.col("own").alias("node"), "text").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "near-texts")
     links = staged(_verified(pairs, texts, weights, threshold), "near-links")
@@ -321,17 +325,15 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, bands: int = 16, band_
     mixed = placed.groupBy("band", "bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most")
     split = placed.join(mixed.select("band", "bucket"), ["band", "bucket"], "left_semi")
     sizes = split.groupBy("band", "bucket", "component").count()
-    main = sizes.groupBy("band", "bucket").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
-    level = F.floor(F.log("mass") / math.log(1 / threshold)).cast("bigint")
-    sorted_in = split.join(main, ["band", "bucket"]).withColumn("level", level)
-    outside = sorted_in.filter("component <> main").select(
-        "band", "bucket", F.col("node").alias("src"), F.col("component").alias("one"), F.col("mass").alias("m"), F.explode(F.array(*[F.col("level") + d for d in (-1, 0, 1)])).alias("level"))
-    other = sorted_in.select("band", "bucket", F.col("node").alias("dst"), F.col("component").alias("two"), F.col("mass").alias("w"), "level", "main")
-    crossed = outside.join(other, ["band", "bucket", "level"]).filter(
-        (F.col("one") != F.col("two")) & (F.least("m", "w") >= threshold * F.greatest("m", "w") * 0.999999)
-    ).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct().join(
-        pairs, ["src", "dst"], "left_anti")
-    late = staged(_verified(crossed, texts, weights, threshold), "near-late-links")
+    main = sizes.groupBy("band", "bucket").agg(
+        F.max_by("component", F.struct("count", "component")).alias("main"), F.sum("count").alias("n"), (F.sum("count") - F.max("count")).alias("outside"))
+    sorted_in = staged(split.join(main, ["band", "bucket"]), "near-split")
+    narrow = F.col("outside") * F.col("n") <= pairs_per_bucket
+    late = staged(
+        _verified(_crossed(sorted_in.filter(narrow), threshold).join(pairs, ["src", "dst"], "left_anti"), texts, weights, threshold)
+        .unionByName(_crossed_in_blocks(sorted_in.filter(~narrow), nodes, texts, weights, threshold)).distinct(),
+        "near-late-links",
+    )
     every = links.unionByName(late)
     final = component if late.isEmpty() else _components(every)
 
@@ -343,6 +345,88 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, bands: int = 16, band_
     return found.select(F.col("id").alias(id_column), F.col("class").alias("class_id"), "group_size", "links", (F.col("own") == F.col("class")).alias("kept"))
 
 
+def _crossed(split: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (src, dst) of a bucket in different components, at least one outside the main one."""
+    level = F.floor(F.log("mass") / math.log(1 / threshold)).cast("bigint")
+    levelled = split.withColumn("level", level)
+    outside = levelled.filter("component <> main").select(
+        "band", "bucket", F.col("node").alias("src"), F.col("component").alias("one"), F.col("mass").alias("m"), F.explode(F.array(*[F.col("level") + d for d in (-1, 0, 1)])).alias("level"))
+    other = levelled.select("band", "bucket", F.col("node").alias("dst"), F.col("component").alias("two"), F.col("mass").alias("w"), "level")
+    return outside.join(other, ["band", "bucket", "level"]).filter(
+        (F.col("one") != F.col("two")) & (F.least("m", "w") >= threshold * F.greatest("m", "w") * 0.999999)
+    ).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+
+
+def _levels(texts: list[str], weights: Weights) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, element, weight): a shingle that occurs n times is n elements, so shared weight is a dot product."""
+    doc, shingle, count = shingles(texts)
+    idf = weights.of(shingle, np.ones(len(shingle)))
+    nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    element = np.repeat(shingle, count)
+    element = np.where(nth > 0, _mixed(element + nth.astype(np.uint64) * _GOLD), element)
+    return np.repeat(doc, count), element, np.repeat(idf, count)
+
+
+def similarities(left: list[str], right: list[str], weights: Weights, width: int = 4096) -> np.ndarray:
+    """Weighted Jaccard similarity of every left text with every right text."""
+    a, b = _levels(left, weights), _levels(right, weights)
+    shared = np.intersect1d(a[1], b[1])
+    both = np.zeros((len(left), len(right)))
+    for begin in range(0, len(shared), width):
+        part = shared[begin:begin + width]
+        grids = []
+        for (doc, element, weight), n, weighted in ((a, len(left), True), (b, len(right), False)):
+            at = np.minimum(np.searchsorted(part, element), len(part) - 1)
+            hit = part[at] == element
+            grid = np.zeros((n, len(part)))
+            grid[doc[hit], at[hit]] = weight[hit] if weighted else 1.0
+            grids.append(grid)
+        both += grids[0] @ grids[1].T
+    mass = [np.bincount(doc, weights=weight, minlength=n) for (doc, _, weight), n in ((a, len(left)), (b, len(right)))]
+    return both / np.maximum(mass[0][:, None] + mass[1][None, :] - both, 1e-300)
+
+
+def _crossed_in_blocks(split: DataFrame, nodes: DataFrame, texts: DataFrame, weights: Weights, threshold: float, block_rows: int = 128) -> DataFrame:
+    """The links (src, dst) that ``_crossed`` would lead to, found without a row per pair.
+
+    Nodes of a bucket are dealt to blocks of about ``block_rows``; every block of
+    outside nodes meets every block of the bucket. A pair that shares several
+    bands is looked at in the first of them only.
+    """
+    sides = F.col("component") != F.col("main")
+    lanes = F.greatest(F.lit(1), F.ceil(F.when(sides, F.col("outside")).otherwise(F.col("n") - F.col("outside")) / block_rows))
+    rows = (
+        split.join(texts, "node").join(nodes.select("node", "bands"), "node")
+        .withColumn("out", sides).withColumn("lane", F.pmod(F.xxhash64("node"), lanes.cast("bigint")))
+    )
+    packs = rows.groupBy("band", "bucket", "out", "lane").agg(F.collect_list(F.struct("node", "component", "mass", "bands", "text", "out")).alias("pack"))
+    met = packs.filter("out").select("band", "bucket", F.col("pack").alias("left")).join(packs.select("band", "bucket", F.col("pack").alias("right")), ["band", "bucket"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                band = batch.column(0)[i].as_py()
+                packed = [batch.column(c)[i].values for c in (1, 2)]
+                node, part, mass = ([p.field(f).to_numpy(zero_copy_only=False) for p in packed] for f in ("node", "component", "mass"))
+                signs = [p.field("bands").flatten().to_numpy().reshape(len(p), -1) for p in packed]
+                out = packed[1].field("out").to_numpy(zero_copy_only=False)
+                wanted = part[0][:, None] != part[1][None, :]
+                wanted &= ~out[None, :] | (node[0][:, None] < node[1][None, :])
+                wanted &= np.minimum(mass[0][:, None], mass[1][None, :]) >= threshold * np.maximum(mass[0][:, None], mass[1][None, :]) * 0.999999
+                for earlier in range(band):
+                    wanted &= signs[0][:, earlier][:, None] != signs[1][:, earlier][None, :]
+                rows, columns = np.flatnonzero(wanted.any(1)), np.flatnonzero(wanted.any(0))
+                if not len(rows):
+                    continue
+                one, two = (packed[s].field("text").take(pa.array(at)).to_pylist() for s, at in ((0, rows), (1, columns)))
+                near = similarities(one, two, weights) >= threshold - 1e-9
+                x, y = np.nonzero(near & wanted[np.ix_(rows, columns)])
+                a, b = node[0][rows[x]], node[1][columns[y]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["src", "dst"])
+
+    return met.select("band", "left", "right").mapInArrow(run, "src bigint, dst bigint")
+
+
 def _components(links: DataFrame) -> DataFrame:
     if links.isEmpty():
         return links.select(F.col("src").alias("node"), F.col("dst").alias("component"))
