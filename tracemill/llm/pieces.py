@@ -29,7 +29,7 @@ class PieceModel:
     every text exactly. Ties go to the longer piece.
     """
 
-    def __init__(self, path: str, most_known: int = 1_000_000):
+    def __init__(self, path: str, most_known: int = 250_000):
         import ahocorasick
         import sentencepiece
 
