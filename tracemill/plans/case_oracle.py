@@ -164,7 +164,7 @@ SELECT t.case_id, count(*) OVER (PARTITION BY t.case_id) AS traced_findings, t.f
  (SELECT count(*) FROM ed WHERE ed.case_id=n.case_id AND relation='contains') AS relation_contains, (SELECT count(*) FROM ed WHERE ed.case_id=n.case_id AND relation='triggered') AS relation_triggered,
  (SELECT count(*) FROM ed WHERE ed.case_id=n.case_id AND relation='correlated') AS relation_correlated FROM nd n GROUP BY n.case_id""",
     "workspace": EV + GROUPS + _EVIDENCE + _CASES + _REVIEW + ", " + _CSV_CTES.replace("ids AS", "ids0 AS").replace("FROM ids)", "FROM ids0)") + f""", cr AS ({_CSV_COUNTS}), sm AS ({_SUMMARY})
-SELECT cd.case_id, coalesce((SELECT CASE WHEN bool_or(altered) THEN 'Failed' WHEN bool_or(ok<n) THEN 'Partial' ELSE 'Completed' END FROM cr WHERE cr.case_id=cd.case_id),'Not processed') AS processing_status,
+SELECT cd.case_id, (SELECT CASE WHEN count(*)=0 THEN 'Not processed' WHEN bool_or(altered) THEN 'Failed' WHEN bool_or(ok<n) THEN 'Partial' ELSE 'Completed' END FROM cr WHERE cr.case_id=cd.case_id) AS processing_status,
  integrity_status, evidence_files AS evidence_count, events AS event_count, (SELECT count(*) FROM evs x WHERE x.case_id=cd.case_id AND is_anomalous) AS anomalous_event_count, findings AS finding_count,
  sm.high_severity, open_items, correlations AS correlation_count, activity_groups AS activity_group_count, er.verified, er.mismatch, er.unverified, er.total_bytes,
  (SELECT finding_uid FROM rq WHERE rq.case_id=cd.case_id AND position=1) AS next_review, least(100,correlations)::INT AS links_shown

@@ -280,5 +280,7 @@ def workspaces(t: ReportTables) -> DataFrame:
     numbers = ("event_count", "anomalous_event_count", "high_severity", "open_items", "correlation_count",
                "activity_group_count", "verified", "mismatch", "unverified", "total_bytes")
     unverified = F.coalesce("integrity_status", F.lit(W.INTEGRITY_LABELS[0]))
+    nothing = F.array().cast("array<string>")
     return headline.withColumns({c: _zero(c) for c in numbers}).withColumn("integrity_status", unverified).join(
-        shown, "case_id", "left").join(first_links, "case_id", "left")
+        shown, "case_id", "left").join(first_links, "case_id", "left").withColumns(
+        {c: F.coalesce(c, nothing) for c in ("review_queue", "link_preview")})
