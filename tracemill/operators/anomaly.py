@@ -16,8 +16,7 @@ from tracemill.operators.slices import top_k_per_group
 from tracemill.schema import FEATURE_NAMES, AnomalyParams
 from tracemill.session import reliable_checkpoint
 
-_POOL = 4096  # windows a case's trees draw their samples from
-_FOREST = "case_id string, n int, feature array<int>, cut array<double>, left array<int>, size array<int>, roots array<int>"
+_TREE = "case_id string, tree int, n int, feature array<int>, cut array<double>, child array<int>, size array<int>"
 
 
 def _path_norm(n: float) -> float:
@@ -50,33 +49,40 @@ def _grow(x: np.ndarray, limit: int, rng: np.random.Generator, nodes: list) -> N
 
 
 def fit_forests(windows: DataFrame, p: AnomalyParams = AnomalyParams()) -> DataFrame:
-    """One forest per case, grown from at most ``_POOL`` hash-ordered windows."""
+    """One forest per case; every tree has its own sample of ``max_samples`` of all the case's windows.
+
+    A tree takes the windows with the smallest draws. A draw far above the
+    expected one of the last window taken is left out before the shuffle.
+    Trees grow one per group, and a case gathers its ``n_estimators`` trees.
+    """
     cols = list(FEATURE_NAMES)
-    draw = F.xxhash64("case_id", "window_start", F.lit(p.seed))
-    pool = top_k_per_group(
-        windows.select("case_id", "window_start", *cols).withColumn("draw", draw),
-        ["case_id"], [F.asc("draw"), F.asc("window_start")], _POOL,
-    )
+    per_case = windows.groupBy("case_id").agg(F.count("*").alias("_n"))
+    span = 1 << 52
+    draw = lambda t: F.pmod(F.xxhash64("case_id", "window_start", t, F.lit(p.seed)), F.lit(span))
+    near = F.lit(2.0 * p.max_samples + 64) / F.col("_n") * span
+    trees = F.filter(
+        F.transform(F.sequence(F.lit(0), F.lit(p.n_estimators - 1)), lambda t: F.struct(t.alias("tree"), draw(t).alias("draw"))),
+        lambda d: d["draw"] < near)
+    drawn = windows.select("case_id", "window_start", *cols).join(per_case, "case_id").withColumn("_d", F.explode(trees)).select(
+        "case_id", "window_start", *cols, "_d.tree", "_d.draw")
+    samples = top_k_per_group(drawn, ["case_id", "tree"], [F.asc("draw"), F.asc("window_start")], p.max_samples)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["draw", "window_start"])
         x = pdf[cols].to_numpy(dtype=np.float64)
-        case = str(pdf["case_id"].iloc[0])
-        rng = np.random.default_rng([p.seed, zlib.crc32(case.encode())])
-        n = min(p.max_samples, len(x))
-        limit = math.ceil(math.log2(max(n, 2)))
+        case, tree = str(pdf["case_id"].iloc[0]), int(pdf["tree"].iloc[0])
+        rng = np.random.default_rng([p.seed, zlib.crc32(case.encode()), tree])
         nodes: list = []
-        roots = []
-        for _ in range(p.n_estimators):
-            roots.append(len(nodes))
-            _grow(x[rng.choice(len(x), n, replace=False)], limit, rng, nodes)
-        feature, cut, left, size = (list(c) for c in zip(*nodes))
+        _grow(x, math.ceil(math.log2(max(len(x), 2))), rng, nodes)
+        feature, cut, child, size = (list(c) for c in zip(*nodes))
         return pd.DataFrame(
-            [[case, n, feature, cut, left, size, roots]],
-            columns=["case_id", "n", "feature", "cut", "left", "size", "roots"],
+            [[case, tree, len(x), feature, cut, child, size]],
+            columns=["case_id", "tree", "n", "feature", "cut", "child", "size"],
         )
 
-    return pool.groupBy("case_id").applyInPandas(fit, _FOREST)
+    return samples.groupBy("case_id", "tree").applyInPandas(fit, _TREE).groupBy("case_id").agg(
+        F.max("n").alias("n"),
+        F.sort_array(F.collect_list(F.struct("tree", "feature", "cut", "child", "size"))).alias("trees"))
 
 
 def raw_scores(windows: DataFrame, forests: DataFrame, p: AnomalyParams = AnomalyParams()) -> DataFrame:
@@ -96,23 +102,20 @@ def raw_scores(windows: DataFrame, forests: DataFrame, p: AnomalyParams = Anomal
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         x = left[cols].to_numpy(dtype=np.float64)
         f = right.iloc[0]
-        feature, cut = np.asarray(f["feature"]), np.asarray(f["cut"])
-        child, size = np.asarray(f["left"]), np.asarray(f["size"])
-        leaf_depth = np.array([_path_norm(s) for s in range(int(size.max()) + 1)])
         total = np.zeros(len(x))
-        rows_at = np.arange(len(x))
-        for root in f["roots"]:
-            at = np.full(len(x), root)
+        for tree in f["trees"]:
+            feature, cut, child, size = (np.asarray(tree[k]) for k in ("feature", "cut", "child", "size"))
+            leaf_depth = np.array([_path_norm(k) for k in range(int(size.max()) + 1)])
+            at = np.zeros(len(x), int)
             depth = np.zeros(len(x))
             live = feature[at] >= 0
             while live.any():
-                r, node = rows_at[live], at[live]
-                right_side = x[r, feature[node]] > cut[node]
-                at[live] = child[node] + right_side
+                node = at[live]
+                at[live] = child[node] + (x[live, feature[node]] > cut[node])
                 depth[live] += 1
                 live = feature[at] >= 0
             total += depth + leaf_depth[size[at]]
-        mean = total / len(f["roots"])
+        mean = total / len(f["trees"])
         raw = -np.power(2.0, -mean / max(_path_norm(int(f["n"])), 1.0))
         return pd.DataFrame(
             {"case_id": left["case_id"], "window_start": left["window_start"], "raw_score": raw}

@@ -399,10 +399,10 @@ def members(events: DataFrame, found: DataFrame, p: RuleParams) -> DataFrame:
     return out.select(*SCOPE, "rule_id", *keep, "role", "tokens")
 
 
-# How many names a text spells out. Files and destinations end in
-# "…" beyond that, other lists say how many more there are.
+# A text spells out the first of these and ends in "…" beyond
+# them; every other list is whole.
 _LISTED = {"files": 5, "destinations": 4}
-MAX_NAMES = 100
+_FIRST = {**_LISTED, "addresses": 2}
 
 
 def finding_values(member_rows: DataFrame) -> DataFrame:
@@ -444,11 +444,14 @@ def finding_values(member_rows: DataFrame) -> DataFrame:
 def _facets(values: DataFrame) -> DataFrame:
     """What the texts spell out, as one map row per finding.
 
-    Only the first names of a list are gathered, by a two-level top-k; the
-    totals are counted.
+    Of files, destinations and addresses only the first are gathered, by a
+    two-level top-k; names, tokens and actions are distinct already, and whole.
+    The totals are counted.
     """
     key = [*SCOPE, "rule_id"]
-    shown = top_k_per_group(values, [*key, "facet"], [F.asc("value")], MAX_NAMES)
+    cut = F.col("facet").isin(*_FIRST)
+    first = top_k_per_group(values.filter(cut), [*key, "facet"], [F.asc("value")], max(_FIRST.values())).drop("rank")
+    shown = first.unionByName(values.filter(~cut))
     lists = shown.groupBy(*key, "facet").agg(
         F.sort_array(F.collect_list(F.struct("value", "n"))).alias("items")
     )
@@ -467,20 +470,13 @@ def _total(facet: str) -> Column:
     return F.coalesce(F.try_element_at("totals", F.lit(facet)), F.lit(0))
 
 
-def _rest(facet: str) -> Column:
-    """Empty, or how many names are not spelled out."""
-    left = _total(facet) - MAX_NAMES
-    return F.when(left > 0, F.concat(F.lit(", … ("), left.cast("string"), F.lit(" more)"))).otherwise("")
-
-
 def _joined(facet: str, sep: str = ", ") -> Column:
     items = F.coalesce(
         F.try_element_at("lists", F.lit(facet)), F.array().cast("array<struct<value:string,n:bigint>>")
     )
     if facet in _LISTED:
         items = F.slice(items, 1, _LISTED[facet])
-    text = F.array_join(F.transform(items, lambda i: i["value"]), sep)
-    return text if facet in _LISTED else F.concat(text, _rest(facet))
+    return F.array_join(F.transform(items, lambda i: i["value"]), sep)
 
 
 def _more(facet: str) -> Column:
@@ -497,7 +493,6 @@ def _texts(p: RuleParams) -> tuple[Column, Column]:
     actions = F.array_join(
         F.transform(F.try_element_at("lists", F.lit("actions")),
                     lambda i: F.concat(i["value"], F.lit("="), i["n"].cast("string"))), ", ")
-    actions = F.concat(actions, _rest("actions"))
     addresses = F.transform(
         F.try_element_at("lists", F.lit("addresses")), lambda i: F.substring(i["value"], 22, 64))
     first_ip, second_ip = F.get(addresses, F.lit(0)), F.get(addresses, F.lit(1))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from tracemill.plans.assistant import KEYWORDS, TRACE_WORDS
 from tracemill.plans.ingest_queries import _CSV_COUNTS, CSV_SQL
 from tracemill.plans.oracle import EV, FINDINGS, GRAPH, GROUPS, windows
+from tracemill.schema import FEATURE_NAMES
 from tracemill import wording as W
 
 TALK = """
@@ -170,9 +171,14 @@ SELECT cd.case_id, (SELECT CASE WHEN count(*)=0 THEN 'Not processed' WHEN bool_o
  (SELECT finding_uid FROM rq WHERE rq.case_id=cd.case_id AND position=1) AS next_review, least(100,correlations)::INT AS links_shown
 FROM cd JOIN sm USING (case_id) JOIN hl USING (case_id) JOIN er USING (case_id) JOIN rs USING (case_id)""",
     "segment_labels": EV + _LABELS + "SELECT case_id, label, count(*) AS windows FROM lw GROUP BY ALL",
-    "segment_features": EV + _LABELS + """SELECT case_id, window_start, round(distinct_users/distinct_hosts,6) AS users_per_host, round(total/greatest(1,distinct_hosts),6) AS events_per_host,
- round(src_network/total,6) AS part_network, round(src_process/total,6) AS part_process, (high_severity_count+critical_severity_count)::DOUBLE AS high_or_critical, total AS total_events,
- round(src_authentication/total,6) AS share_src_authentication FROM lt""",
+    "segment_features": EV + _LABELS + "SELECT case_id, window_start, " + ", ".join([
+        *[f'{c}::DOUBLE AS "count:{c}", round({c}/total,6) AS "share:{c}"' for c in FEATURE_NAMES],
+        *[f"{c}::DOUBLE AS {c}" for c in ("distinct_users", "distinct_hosts", "distinct_source_ips", "distinct_file_paths",
+                                          "distinct_processes", "duplicate_count")],
+        *[f"round(src_{c}/total,6) AS share_{c}" for c in ("file_activity", "network", "authentication", "process")],
+        "CASE WHEN distinct_hosts>0 THEN round(distinct_users/distinct_hosts,6) ELSE 0.0::DOUBLE END AS users_per_host",
+        "round(total/greatest(1,distinct_hosts),6) AS events_per_host",
+        "(high_severity_count+critical_severity_count)::DOUBLE AS high_or_critical_count", "total AS total_events"]) + " FROM lt",
     "segment_guard": EV + _LABELS + """, g AS (SELECT count(*) AS windows, count(*) FILTER (label='benign') AS benign, count(*) FILTER (label='compromise') AS compromise, count(*) FILTER (label='ransomware_like') AS ransomware_like FROM lw)
 SELECT *, NULL::VARCHAR AS abstained_reason, false AS abstained, round(greatest(benign,compromise,ransomware_like)/windows,6) AS baseline_accuracy FROM g""",
     "segment_split": EV + _LABELS + """, c AS (SELECT label, count(*) AS n FROM lw GROUP BY 1)

@@ -278,8 +278,7 @@ def segment_labels(spark, d):
 
 def segment_features(spark, d):
     cols = classifier.feature_columns()
-    names = ("users_per_host", "events_per_host", "part_network", "part_process", "high_or_critical", "total_events", "share_src_authentication")
-    return labelled_windows(spark, d).select("case_id", "window_start", *[F.round(cols[n], 6).alias(n) for n in names])
+    return labelled_windows(spark, d).select("case_id", "window_start", *[F.round(c, 6).alias(n) for n, c in cols.items()])
 
 
 def segment_guard(spark, d):
@@ -292,7 +291,7 @@ def segment_split(spark, d):
 
 
 def _trained(spark, d):
-    return Q.stage(spark, d, "classifier", lambda: classifier.evaluate(labelled_windows(spark, d), trees=20, folds=2))
+    return Q.stage(spark, d, "classifier", lambda: classifier.evaluate(labelled_windows(spark, d)))
 
 
 def segment_classifier(spark, d):
@@ -303,6 +302,14 @@ def segment_metrics(spark, d):
     return _trained(spark, d).metrics
 
 
+def segment_confusion(spark, d):
+    return _trained(spark, d).confusion
+
+
+def segment_folds(spark, d):
+    return classifier.fold_summary(_trained(spark, d).folds)
+
+
 QUERIES = {
     "review_fold": review_fold, "review_status": review_status, "notes_load": notes_load, "notes_newest": notes_newest,
     "custody_log": custody_log, "synthetic_cases": synthetic_cases, "corpus_match": corpus_match, "evidence_append": evidence_append,
@@ -315,5 +322,6 @@ QUERIES = {
     "report_trace": report_trace, "report_graph": report_graph, "workspace": workspace, "segment_labels": segment_labels,
     "segment_features": segment_features, "segment_guard": segment_guard, "segment_split": segment_split,
     "segment_classifier": segment_classifier, "segment_metrics": segment_metrics,
+    "segment_confusion": segment_confusion, "segment_folds": segment_folds,
 }
 

@@ -31,14 +31,14 @@ def build_session(app: str = "tracemill", master: str | None = None, **conf) ->
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared folder named in ``spark.checkpoint.dir``.
 
-    A cluster names the folder; only where nothing is set (tests) is a
-    temporary one chosen. Files in it outlive any executor.
+    A cluster names the folder; only where nothing is set and all runs in one
+    process (tests) is a temporary one chosen. Files in it outlive any executor.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         configured = spark.conf.get("spark.checkpoint.dir", None)
-        if not configured and not sc.master.startswith("local"):
+        if not configured and not sc.master.startswith("local[") and sc.master != "local":
             raise ValueError("set spark.checkpoint.dir to a shared folder")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tracemill-ckpt-"))
     return df.checkpoint(eager=True)
