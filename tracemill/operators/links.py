@@ -188,6 +188,7 @@ def _reason(window: int) -> Column:
         return F.when(text != "", text).otherwise(fallback)
 
     host = F.coalesce(shared["host"], F.lit("unknown"))
+    # The wording of a link's reason.
     by_type = {
         "CORR-001": ("Both events occurred on host ", shared["host"], " and ", when,
                      ". Shared host is co-occurrence, not causation."),
