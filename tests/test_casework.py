@@ -172,3 +172,6 @@ def test_classifier_guards_and_learning(spark):
     assert out.metrics.first().accuracy > out.guard.first().baseline_accuracy and len(out.cv_accuracy) == 2
     assert out.predictions.filter(F.col("predicted_label") == F.col("label")).count() > 70
     assert len(classifier.feature_columns()) == 50
+    assert out.confusion.count() == 9 and out.confusion.agg(F.sum("n")).first()[0] == 20
+    summary = classifier.fold_summary(out.folds).first()
+    assert summary.folds == 2 and abs(summary["mean"] - sum(out.cv_accuracy) / 2) < 1e-12
