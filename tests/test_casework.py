@@ -45,8 +45,9 @@ def test_notes_and_markers(spark):
         "case_id string, note_id int, body string, author string, finding_uid string")
     findings = spark.createDataFrame([("C1", "RFND-000001")], "case_id string, finding_uid string")
     got = {r.note_id: r for r in casework.load_notes(notes, findings).collect()}
-    assert [got[i].reject_reason is None for i in range(1, 7)] == [True, False, False, True, False, False]
-    assert (got[1].body, got[1].author, len(got[4].author)) == ("hi", "investigator", 127)
+    assert [got[i].reject_reason is None for i in range(1, 7)] == [True, False, False, False, False, False]
+    assert (got[1].body, got[1].author, len(got[4].author)) == ("hi", "investigator", 200)
+    assert got[4].reject_reason == "Note author exceeds the 127 character limit."
     cases = spark.createDataFrame([("C1", False, "x SYNTHETIC / DEMONSTRATION DATA"), ("C2", True, None), ("C3", False, "synthetic / demonstration data"), ("C4", False, None)],
                                   "case_id string, demo boolean, description string")
     evidence = spark.createDataFrame([("C4", None), ("C3", "plain")], "case_id string, source string")

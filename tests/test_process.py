@@ -137,4 +137,7 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(log).count() == 2
     fresh, conflict = split_new(rows, rows.filter("v = 1"))
     assert [r.evidence_id for r in fresh.collect()] == ["EV-0002"] and [r.evidence_id for r in conflict.collect()] == ["EV-0001"]
+    twice = spark.createDataFrame([("C1", "EV-0003", "b"), ("C1", "EV-0003", "a"), ("C1", "EV-0003", None)], "case_id string, evidence_id string, path string")
+    fresh, conflict = split_new(twice, rows)
+    assert [r.path for r in fresh.collect()] == ["a"] and sorted(str(r.path) for r in conflict.collect()) == ["None", "b"]
     assert rebuildable(rows, rows.filter("v = 2")).count() == 1

@@ -130,11 +130,12 @@ def load_notes(notes: DataFrame, findings: DataFrame) -> DataFrame:
     """
     pins = findings.select("case_id", "finding_uid", F.lit(True).alias("pin_ok"))
     body = F.coalesce(strip(F.col("body")), F.lit(""))
-    author = F.substring(strip(F.coalesce("author", F.lit("investigator"))), 1, MAX_AUTHOR)
+    author = strip(F.coalesce("author", F.lit("investigator")))
     pin = F.nullif(F.col("finding_uid"), F.lit(""))
     reason = (
         F.when(F.col("body") == "", "Note body must not be empty.")
         .when(F.length("body") > MAX_NOTE, f"Note body exceeds the {MAX_NOTE} character limit.")
+        .when(F.length("author") > MAX_AUTHOR, f"Note author exceeds the {MAX_AUTHOR} character limit.")
         .when(F.col("finding_uid").isNotNull() & ~F.col("finding_uid").rlike("^(RFND|MFND)-"),
               "finding_uid must be a RFND- or MFND- finding identifier.")
         .when(F.col("finding_uid").isNotNull() & F.col("pin_ok").isNull(),

@@ -16,7 +16,7 @@ TALK = """
 _OK = """(({c}='New' AND {t}='Under Review') OR ({c}='Under Review' AND {t} IN ('Confirmed','Dismissed')) OR ({c}='Confirmed' AND {t} IN ('Under Review','Dismissed'))
   OR ({c}='Dismissed' AND {t} IN ('Under Review','Confirmed')))"""
 
-FOLD = EV + FINDINGS + TALK + f"""
+_FOLD = f"""
 , ra AS (SELECT t.case_id, t.finding_uid, n AS seq, role, ['Under Review','Confirmed','Under Review','Dismissed','New'][(conv_id*3+turn*2)%5+1] AS to_status, f.kind IS NOT NULL AS known,
   row_number() OVER (PARTITION BY t.case_id, t.finding_uid ORDER BY n) AS rn FROM tk t LEFT JOIN fnd f USING (case_id, finding_uid))
 , fold AS (SELECT ra.*, 'New' AS cur, known AND {_OK.format(c="'New'", t='to_status')} AS accepted FROM ra WHERE rn=1
@@ -25,7 +25,16 @@ FOLD = EV + FINDINGS + TALK + f"""
   FROM fold f JOIN ra r ON r.case_id=f.case_id AND r.finding_uid=f.finding_uid AND r.rn=f.rn+1)
 """
 
-NOTES = EV + FINDINGS + TALK + r"""
+FOLD = EV + FINDINGS + TALK + _FOLD
+
+_CUSTODY = """
+ SELECT case_id, unnest(['Evidence Added','Hash Generated']) AS action, count(*) AS n FROM evd GROUP BY 1,2
+ UNION ALL SELECT case_id, CASE result WHEN 'VERIFIED' THEN 'Integrity Verified' ELSE 'Integrity Mismatch' END, count(*) FROM ck GROUP BY 1,2
+ UNION ALL SELECT case_id, unnest(['Analysis Started','Analysis Completed']), count(*) FROM cr GROUP BY 1,2
+ UNION ALL SELECT case_id, unnest(['Automated Analysis Started','Automated Analysis Completed']), 1 FROM (SELECT DISTINCT case_id FROM ev)
+ UNION ALL SELECT case_id, 'Investigator Reviewed', count(*) FROM fold WHERE accepted GROUP BY 1"""
+
+_NOTES = r"""
 , nt AS (SELECT case_id, n AS note_id, CASE n%6 WHEN 0 THEN NULL WHEN 1 THEN 'XX-1' WHEN 2 THEN 'RFND-999999' ELSE finding_uid END AS finding_uid,
   CASE WHEN role='system' THEN 'investigator' ELSE role END AS author,
   regexp_replace(CASE WHEN n%10=3 THEN '  ' WHEN n%10=4 THEN repeat(text,30) ELSE ' '||text||chr(10) END,'^[ \t\n\r]+|[ \t\n\r]+$','','g') AS body FROM tk)
@@ -34,6 +43,7 @@ NOTES = EV + FINDINGS + TALK + r"""
   WHEN finding_uid IS NOT NULL AND f.kind IS NULL THEN 'Finding '||finding_uid||' does not exist in this case.' END AS reject_reason
   FROM nt LEFT JOIN fnd f USING (case_id, finding_uid))
 """
+NOTES = EV + FINDINGS + TALK + _NOTES
 
 _EVIDENCE = """
 , evd AS (SELECT case_id, evidence_id, min(source_type) AS evidence_type, sum(length(content))::BIGINT AS file_size, count(*) AS record_count FROM ev GROUP BY ALL)
@@ -104,12 +114,7 @@ ORACLES = {
     "notes_newest": NOTES + """SELECT case_id, row_number() OVER w AS position, note_id FROM nr WHERE reject_reason IS NULL
  WINDOW w AS (PARTITION BY case_id ORDER BY note_id DESC) QUALIFY row_number() OVER w<=20""",
     "custody_log": FOLD + _EVIDENCE + ", " + _CSV_CTES.replace("ids AS", "ids0 AS").replace("FROM ids)", "FROM ids0)") + f""", cr AS ({_CSV_COUNTS})
-SELECT case_id, action, sum(n)::BIGINT AS entries FROM (
- SELECT case_id, unnest(['Evidence Added','Hash Generated']) AS action, count(*) AS n FROM evd GROUP BY 1,2
- UNION ALL SELECT case_id, CASE result WHEN 'VERIFIED' THEN 'Integrity Verified' ELSE 'Integrity Mismatch' END, count(*) FROM ck GROUP BY 1,2
- UNION ALL SELECT case_id, unnest(['Analysis Started','Analysis Completed']), count(*) FROM cr GROUP BY 1,2
- UNION ALL SELECT case_id, unnest(['Automated Analysis Started','Automated Analysis Completed']), 1 FROM (SELECT DISTINCT case_id FROM ev)
- UNION ALL SELECT case_id, 'Investigator Reviewed', count(*) FROM fold WHERE accepted GROUP BY 1) GROUP BY 1,2""",
+SELECT case_id, action, sum(n)::BIGINT AS entries FROM ({_CUSTODY}) GROUP BY 1,2""",
     "synthetic_cases": "SELECT DISTINCT 'CASE-2024-'||lpad(CAST(page_id%3+1 AS VARCHAR),3,'0') AS case_id FROM pages WHERE page_id%3=0",
     "corpus_match": EV + """SELECT case_id, arg_min(['A','B','C'][no%3+1], no%3) AS scenario FROM (SELECT DISTINCT case_id, CAST(right(evidence_id,4) AS INT) AS no FROM ev)
  WHERE case_id<>'CASE-2024-004' GROUP BY 1""",
@@ -132,14 +137,14 @@ SELECT v.*, (SELECT count(*) FROM fnd WHERE CASE breakdown WHEN 'severity' THEN
  UNION ALL SELECT 'events', (SELECT count(*) FROM ev) UNION ALL SELECT 'findings', (SELECT count(*) FROM fnd) UNION ALL SELECT 'finding_events', (SELECT count(*) FROM fe)
  UNION ALL SELECT 'links', (SELECT count(*) FROM lk) UNION ALL SELECT 'groups', (SELECT count(*) FROM gr) UNION ALL SELECT 'integrity_checks', (SELECT count(*) FROM ck)
  UNION ALL SELECT 'notes', (SELECT count(*) FROM conversations) UNION ALL SELECT 'runs', (SELECT count(DISTINCT event_id//500) FROM events)""",
-    "kpis": EV + GROUPS + _EVIDENCE + _CASES + _REVIEW + TALK + ", " + _CSV_CTES.replace("ids AS", "ids0 AS").replace("FROM ids)", "FROM ids0)") + f""", cr AS ({_CSV_COUNTS})
+    "kpis": EV + GROUPS + _EVIDENCE + _CASES + _REVIEW + TALK + _FOLD + ", " + _CSV_CTES.replace("ids AS", "ids0 AS").replace("FROM ids)", "FROM ids0)") + f""", cr AS ({_CSV_COUNTS}), cu AS ({_CUSTODY})
 SELECT cd.*, (SELECT count(*) FROM evd x WHERE x.case_id=cd.case_id) AS evidence_count, (SELECT count(*) FROM evs x WHERE x.case_id=cd.case_id) AS event_count,
  (SELECT count(*) FROM evs x WHERE x.case_id=cd.case_id AND is_anomalous) AS anomalous_event_count, (SELECT count(*) FROM cr x WHERE x.case_id=cd.case_id) AS processing_runs,
  (SELECT coalesce(sum(ok),0)::BIGINT FROM cr x WHERE x.case_id=cd.case_id AND NOT altered) AS records_normalized, (SELECT coalesce(sum(n-ok),0)::BIGINT FROM cr x WHERE x.case_id=cd.case_id AND NOT altered) AS records_rejected,
  rs.rule_findings, rs.ml_findings, 0::BIGINT AS confirmed_findings, (SELECT count(*) FROM lk x WHERE x.case_id=cd.case_id) AS correlations, (SELECT count(*) FROM gr x WHERE x.case_id=cd.case_id) AS activity_groups,
  (SELECT count(*) FROM ck x WHERE x.case_id=cd.case_id) AS integrity_checks, (SELECT count(*) FROM ck x WHERE x.case_id=cd.case_id AND result='VERIFIED') AS integrity_verified,
- (SELECT count(*) FROM ck x WHERE x.case_id=cd.case_id AND result='MISMATCH') AS integrity_mismatch, (SELECT count(*) FROM tk x WHERE x.case_id=cd.case_id) AS custody_events,
- (SELECT count(*) FROM tk x WHERE x.case_id=cd.case_id) AS assistant_queries, (SELECT count(*) FROM tk x WHERE x.case_id=cd.case_id) AS reports FROM cd LEFT JOIN rs USING (case_id)""",
+ (SELECT count(*) FROM ck x WHERE x.case_id=cd.case_id AND result='MISMATCH') AS integrity_mismatch, (SELECT sum(n)::BIGINT FROM cu x WHERE x.case_id=cd.case_id) AS custody_events,
+ (SELECT count(*) FROM tk x WHERE x.case_id=cd.case_id) AS assistant_queries, 1::BIGINT AS reports FROM cd LEFT JOIN rs USING (case_id)""",
     "ml_rollup": EV + FINDINGS + "SELECT count(DISTINCT case_id) AS completed_runs, count(*) AS windows_total, count(*) FILTER (flagged) AS windows_flagged, 0::BIGINT AS abstained_runs FROM gated",
     "run_resolution": EV + """, r AS (SELECT case_id, strftime(timestamp,'%Y%m%d') AS run_uid, count(*) AS n FROM ev GROUP BY ALL)
 SELECT case_id, run_uid, n, CASE WHEN n%2=1 THEN 'Failed' ELSE 'Completed' END AS status FROM r QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY n%2, run_uid DESC)=1""",
@@ -160,6 +165,15 @@ SELECT case_id, CASE WHEN findings=0 THEN '{W.CONCLUSION_NO_FINDINGS}' WHEN corr
  total AS checked_items, verified AS verified_items, mismatch AS mismatch_items, unverified AS unverified_items FROM er""",
     "report_trace": EV + FINDINGS + """, t50 AS (SELECT case_id, finding_uid FROM fnd QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY finding_uid DESC)<=50)
 SELECT t.case_id, count(*) OVER (PARTITION BY t.case_id) AS traced_findings, t.finding_uid, least(200,(SELECT count(*) FROM fe WHERE fe.case_id=t.case_id AND fe.finding_uid=t.finding_uid))::INT AS linked_events FROM t50 t""",
+    "report_items": EV + FINDINGS + _EVIDENCE + TALK + _NOTES + """
+SELECT case_id, 'evidence_inventory' AS section, evidence_id AS item_key, json_object('original_filename', lower(evidence_id)||'.csv', 'evidence_type', evidence_type,
+  'file_size', file_size, 'sha256', sha256(case_id||'|'||evidence_id), 'record_count', record_count, 'status', 'Analyzed')::VARCHAR AS item FROM evd
+ UNION ALL SELECT e.case_id, 'evidence_integrity', e.evidence_id, json_object('original_filename', lower(e.evidence_id)||'.csv', 'result',
+  CASE WHEN latest='VERIFIED' THEN 'INTEGRITY VERIFIED' WHEN latest IS NOT NULL THEN 'INTEGRITY MISMATCH' ELSE 'NOT VERIFIED' END)::VARCHAR
+  FROM evd e LEFT JOIN lc USING (case_id, evidence_id)
+ UNION ALL SELECT fe.case_id, 'traceability', fe.finding_uid||'/'||e.event_uid, json_object('row_index', e.id, 'content', e.content, 'evidence_id', e.evidence_id,
+  'original_filename', lower(e.evidence_id)||'.csv', 'sha256', sha256(e.case_id||'|'||e.evidence_id))::VARCHAR FROM fe JOIN ev e ON e.id=fe.id
+ UNION ALL SELECT case_id, 'review', note_id::VARCHAR, json_object('finding_uid', finding_uid, 'author', author, 'body', body)::VARCHAR FROM nr WHERE reject_reason IS NULL""",
     "report_graph": EV + GRAPH + """SELECT n.case_id, (SELECT count(*) FROM cn0 WHERE cn0.case_id=n.case_id)>200 OR (SELECT count(*) FROM ed0 WHERE ed0.case_id=n.case_id)>500 AS truncated,
  count(*) FILTER (node_type='evidence') AS node_type_evidence, count(*) FILTER (node_type='finding') AS node_type_finding, count(*) FILTER (node_type='event') AS node_type_event,
  (SELECT count(*) FROM ed WHERE ed.case_id=n.case_id AND relation='contains') AS relation_contains, (SELECT count(*) FROM ed WHERE ed.case_id=n.case_id AND relation='triggered') AS relation_triggered,

@@ -32,7 +32,7 @@ def review_actions(spark, d) -> DataFrame:
     pick = ((F.col("conv_id") * 3 + F.col("turn") * 2) % 5 + 1).cast("int")
     return talk(spark, d).select(
         "case_id", "finding_uid", F.col("n").alias("seq"), F.element_at(wanted, pick).alias("to_status"),
-        F.col("role").alias("author"), F.substring("text", 1, 20).alias("note"))
+        F.col("role").alias("author"), F.col("text").alias("note"))
 
 
 def note_rows(spark, d) -> DataFrame:
@@ -86,15 +86,18 @@ def notes_newest(spark, d):
     return search.page_per_case(good, [F.desc("created_at"), F.desc("note_id")], 20).select("case_id", "position", "note_id")
 
 
-def custody_log(spark, d):
+def _custody(spark, d) -> DataFrame:
     actor, at = F.lit("system").alias("actor"), F.lit("2024-02-01").cast("timestamp_ntz").alias("at")
     ck = checks(spark, d).withColumns({"computed_hash": F.lit("c"), "expected_hash": F.lit("e"), "actor": F.lit("system"), "at": F.col("checked_at")})
     up = adapter.evidence(spark, d).select("*", actor, F.col("uploaded_at").alias("at"))
     done = casework.fold_reviews(review_actions(spark, d), Q.analysis(spark, d).findings)[0].filter("accepted").select("*", F.col("author").alias("actor"), at)
-    log = casework.custody_log(
+    return casework.custody_log(
         uploads=up, checks=ck, runs=csv_run(spark, d).runs.select("*", actor, at),
         analyses=Q.analysis(spark, d).stats.select("*", actor, at), reviews=done)
-    return log.groupBy("case_id", "action").agg(F.count("*").alias("entries"))
+
+
+def custody_log(spark, d):
+    return _custody(spark, d).groupBy("case_id", "action").agg(F.count("*").alias("entries"))
 
 
 def synthetic_cases(spark, d):
@@ -167,10 +170,10 @@ def totals(spark, d):
 
 def kpis(spark, d):
     a = Q.analysis(spark, d)
-    log = review_actions(spark, d)
     return rollups.case_kpis(
         adapter.cases(spark, d), adapter.evidence(spark, d), a.events, csv_run(spark, d).runs, a.findings,
-        Q.found_links(spark, d), Q.found_groups(spark, d)[0], checks(spark, d), log, questions(spark, d), note_rows(spark, d))
+        Q.found_links(spark, d), Q.found_groups(spark, d)[0], checks(spark, d), _custody(spark, d), questions(spark, d),
+        report_snapshot(spark, d))
 
 
 def ml_rollup(spark, d):
@@ -250,6 +253,10 @@ def report_trace(spark, d):
     return rows.select("case_id", "traced_findings", "t.finding_uid", F.size("t.linked_events").alias("linked_events"))
 
 
+def report_items(spark, d):
+    return report.report_items(_report_tables(spark, d))
+
+
 def report_graph(spark, d):
     return report.graph_section(_report_tables(spark, d)).drop("table_rows")
 
@@ -319,7 +326,7 @@ QUERIES = {
     "run_resolution": run_resolution, "intent_classify": intent_classify, "answer_batch": answer_batch,
     "answer_confidence": answer_confidence, "answer_history": answer_history, "report_snapshot": report_snapshot,
     "report_summary": report_summary, "report_conclusion": report_conclusion, "report_integrity": report_integrity,
-    "report_trace": report_trace, "report_graph": report_graph, "workspace": workspace, "segment_labels": segment_labels,
+    "report_trace": report_trace, "report_items": report_items, "report_graph": report_graph, "workspace": workspace, "segment_labels": segment_labels,
     "segment_features": segment_features, "segment_guard": segment_guard, "segment_split": segment_split,
     "segment_classifier": segment_classifier, "segment_metrics": segment_metrics,
     "segment_confusion": segment_confusion, "segment_folds": segment_folds,

@@ -61,6 +61,11 @@ def _zero(c: str) -> Column:
     return F.coalesce(c, F.lit(0))
 
 
+def _integrity_result() -> Column:
+    return F.when(F.col("latest") == "VERIFIED", "INTEGRITY VERIFIED").when(
+        F.col("latest").isNotNull(), "INTEGRITY MISMATCH").otherwise("NOT VERIFIED")
+
+
 def evidence_section(t: ReportTables) -> DataFrame:
     item = F.struct("evidence_id", "original_filename", "evidence_type", "file_size", "sha256", "record_count", "status")
     return _listed(t.evidence, [F.asc("evidence_id")], MAX_LISTED, item, "items")
@@ -71,9 +76,7 @@ def integrity_section(t: ReportTables) -> DataFrame:
     joined = t.evidence.select("case_id", "evidence_id", "original_filename").join(
         rollups.latest_integrity(t.checks).select("case_id", "evidence_id", "latest", "checked_at"),
         ["case_id", "evidence_id"], "left")
-    result = F.when(F.col("latest") == "VERIFIED", "INTEGRITY VERIFIED").when(
-        F.col("latest").isNotNull(), "INTEGRITY MISMATCH").otherwise("NOT VERIFIED")
-    joined = joined.withColumn("result", result)
+    joined = joined.withColumn("result", _integrity_result())
     counts = joined.groupBy("case_id").agg(
         F.count("*").alias("checked_items"),
         F.count_if(F.col("latest") == "VERIFIED").alias("verified_items"),
@@ -136,6 +139,30 @@ def trace_section(t: ReportTables) -> DataFrame:
              F.transform("x", lambda v: v["t"]).alias("traces"))
 
 
+def report_items(t: ReportTables) -> DataFrame:
+    """(case_id, section, item_key, item): every evidence file, integrity result, traced event and review note.
+
+    The complete long form of the lists whose first rows a report shows: one
+    row per item with its fields as JSON, so no row grows with its case.
+    """
+    def rows(df: DataFrame, section: str, key: Column, *fields: str) -> DataFrame:
+        return df.select("case_id", F.lit(section).alias("section"), key.cast("string").alias("item_key"),
+                         F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("item"))
+
+    checked = t.evidence.select("case_id", "evidence_id", "original_filename").join(
+        rollups.latest_integrity(t.checks).select("case_id", "evidence_id", "latest"), ["case_id", "evidence_id"], "left"
+    ).withColumn("result", _integrity_result())
+    traced = search.trace(t.findings, t.finding_events, t.events, t.raw_records, t.evidence).filter("event_uid is not null")
+    return (
+        rows(t.evidence, "evidence_inventory", F.col("evidence_id"),
+             "original_filename", "evidence_type", "file_size", "sha256", "record_count", "status")
+        .unionByName(rows(checked, "evidence_integrity", F.col("evidence_id"), "original_filename", "result"))
+        .unionByName(rows(traced, "traceability", F.concat_ws("/", "finding_uid", "event_uid"),
+                          "row_index", "content", "evidence_id", "original_filename", "sha256"))
+        .unionByName(rows(t.notes, "review", F.col("note_id"), "finding_uid", "author", "body"))
+    )
+
+
 def links_section(t: ReportTables) -> DataFrame:
     item = F.struct("correlation_uid", "correlation_type", "event_a_uid", "event_b_uid", "time_delta_seconds",
                     "confidence", "reason", "evidence_ids")

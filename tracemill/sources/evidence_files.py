@@ -120,11 +120,18 @@ def admit(files: DataFrame, p: IngestParams = IngestParams()) -> DataFrame:
 
 
 def split_new(incoming: DataFrame, manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows to append, conflicts). A recorded evidence id is never written twice."""
+    """(rows to append, conflicts). A recorded evidence id is never written twice.
+
+    Of rows that share an id inside the batch the first by path and hash is
+    appended; the others are conflicts, so every row is in one output.
+    """
     key = ["case_id", "evidence_id"]
     known = manifest.select(*key)
-    fresh = incoming.join(known, key, "left_anti").dropDuplicates(key)
-    return fresh, incoming.join(known, key, "left_semi")
+    first = [F.asc_nulls_last(c) for c in ("path", "sha256") if c in incoming.columns] or [F.lit(0)]
+    ranked = incoming.withColumn("_copy", F.row_number().over(Window.partitionBy(*key).orderBy(*first)))
+    unknown = ranked.join(known, key, "left_anti")
+    fresh = unknown.filter("_copy = 1").drop("_copy")
+    return fresh, incoming.join(known, key, "left_semi").unionByName(unknown.filter("_copy > 1").drop("_copy"))
 
 
 def evidence_ids(incoming: DataFrame, manifest: DataFrame) -> DataFrame:
