@@ -104,6 +104,31 @@ def test_whole_walk_equals_brute_force(vectors):
             assert got[i] == want[i], i
 
 
+@pytest.mark.parametrize("times", [2, 10])
+def test_repeated_rows_take_no_places(spark, times):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(200)]
+    rows += [(300 + i, rows[50][1]) for i in range(9)]
+    rows += [(i, (np.array(rows[100][1]) + rng.normal(size=8) * 0.01).tolist()) for i in [150] * 12 + [41, 400, 400]]  # ids with several vectors
+    alone = [(None, (np.array(rows[0][1]) + rng.normal(size=8) * 0.01).tolist()) for _ in range(9)]
+    frame = spark.createDataFrame((rows + alone) * times, "vec_id long, embedding array<double>").repartition(4)
+    got = {}
+    for r in multi_index.search(frame, F.col("vec_id") % 50 == 0, share=1.0, block_rows=64, query_block=4).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((-round(r.score, 12), r.vec_id))
+    best = {}
+    for i, v in rows:
+        for j, w in rows:
+            if i % 50 == 0 and i != j:
+                score = round(float(np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w)), 12)
+                best.setdefault(i, {})[j] = max(score, best.get(i, {}).get(j, -2))
+    want = {i: sorted((-s, j) for j, s in scores.items())[:5] for i, scores in best.items()}
+    assert set(got) == set(want)
+    for i in want:
+        assert [j for _, j in got[i]] == [j for _, j in want[i]] and np.allclose([s for s, _ in got[i]], [s for s, _ in want[i]]), i
+
+
 def test_recall_and_empty_table(spark, vectors):
     from pyspark.sql import functions as F
 
