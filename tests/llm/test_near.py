@@ -128,3 +128,17 @@ def test_shingles_do_not_depend_on_the_batch():
     doc, shingle, _ = near_dedup.shingles(texts)
     for i, text in enumerate(texts):
         assert sorted(near_dedup.shingles([text])[1]) == sorted(shingle[doc == i])
+
+
+def test_copies_do_not_lower_the_weight_of_their_shingles(spark):
+    rng = random.Random(6)
+    word = lambda: f"v{rng.randrange(50_000)}"
+    hot = [word() for _ in range(60)]
+    texts = [" ".join(hot)] * 400
+    for at in (10, 30, 50):
+        texts.append(" ".join([*hot[:at], "changed", *hot[at + 1:]]))
+    texts += [" ".join(word() for _ in range(60)) for _ in range(800)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in near_dedup.near_classes(frame).collect()}
+    assert {got[i].class_id for i in range(403)} == {0} and got[0].group_size == 403
+    assert all(got[i].group_size == 1 for i in range(403, len(texts)))

@@ -118,7 +118,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int = 1_
 
 
 def learn_weights(texts: DataFrame, documents: int, share: float = 1 / 256) -> Weights:
-    """Document frequencies over all texts (one column, ``text``).
+    """Document frequencies over all texts (one column, ``text``), of which there are ``documents``.
 
     idf = 1 + ln(N / max(df, share * N)) / ln(1 / share), between 1 and 2: a
     shingle in less than ``share`` of the documents weighs 2. So only shingles
@@ -286,6 +286,8 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, bands: int = 16, band_
     the row's text that the classes rest on (a spanning set, not all pairs).
 
     1. Equal texts (128-bit hash) become one node, the smallest id; only nodes go on.
+       Document frequencies count a node once, so copies do not lower the
+       weight of their own shingles.
     2. Every node is sampled and banded. In each bucket all nodes are compared
        with the bucket's smallest node: one pair per row, not all pairs.
     3. Buckets whose nodes are then still in different components are gone
@@ -304,11 +306,16 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, bands: int = 16, band_
     rows = docs.select(F.col(id_column).alias("id"), text_of(text_column).alias("text"))
     named = rows.select(
         "id", F.coalesce("id", row_key(F.col("id"), F.col("text"))).alias("own"), "text", F.unhex(F.md5("text")).alias("h"))
-    copies = staged(named.groupBy("h").agg(F.min("own").alias("node"), F.count("*").alias("rows")), "near-copies")
-    weights = learn_weights(rows.select("text"), max(1, rows.count()))
-    # The node's own row carries the text; a repeated row of it is harmless, as pairs are made distinct.
-    sketches = staged(_sketches(named.select("own", "text"), weights, bands, band_rows), "near-sketches")
-    nodes = sketches.join(copies.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    copies = staged(
+        named.groupBy("h", "own").agg(F.count("*").alias("n")).groupBy("h").agg(F.min(F.struct("own", "n")).alias("least"), F.sum("n").alias("rows"))
+        .select("h", F.col("least.own").alias("node"), F.col("least.n").alias("same"), "rows"), "near-copies")
+    # The row of the smallest id carries the text; only rows that repeat it are sorted out by a shuffle.
+    carrying = named.join(copies.select("h", F.col("node").alias("own"), "same"), ["h", "own"]).withColumnRenamed("own", "node")
+    distinct = staged(
+        carrying.filter("same = 1").unionByName(carrying.filter("same > 1").dropDuplicates(["h"])).select("node", "text"), "near-distinct")
+    weights = learn_weights(distinct.select("text"), max(1, copies.count()))
+    sketches = staged(_sketches(distinct, weights, bands, band_rows), "near-sketches")
+    nodes = sketches.dropDuplicates(["node"])
     entries = nodes.select("node", "mass", F.posexplode("bands").alias("band", "bucket"))
     # Each band orders nodes its own way, so a large group meets several centres.
     crowded = entries.groupBy("band", "bucket").agg(
@@ -317,7 +324,7 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, bands: int = 16, band_
 
     pairs = members.filter("node <> centre").select(F.least("centre", "node").alias("src"), F.greatest("centre", "node").alias("dst")).distinct()
     wanted = members.select("node").distinct()
-    texts = staged(named.select(F.col("own").alias("node"), "text").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "near-texts")
+    texts = staged(distinct.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "near-texts")
     links = staged(_verified(pairs, texts, weights, threshold), "near-links")
 
     component = _components(links)
