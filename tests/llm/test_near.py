@@ -142,3 +142,15 @@ def test_copies_do_not_lower_the_weight_of_their_shingles(spark):
     got = {r.doc_id: r for r in near_dedup.near_classes(frame).collect()}
     assert {got[i].class_id for i in range(403)} == {0} and got[0].group_size == 403
     assert all(got[i].group_size == 1 for i in range(403, len(texts)))
+
+
+def test_different_texts_under_one_id_stay_apart(spark):
+    rng = random.Random(9)
+    words = [[f"u{rng.randrange(50_000)}" for _ in range(60)] for _ in range(3)]
+    a, b, c = (" ".join(w) for w in words)
+    near_a, near_b = " ".join([*words[0][:-1], "changed"]), " ".join([*words[1][:-1], "changed"])
+    rows = [(1, a), (5, near_a), (5, b), (5, c), (5, c), (9, near_b), (9, c)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in near_dedup.drop_near(frame).collect()) == sorted([(1, a), (5, b), (5, c)])
+    got = sorted((r.doc_id, r.class_id, r.group_size, r.kept) for r in near_dedup.near_classes(frame).collect())
+    assert got == sorted([(1, 1, 2, True), (5, 1, 2, False), (5, 5, 2, True), (5, 5, 3, True), (5, 5, 3, True), (9, 5, 2, False), (9, 5, 3, False)])

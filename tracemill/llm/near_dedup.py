@@ -276,16 +276,21 @@ def _verified(pairs: DataFrame, texts: DataFrame, weights: Weights, threshold: f
     return joined.mapInArrow(run, "src bigint, dst bigint")
 
 
-def near_classes(docs: DataFrame, threshold: float = 0.8, bands: int = 16, band_rows: int = 4, pairs_per_bucket: int = 64,
-                 id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, class_id, group_size, links, kept): every row with its class of near duplicates.
+def near_classes(docs: DataFrame, id_column: str = "doc_id", **how) -> DataFrame:
+    """(id, class_id, group_size, links, kept): every row with its class of near duplicates, see ``_classes``."""
+    return _classes(docs, id_column=id_column, **how).select(F.col("id").alias(id_column), "class_id", "group_size", "links", "kept")
+
+
+def _classes(docs: DataFrame, threshold: float = 0.8, bands: int = 16, band_rows: int = 4, pairs_per_bucket: int = 64,
+             id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(id, own, h, class_id, group_size, links, kept): every row with its class of near duplicates.
 
     Texts with a weighted Jaccard similarity of ``threshold`` or more are linked,
     and links are followed: a class is a component, named by its smallest id,
     which is the row that stays. ``links`` is the number of verified links of
     the row's text that the classes rest on (a spanning set, not all pairs).
 
-    1. Equal texts (128-bit hash) become one node, the smallest id; only nodes go on.
+    1. Equal texts (128-bit hash) become one node, named by 64 bits of that hash; only nodes go on.
        Document frequencies count a node once, so copies do not lower the
        weight of their own shingles.
     2. Every node is sampled and banded. In each bucket all nodes are compared
@@ -300,17 +305,19 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, bands: int = 16, band_
     Null and empty texts are equal to each other and similar to nothing else, as
     are texts without words; texts under five words are one shingle. A null
     id takes part under a number made from its text and is returned as null.
-    Rows that repeat an id and text are one node; an id with several texts
-    is one node for all of them.
+    Rows that repeat an id and text are one row here; different texts under one
+    id are nodes of their own and may be in different classes, which then share
+    a ``class_id``. ``own`` is the id (or its stand-in), ``h`` the text's hash;
+    of two texts under a class's smallest id the one with the smaller hash stays.
     """
     rows = docs.select(F.col(id_column).alias("id"), text_of(text_column).alias("text"))
     named = rows.select(
         "id", F.coalesce("id", row_key(F.col("id"), F.col("text"))).alias("own"), "text", F.unhex(F.md5("text")).alias("h"))
     copies = staged(
         named.groupBy("h", "own").agg(F.count("*").alias("n")).groupBy("h").agg(F.min(F.struct("own", "n")).alias("least"), F.sum("n").alias("rows"))
-        .select("h", F.col("least.own").alias("node"), F.col("least.n").alias("same"), "rows"), "near-copies")
+        .select("h", F.xxhash64("h").alias("node"), F.col("least.own").alias("own"), F.col("least.n").alias("same"), "rows"), "near-copies")
     # The row of the smallest id carries the text; only rows that repeat it are sorted out by a shuffle.
-    carrying = named.join(copies.select("h", F.col("node").alias("own"), "same"), ["h", "own"]).withColumnRenamed("own", "node")
+    carrying = named.join(copies.select("h", "own", "node", "same"), ["h", "own"])
     distinct = staged(
         carrying.filter("same = 1").unionByName(carrying.filter("same > 1").dropDuplicates(["h"])).select("node", "text"), "near-distinct")
     weights = learn_weights(distinct.select("text"), max(1, copies.count()))
@@ -346,10 +353,10 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, bands: int = 16, band_
 
     degree = every.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
     classed = copies.join(final, "node", "left").withColumn("class", F.coalesce("component", "node")).join(degree, "node", "left")
-    classed = staged(classed.select("h", "class", "rows", F.coalesce("links", F.lit(0)).alias("links")), "near-classes")
-    sizes = classed.groupBy("class").agg(F.sum("rows").alias("group_size"))
-    found = named.select("id", "own", "h").join(classed.join(sizes, "class").drop("rows"), "h")
-    return found.select(F.col("id").alias(id_column), F.col("class").alias("class_id"), "group_size", "links", (F.col("own") == F.col("class")).alias("kept"))
+    classed = staged(classed.select("h", "own", "class", "rows", F.coalesce("links", F.lit(0)).alias("links")), "near-classes")
+    sizes = classed.groupBy("class").agg(F.sum("rows").alias("group_size"), F.min(F.struct("own", "h")).alias("first"))
+    found = named.select("id", "own", "h").join(classed.join(sizes, "class").select("h", "first", "group_size", "links"), "h")
+    return found.select("id", "own", "h", F.col("first.own").alias("class_id"), "group_size", "links", (F.struct("own", "h") == F.col("first")).alias("kept"))
 
 
 def _crossed(split: DataFrame, threshold: float) -> DataFrame:
@@ -443,10 +450,11 @@ def _components(links: DataFrame) -> DataFrame:
 def drop_near(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **how) -> DataFrame:
     """The rows of ``docs``, all columns, of which one per class stays (the one with the smallest id).
 
-    Rows with equal ids of a class that stays are reduced to one. Null ids
-    stay if their own text names the class.
+    Rows with equal ids and texts of a class that stays are reduced to one. Null
+    ids stay if their own text names the class.
     """
-    classes = near_classes(docs, id_column=id_column, text_column=text_column, **how)
-    stay = classes.filter("kept").select(F.col("class_id").alias("__own")).distinct()
-    keyed = docs.withColumn("__own", F.coalesce(F.col(id_column), row_key(F.col(id_column), text_of(text_column))))
-    return keyed.join(stay, "__own", "left_semi").dropDuplicates(["__own"]).select(*docs.columns)
+    classes = _classes(docs, id_column=id_column, text_column=text_column, **how)
+    stay = classes.filter("kept").select(F.col("own").alias("__own"), F.col("h").alias("__h")).distinct()
+    text = text_of(text_column)
+    keyed = docs.withColumn("__own", F.coalesce(F.col(id_column), row_key(F.col(id_column), text))).withColumn("__h", F.unhex(F.md5(text)))
+    return keyed.join(stay, ["__own", "__h"], "left_semi").dropDuplicates(["__own", "__h"]).select(*docs.columns)
