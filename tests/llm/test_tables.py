@@ -188,3 +188,12 @@ def test_secrets(spark):
         assert {x for x in joined.split(",") if x} <= set(got[i].spans.split(","))
     assert got[9].spans == "mixed:5:26" and got[9].n_live == 1
     assert got[10].spans == "" and got[10].n_copied == 1  # three owners: a copied example
+
+
+def test_an_owner_may_hold_a_key_in_many_documents(spark):
+    key, shared = "Abcdefgh1jklmnopqrst9", "Example0Example0Example0"
+    rows = [(i, f"doc {i} {key}", "hot") for i in range(30)] + [(100 + i, f"{shared} {i}", f"s{i}") for i in range(3)]
+    found = secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    got = {r.doc_id: r for r in found.collect()}
+    assert all(len(got[i].added) == 1 and got[i].live == 1 and got[i].repositories == 30 for i in range(30))
+    assert all(got[100 + i].added == [] and got[100 + i].copied == 1 for i in range(3))

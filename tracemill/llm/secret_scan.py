@@ -49,15 +49,16 @@ def written(found: Column) -> Column:
 
 
 def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", repository: str = "doc_id", owner: str = "source",
-         most_owners: int = 2, most_repositories: int = 20) -> DataFrame:
-    """(id, base, added, live, copied, rows key) per row: arrays of spans and counts.
+         most_owners: int = 2) -> DataFrame:
+    """(id, base, added, live, copied, repositories) per row: arrays of spans and counts.
 
     ``base`` has every span of the fixed patterns. Candidates of all kinds are
     hashed and counted over the whole corpus: a value held by at most
-    ``most_owners`` owners and ``most_repositories`` repositories looks live, a
-    wider spread is a copied example. ``live`` and ``copied`` count a row's spans
-    of either sort; live values of the added kind that no base span covers
-    become ``added`` spans.
+    ``most_owners`` owners looks live, however many of their repositories hold
+    it; a wider spread is a copied example. ``live`` and ``copied`` count a
+    row's spans of either sort; live values of the added kind that no base span
+    covers become ``added`` spans. ``repositories`` is the most repositories
+    that one owner has of any of the row's values, 0 without values.
 
     Counting is by distinct (value, owner, repository), then (value, owner),
     then value, each a partial aggregate, so one value may fill a third of
@@ -79,8 +80,9 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
         .groupBy("value", "owner").agg(F.count("*").alias("repositories"))
         .groupBy("value").agg(F.count("*").alias("owners"), F.max("repositories").alias("repositories"))
     )
-    live = (F.col("owners") <= most_owners) & (F.col("repositories") <= most_repositories)
+    live = F.col("owners") <= most_owners
     judged = each.select("row", "s", "value").distinct().join(spread, "value").withColumn("live", live).groupBy("row").agg(
+        F.max("repositories").alias("repositories"),
         F.sum(F.col("live").cast("bigint")).alias("live"), F.sum((~F.col("live")).cast("bigint")).alias("copied"),
         F.collect_list(F.when(F.col("live") & (F.col("s.kind") == 3), F.col("s"))).alias("extra"),
     )
@@ -89,6 +91,7 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     return found.join(judged, "row", "left").select(
         F.col("id").alias(id_column), "base", F.filter(F.coalesce("extra", none), lambda s: ~covered(s)).alias("added"),
         F.coalesce("live", F.lit(0)).alias("live"), F.coalesce("copied", F.lit(0)).alias("copied"),
+        F.coalesce("repositories", F.lit(0)).alias("repositories"),
     )
 
 
