@@ -197,3 +197,18 @@ def test_an_owner_may_hold_a_key_in_many_documents(spark):
     got = {r.doc_id: r for r in found.collect()}
     assert all(len(got[i].added) == 1 and got[i].live == 1 and got[i].repositories == 30 for i in range(30))
     assert all(got[100 + i].added == [] and got[100 + i].copied == 1 for i in range(3))
+
+
+def test_lines_at_the_production_threshold(spark):
+    spread = {f"line on {n} sites": n for n in (5, 6, 7)}
+    rows = [(100 * n + i, f"{line}\nown {n} {i}", f"s{i}") for line, n in spread.items() for i in range(n)]
+    passage = " ".join(f"w{i}" for i in range(60))
+    rows += [(1000 + i, f"{passage}\nhot {i}", "hot") for i in range(300)]
+    wide = passage + " wide"
+    rows += [(2000 + i, f"{wide}\nwide {i}", "hot" if i < 200 else f"s{i % 5}") for i in range(205)]  # a hot source and five more
+    out = line_spread.drop_spread_lines(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    got = {r["doc_id"]: r["__removed"] for r in out.collect()}
+    assert all(got[500 + i] == 0 for i in range(5))
+    assert all(got[100 * n + i] == (i > 0) for n in (6, 7) for i in range(n))
+    assert all(got[1000 + i] == 0 for i in range(300))
+    assert all(got[2000 + i] == (i > 0) for i in range(205))
