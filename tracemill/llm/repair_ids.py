@@ -31,7 +31,9 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = 32, roun
     more by frequency, and replaces them by nonterminals; where two chosen
     pairs overlap, the more frequent one wins, and the left one of two equal
     ones. A pair never spans two documents. Nonterminals are numbered from
-    ``base``; rounds end when pairs no longer repeat.
+    ``base``. There are at most ``rounds`` rounds, so a nonterminal covers at
+    most 2 ** rounds ids; they end sooner when no pair is seen ``least`` times.
+    Pairs may therefore still repeat in the result.
     """
     symbols, last = ids.astype(np.uint32), np.zeros(len(ids), bool)
     last[ends[ends > 0] - 1] = True
