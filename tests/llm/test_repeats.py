@@ -197,12 +197,18 @@ def test_collocations_equal_brute_force(spark, every):
     assert collocations.collocations(docs.limit(0)).count() == 0
 
 
-def test_counts_past_64_bits_stay_exact(spark):
-    """Frequencies as weights: a billion copies of a passage are counted without reading them."""
+def test_frequencies_are_weights(spark):
+    """Billions of copies of a passage are counted without reading them, past 32 bits."""
     big = 4_000_000_000
-    dictionary = spark.createDataFrame([("en", 0, "a b c", big), ("en", 0, "a b", 7), ("en", 2, "z a b", 3)], "lang string, shared int, chunk string, f long")
-    counts = {(r.k, r.phrase): r.f for r in collocations.phrase_counts(dictionary).collect()}
-    assert counts == {(3, "a b c"): big, (2, "b c"): big, (1, "c"): big, (2, "a b"): 7, (1, "b"): 7, (3, "z a b"): 3}
+    dictionary = spark.createDataFrame([("en", 0, "a b c", big), ("en", 0, "a b", 7), ("en", 2, "z a b", 3), ("de", 0, "a b c", 1)],
+                                       "lang string, shared int, chunk string, f long").coalesce(1)
+    counts = {(r.lang, r.phrase): r.f for r in collocations.phrase_counts(dictionary, (1, 2, 3)).collect()}
+    assert counts == {("en", "a"): big + 7, ("en", "b"): big + 7, ("en", "c"): big, ("en", "z"): 3, ("en", "a b"): big + 7, ("en", "b c"): big,
+                      ("en", "z a"): 3, ("en", "a b c"): big, ("en", "z a b"): 3, **{("de", p): 1 for p in ("a", "b", "c", "a b", "b c", "a b c")}}
+    pairs = spark.createDataFrame([("en", "a b"), ("en", "b c"), ("de", "b c")], "lang string, phrase string")
+    bits = spark.sparkContext.broadcast(collocations.pair_bitmap(pairs))
+    assert [tuple(r) for r in collocations.phrase_counts(dictionary, (3,), bits).collect()] == [("en", 3, "a b c", big)]
+    assert not any(collocations.pair_bitmap(pairs.limit(0)))
 
 
 def test_chunks_cover_each_word_once():

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,7 @@ _TOKEN = re.compile(rb"[.,;:!?\n-\r]|[^ \t.,;:!?\n-\r]+")
 _BREAKS = frozenset(b".,;:!?\n\x0b\x0c\r")
 #: Words that neighbouring chunks share: one less than the longest phrase.
 _SHARED = 2
+_SPOT_BITS = 27
 
 
 class _Hashes(dict):
@@ -90,25 +92,115 @@ def chunk_dictionary(docs: DataFrame, lang_column: str = "lang", text_column: st
     return parsed.groupBy("lang", "shared", "chunk").agg(F.sum("f").alias("f"))
 
 
-def _first(n: int, phrase: str = "phrase") -> Column:
-    return F.substring_index(phrase, " ", n)
+def _spots(lang: str, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Places of word pairs in a bitmap of 2 ** ``_SPOT_BITS`` bits, from the words' crc32."""
+    x = left * np.uint64(0x9E3779B97F4A7C15) + right * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(zlib.crc32(lang.encode()))
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    return (x >> np.uint64(64 - _SPOT_BITS)).astype(np.int64)
+
+
+def _summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of one position of each distinct key, and the key's whole weight."""
+    order = np.argsort(keys, kind="stable")
+    ordered = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(keys) else np.empty(0, np.int64)
+    return order[first], np.add.reduceat(weights[order], first) if len(first) else weights[:0]
+
+
+def _counted(lang: str, chunks: list[bytes], shared: np.ndarray, f: np.ndarray, sizes: tuple[int, ...], pairs: np.ndarray | None) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
+    """(k, phrases, weights) of some distinct chunks of a language."""
+    words = b" ".join(chunks).split(b" ")
+    lengths = np.fromiter((c.count(b" ") for c in chunks), np.int64, len(chunks)) + 1
+    numbers: defaultdict[bytes, int] = defaultdict()
+    numbers.default_factory = numbers.__len__
+    codes = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(words))  # words from here to the chunk's end
+    opens, weights = left > np.repeat(shared, lengths), np.repeat(f, lengths)
+    wide = len(numbers)
+    allowed = None
+    if pairs is not None:
+        crc = np.fromiter(map(zlib.crc32, numbers), np.uint64, wide)[codes]
+        spots = _spots(lang, crc[:-1], crc[1:])
+        allowed = np.append((pairs[spots >> 3] >> (spots & 7).astype(np.uint8)) & 1 > 0, False)
+    for k in sizes:
+        at = np.flatnonzero(opens & (left >= k))
+        if allowed is not None:
+            for step in range(k - 1):
+                at = at[allowed[at + step]]
+        keys = codes[at]
+        for step in range(1, k):
+            keys = (np.unique(keys, return_inverse=True)[1] if step > 1 else keys) * wide + codes[at + step]
+        one, total = _summed(keys, weights[at])
+        begin = at[one].tolist()
+        yield k, [b" ".join(words[i:i + k]) for i in begin], total
+
+
+def phrase_counts(dictionary: DataFrame, sizes: tuple[int, ...], pairs: Broadcast | None = None, block_bytes: int = 8_000_000) -> DataFrame:
+    """(lang, k, phrase, f) of the phrases of ``sizes`` words, up to three, in all texts of a dictionary.
 
+    Each distinct chunk is counted once, with its frequency as weight; phrases
+    that start in the words shared with the next chunk are left to that one.
+    Where a bitmap of pairs is given, phrases with another pair may be left out.
+    """
+    names = ["lang", "k", "phrase", "f"]
 
-def _last(n: int, phrase: str = "phrase") -> Column:
-    return F.substring_index(phrase, " ", -n)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(pairs.value, np.uint8) if pairs is not None else None
+
+        def flush(blocks: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block = pa.Table.from_batches(blocks)
+            langs = block.column(0).to_pylist()
+            chunks = block.column(2).cast(pa.binary()).to_pylist()
+            shared, f = block.column(1).to_numpy(), block.column(3).to_numpy()
+            members = defaultdict(list)
+            for i, lang in enumerate(langs):
+                members[lang].append(i)
+            for lang, mine in members.items():
+                for k, phrases, total in _counted(lang, [chunks[i] for i in mine], shared[mine], f[mine], sizes, bits):
+                    n = len(phrases)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array(np.full(n, k, np.int32)),
+                                                      pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(total, pa.int64())], names=names)
+
+        blocks, size = [], 0
+        for batch in batches:
+            blocks.append(batch)
+            size += batch.nbytes
+            if size > block_bytes:
+                yield from flush(blocks)
+                blocks, size = [], 0
+        if blocks:
+            yield from flush(blocks)
 
+    counted = dictionary.select("lang", "shared", "chunk", "f").mapInArrow(run, "lang string, k int, phrase string, f bigint")
+    return counted.groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f"))
 
-def phrase_counts(dictionary: DataFrame) -> DataFrame:
-    """(lang, k, phrase, f): for every word occurrence the phrase of the k = 3 words from it on, fewer at a piece's end.
 
-    Each distinct chunk is counted once, with its frequency as weight; phrases
-    that start in the words shared with the next chunk are left to that one.
-    """
-    words = F.split("chunk", " ", -1)
-    cut = dictionary.select("lang", "f", "shared", words.alias("words")).select("lang", "f", F.explode(F.transform(
-        F.sequence(F.lit(1), F.size("words") - F.col("shared")),
-        lambda i: F.struct(F.least(F.lit(3), F.size("words") - i + 1).alias("k"), F.array_join(F.slice("words", i, F.lit(3)), " ").alias("phrase")))).alias("g"))
-    return cut.select("lang", "g.k", "g.phrase", "f").groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f"))
+def pair_bitmap(pairs: DataFrame) -> bytes:
+    """A bitmap of fixed size (16 MB) with the places of all given (lang, phrase) pairs set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            split = [phrase.encode().split(b" ") for phrase in batch.column(1).to_pylist()]
+            left, right = (np.fromiter((zlib.crc32(w[i]) for w in split), np.uint64, len(split)) for i in (0, 1))
+            spots = [_spots(lang, left[i:i + 1], right[i:i + 1])[0] for i, lang in enumerate(batch.column(0).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(spots, np.int64) + 1)], names=["spot"])
+
+    spots = pairs.select("lang", "phrase").mapInArrow(run, "spot bigint")
+    parts = spots.groupBy(F.bitmap_bucket_number("spot").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits"))
+    bitmap = bytearray(2 ** (_SPOT_BITS - 3))
+    for row in parts.toLocalIterator():
+        at = (row.part - 1) * len(row.bits)
+        bitmap[at:at + len(row.bits)] = row.bits
+    return bytes(bitmap)
+
+
+def _first(n: int) -> Column:
+    return F.substring_index("phrase", " ", n)
+
+
+def _last(n: int) -> Column:
+    return F.substring_index("phrase", " ", -n)
 
 
 def collocations(docs: DataFrame, lang_column: str = "lang", text_column: str = "text", least: int = 10, share: int = 50, top: int = 2000, every: int = 12) -> DataFrame:
@@ -120,17 +212,21 @@ def collocations(docs: DataFrame, lang_column: str = "lang", text_column: str =
     in ``share`` percent of its occurrences or more. Scores are whole numbers
     computed with 38 digits: exact for counts below 10 ** 16.
 
-    A part of a phrase occurs at least as often as the phrase, so only words
-    and pairs with ``least`` occurrences are joined. Null texts count as
-    empty, null languages as "und"; repeated rows count again; an empty table
-    gives no rows; other columns are ignored, whatever their names.
+    A part of a phrase occurs at least as often as the phrase, so phrases of
+    three words are counted only where both of their pairs may be frequent
+    (a bitmap of fixed size says so, and errs on the side of counting), and
+    only words and pairs with ``least`` occurrences are joined. Null texts
+    count as empty, null languages as "und"; repeated rows count again; an
+    empty table gives no rows; other columns are ignored, whatever their names.
     """
-    grams = staged(phrase_counts(chunk_dictionary(docs, lang_column, text_column, every)), "phrases")
-    words = grams.groupBy("lang", _first(1).alias("phrase")).agg(F.sum("f").alias("f"))
-    totals = grams.groupBy("lang").agg(F.sum("f").alias("n"))
-    words = staged(words.filter(F.col("f") >= least), "words")
-    pairs = staged(grams.filter("k >= 2").groupBy("lang", _first(2).alias("phrase")).agg(F.sum("f").alias("f")).filter(F.col("f") >= least), "pairs")
-    triples = grams.filter((F.col("k") == 3) & (F.col("f") >= least)).select("lang", "phrase", F.col("f").alias("a"))
+    dictionary = staged(chunk_dictionary(docs, lang_column, text_column, every), "chunks")
+    frequent = F.col("f") >= least
+    short = phrase_counts(dictionary, (1, 2)).filter((F.col("k") == 1) | frequent)
+    short = staged(short, "short-phrases")
+    totals = short.filter("k = 1").groupBy("lang").agg(F.sum("f").alias("n"))
+    words, pairs = (short.filter((F.col("k") == k) & frequent).select("lang", "phrase", "f") for k in (1, 2))
+    bitmap = docs.sparkSession.sparkContext.broadcast(pair_bitmap(pairs))
+    triples = staged(phrase_counts(dictionary, (3,), bitmap).filter(frequent).select("lang", "phrase", F.col("f").alias("a")), "long-phrases")
 
     def part(of: DataFrame, key: str, value: str) -> DataFrame:
         return of.select("lang", F.col("phrase").alias(key), F.col("f").alias(value))
