@@ -213,9 +213,18 @@ def test_frequencies_are_weights(spark):
 
 def test_chunks_cover_each_word_once():
     rng = random.Random(4)
-    for _ in range(50):
-        data = " ".join(rng.choices(["ab", "cd", "ef.", "g", ",", "hi"], k=rng.randint(0, 80))).encode()
-        on, last = collocations.parse(data, collocations._Hashes(), 3)
-        n = sum(len(re.findall(rb"[^ \t]+", p)) for p in re.split(rb"[.,;:!?\n-\r]", data))
-        assert sum(len(c.split()) - 2 for c in on) + sum(len(c.split()) for c in last) == n
-        assert all(len(c.split()) > 2 for c in on) and np.all([len(c) for c in last])
+    for every in (1, 3, 50):
+        for _ in range(40):
+            data = " ".join(rng.choices(["ab", "cd", "EF.", "g", ",", "hi", "é", "\t"], k=rng.randint(0, 80))).encode()
+            on, last = (c.to_pylist() for c in collocations.parse(collocations.plain(data), every))
+            pieces = [re.findall(rb"[^ \t]+", p.lower()) for p in re.split(rb"[.,;:!?\n-\r]", data)]
+            assert sum(len(c.split()) - 2 for c in on) + sum(len(c.split()) for c in last) == sum(map(len, pieces))
+            assert all(len(c.split()) > 2 for c in on) and len(last) == sum(map(bool, pieces))
+
+
+def test_blocks_end_with_a_piece():
+    texts = [b"A b. c d, e", b"", b"no end at all " * 30, b"x;" * 50]
+    for most in (1, 7, 100, 10**6):
+        assert b"\n".join(collocations._blocks(iter(texts), most)).replace(b"\n", b"") == b"".join(map(collocations.plain, texts)).replace(b"\n", b"")
+        whole = [w for t in texts for w in re.split(rb"\n", collocations.plain(t)) if w]
+        assert [w for b in collocations._blocks(iter(texts), most) for w in b.split(b"\n") if w] == whole

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,76 +17,93 @@ from pyspark.sql import functions as F
 from ..operators.slices import top_k_per_group
 from .common import staged, text_of
 
-_TOKEN = re.compile(rb"[.,;:!?\n-\r]|[^ \t.,;:!?\n-\r]+")
-_BREAKS = frozenset(b".,;:!?\n\x0b\x0c\r")
+#: Breaks become line feeds and tabs spaces, so that texts fall into pieces and pieces into words.
+_PLAIN = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n" * 9 + b" ")
 #: Words that neighbouring chunks share: one less than the longest phrase.
 _SHARED = 2
 _SPOT_BITS = 27
 
 
-class _Hashes(dict):
-    """Hash of a word, 0 for a break; at most so many are kept."""
+def plain(text: bytes) -> bytes:
+    """``text`` in lower case (A-Z only), with a line feed for each break and a space for each tab."""
+    return text.lower().translate(_PLAIN)
 
-    def __missing__(self, token: bytes) -> int:
-        value = 0 if len(token) == 1 and token[0] in _BREAKS else zlib.crc32(token) | 1 << 32
-        if len(token) <= 64:
-            self[token] = value
-        return value
 
+def _words(lines: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
+    """The words of lines that are joined by single spaces, their crc32, and the words from each one to its line's end."""
+    lists = pc.split_pattern(lines, " ")
+    words = lists.flatten().dictionary_encode()
+    crc = np.fromiter((zlib.crc32(w) for w in words.dictionary.cast(pa.binary()).to_pylist()), np.uint64, len(words.dictionary))
+    lengths = pc.list_value_length(lists).to_numpy().astype(np.int64)
+    return words, crc, np.repeat(np.cumsum(lengths), lengths) - np.arange(len(words))
 
-def parse(data: bytes, hashes: dict, every: int) -> tuple[list[bytes], list[bytes]]:
-    """Chunks of a text's pieces: those that run on into a next one, and those that end their piece.
+
+def parse(text: bytes, every: int) -> tuple[pa.Array, pa.Array]:
+    """Chunks of a plain text's pieces: those that run on into a next one, and those that end their piece.
 
     A piece is cut where the hash of two neighbouring words is a multiple of
     ``every``, so equal passages are cut alike wherever they stand. A chunk
     that runs on also holds the two words that the next chunk begins with.
     """
-    tokens = _TOKEN.findall(data.lower())  # of bytes: only A-Z change
-    h = np.fromiter(map(hashes.__getitem__, tokens), np.uint64, len(tokens))
-    word = np.concatenate([h > 0, [False]])
-    opens, ends = word[:-1].copy(), np.flatnonzero(word[:-1] & ~word[1:]) + 1
-    opens[1:] &= ~word[:-2]
-    if len(h) > 1:
-        mix = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:] * np.uint64(0xC2B2AE3D27D4EB4F)
-        opens[:-1] |= word[:-2] & word[1:-1] & ((mix >> np.uint64(33)) % np.uint64(every) == 0)
+    if b"  " in text:
+        text = re.sub(b"  +", b" ", text)
+    pieces = pc.ascii_trim(pc.split_pattern(pa.array([text], pa.binary()).cast(pa.string()), "\n").flatten(), characters=" ")
+    words, crc, left = _words(pieces.filter(pc.greater(pc.binary_length(pieces), 0)))
+    codes = words.indices.to_numpy()
+    h = crc[codes]
+    opens = np.ones(len(h), bool)
+    opens[1:] = left[:-1] == 1
+    mix = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:] * np.uint64(0xC2B2AE3D27D4EB4F)
+    opens[:-1] |= (left[:-1] >= 2) & ((mix >> np.uint64(33)) % np.uint64(every) == 0)
     begin = np.flatnonzero(opens)
-    close = ends[np.searchsorted(ends, begin, "right")]
-    following = np.append(begin[1:], len(tokens))
+    close, following = begin + left[begin], np.append(begin[1:], len(h))[:len(begin)]
     on = following < close
-    stop = np.where(on, following + _SHARED, close)
-    cut: tuple[list[bytes], list[bytes]] = ([], [])
-    for a, b, last in zip(begin.tolist(), stop.tolist(), (~on).tolist()):
-        cut[last].append(b" ".join(tokens[a:b]))
-    return cut
-
-
-def chunk_dictionary(docs: DataFrame, lang_column: str = "lang", text_column: str = "text", every: int = 12) -> DataFrame:
+    size = np.where(on, following + _SHARED, close) - begin
+    ends = np.cumsum(size)
+    at = np.repeat(begin - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)
+    held = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), words.dictionary.take(pa.array(codes[at])))
+    chunks = pc.binary_join(held, " ")
+    return chunks.filter(pa.array(on)), chunks.filter(pa.array(~on))
+
+
+def _blocks(texts: Iterator[bytes], most: int) -> Iterator[bytes]:
+    """Plain texts, one behind the other, in blocks of about ``most`` bytes that end with a piece."""
+    block, size = [], 0
+    for text in texts:
+        text = plain(text)
+        while len(text) > most and (cut := text.rfind(b"\n", 0, most) + 1 or text.find(b"\n", most) + 1):
+            yield text[:cut]
+            text = text[cut:]
+        block.append(text)
+        size += len(text)
+        if size > most:
+            yield b"\n".join(block)
+            block, size = [], 0
+    if block:
+        yield b"\n".join(block)
+
+
+def chunk_dictionary(docs: DataFrame, lang_column: str = "lang", text_column: str = "text", every: int = 12, block_bytes: int = 8_000_000) -> DataFrame:
     """(lang, shared, chunk, f): the distinct chunks and how often the parse of all texts uses them.
 
     ``shared`` is the number of words at the chunk's end that belong to the
-    next chunk. Workers count the chunks of some documents at a time before
-    the shuffle.
+    next chunk. Workers count the chunks of a block of texts before the
+    shuffle; a block is about ``block_bytes`` long, or one longer piece.
     """
     names = ["lang", "shared", "chunk", "f"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
         for batch in batches:
-            counts: dict[tuple[str, int], Counter] = {}
-            size = 0
-            for row in range(batch.num_rows):
-                lang, text = batch.column(0)[row].as_py(), batch.column(1)[row].as_buffer()
-                if len(hashes) > 500_000:
-                    hashes.clear()
-                for shared, chunks in zip((_SHARED, 0), parse(text.to_pybytes() if text else b"", hashes, every)):
-                    counts.setdefault((lang, shared), Counter()).update(chunks)
-                size += text.size if text else 0
-                if size > 8_000_000 or row == batch.num_rows - 1:
-                    for (lang, shared), some in counts.items():
-                        n = len(some)
-                        yield pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array([shared] * n, pa.int32()),
-                                                          pa.array(list(some), pa.binary()).cast(pa.string()), pa.array(list(some.values()), pa.int64())], names=names)
-                    counts, size = {}, 0
+            members = defaultdict(list)
+            for row, lang in enumerate(batch.column(0).to_pylist()):
+                members[lang].append(row)
+            for lang, rows in members.items():
+                texts = (text.to_pybytes() for row in rows if (text := batch.column(1)[row].as_buffer()) is not None)
+                for block in _blocks(texts, block_bytes):
+                    for shared, chunks in zip((_SHARED, 0), parse(block, every)):
+                        values, counts = pc.value_counts(chunks).flatten()
+                        n = len(values)
+                        yield pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array(np.full(n, shared, np.int32)), values, counts], names=names)
 
     slim = docs.select(F.coalesce(F.col(lang_column).cast("string"), F.lit("und")).alias("lang"), text_of(text_column).alias("text"))
     parsed = slim.mapInArrow(run, "lang string, shared int, chunk string, f bigint")
@@ -100,40 +118,31 @@ def _spots(lang: str, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(64 - _SPOT_BITS)).astype(np.int64)
 
 
-def _summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index of one position of each distinct key, and the key's whole weight."""
-    order = np.argsort(keys, kind="stable")
-    ordered = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(keys) else np.empty(0, np.int64)
-    return order[first], np.add.reduceat(weights[order], first) if len(first) else weights[:0]
-
-
-def _counted(lang: str, chunks: list[bytes], shared: np.ndarray, f: np.ndarray, sizes: tuple[int, ...], pairs: np.ndarray | None) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
+def _counted(lang: str, chunks: pa.Array, shared: np.ndarray, f: np.ndarray, sizes: tuple[int, ...], pairs: np.ndarray | None) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
     """(k, phrases, weights) of some distinct chunks of a language."""
-    words = b" ".join(chunks).split(b" ")
-    lengths = np.fromiter((c.count(b" ") for c in chunks), np.int64, len(chunks)) + 1
-    numbers: defaultdict[bytes, int] = defaultdict()
-    numbers.default_factory = numbers.__len__
-    codes = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
-    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(words))  # words from here to the chunk's end
+    words, crc, left = _words(chunks)
+    codes, known, wide = words.indices.to_numpy().astype(np.int64), words.dictionary, len(words.dictionary)
+    lengths = np.diff(np.append(np.flatnonzero(np.concatenate([[True], left[:-1] == 1])), len(codes)))
     opens, weights = left > np.repeat(shared, lengths), np.repeat(f, lengths)
-    wide = len(numbers)
-    allowed = None
     if pairs is not None:
-        crc = np.fromiter(map(zlib.crc32, numbers), np.uint64, wide)[codes]
-        spots = _spots(lang, crc[:-1], crc[1:])
+        spots = _spots(lang, crc[codes[:-1]], crc[codes[1:]])
         allowed = np.append((pairs[spots >> 3] >> (spots & 7).astype(np.uint8)) & 1 > 0, False)
     for k in sizes:
         at = np.flatnonzero(opens & (left >= k))
-        if allowed is not None:
+        if pairs is not None:
             for step in range(k - 1):
                 at = at[allowed[at + step]]
+        if not len(at):
+            continue
         keys = codes[at]
         for step in range(1, k):
             keys = (np.unique(keys, return_inverse=True)[1] if step > 1 else keys) * wide + codes[at + step]
-        one, total = _summed(keys, weights[at])
-        begin = at[one].tolist()
-        yield k, [b" ".join(words[i:i + k]) for i in begin], total
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        begin = at[order[first]]
+        parts = [known.take(pa.array(codes[begin + step])) for step in range(k)]
+        yield k, pc.binary_join_element_wise(*parts, " "), np.add.reduceat(weights[at][order], first)
 
 
 def phrase_counts(dictionary: DataFrame, sizes: tuple[int, ...], pairs: Broadcast | None = None, block_bytes: int = 8_000_000) -> DataFrame:
@@ -149,18 +158,14 @@ def phrase_counts(dictionary: DataFrame, sizes: tuple[int, ...], pairs: Broadcas
         bits = np.frombuffer(pairs.value, np.uint8) if pairs is not None else None
 
         def flush(blocks: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            block = pa.Table.from_batches(blocks)
-            langs = block.column(0).to_pylist()
-            chunks = block.column(2).cast(pa.binary()).to_pylist()
-            shared, f = block.column(1).to_numpy(), block.column(3).to_numpy()
-            members = defaultdict(list)
-            for i, lang in enumerate(langs):
-                members[lang].append(i)
-            for lang, mine in members.items():
-                for k, phrases, total in _counted(lang, [chunks[i] for i in mine], shared[mine], f[mine], sizes, bits):
+            block = pa.Table.from_batches(blocks).combine_chunks()
+            members = block.column(0).chunk(0).dictionary_encode()
+            for code, lang in enumerate(members.dictionary.to_pylist()):
+                mine = block.filter(pc.equal(members.indices, code))
+                _, shared, chunks, f = (c.combine_chunks() for c in mine.columns)
+                for k, phrases, total in _counted(lang, chunks, shared.to_numpy(), f.to_numpy(), sizes, bits):
                     n = len(phrases)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array(np.full(n, k, np.int32)),
-                                                      pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(total, pa.int64())], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array(np.full(n, k, np.int32)), phrases, pa.array(total)], names=names)
 
         blocks, size = [], 0
         for batch in batches:
@@ -169,7 +174,7 @@ def phrase_counts(dictionary: DataFrame, sizes: tuple[int, ...], pairs: Broadcas
             if size > block_bytes:
                 yield from flush(blocks)
                 blocks, size = [], 0
-        if blocks:
+        if size:
             yield from flush(blocks)
 
     counted = dictionary.select("lang", "shared", "chunk", "f").mapInArrow(run, "lang string, k int, phrase string, f bigint")
