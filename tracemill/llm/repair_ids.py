@@ -127,19 +127,18 @@ class Block:
 
 
 def encode_texts(texts: list[str], path: str, most_known: int = 1_000_000) -> list[bytes]:
-    """Ids of whole texts as little-endian uint32 bytes, without special tokens.
+    """Ids of whole texts as little-endian uint32 bytes; no special tokens are added, their strings in a text are read as the library does.
 
     The byte-level pre-tokenizer always cuts before a single space that follows
     a non-space, so a text is the concatenation of such pieces, and a worker
     encodes each piece that it has not met before. Texts with white space
-    before a space are encoded whole.
+    before a space are encoded whole. (No special string holds a space.)
     """
     if path not in _tokenizers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        _tokenizers[path] = Tokenizer.from_file(path)
     tokenizer = _tokenizers[path]
     run = lambda some: [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)]
     known = _known.setdefault(path, {})
