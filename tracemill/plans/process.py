@@ -11,7 +11,7 @@ from tracemill.functions import records as R
 from tracemill.operators.duplicates import fingerprint, mark_duplicates
 from tracemill.schema import IngestParams
 from tracemill.session import reliable_checkpoint
-from tracemill.sources.decode import decode_files
+from tracemill.sources.decode import PART, Decoded, decode
 
 KEY = ["case_id", "evidence_id"]
 @dataclass(frozen=True)
@@ -22,39 +22,37 @@ class Processed:
     members: DataFrame      # archive member inventory
 
 
-def read_records(decoded: DataFrame, p: IngestParams = IngestParams()) -> DataFrame:
+def read_records(decoded: Decoded, p: IngestParams = IngestParams()) -> DataFrame:
     """One row per record, mapped to the common schema or carrying a reject reason."""
-    typed = decoded.withColumn(
-        "source_type",
+    typed = decoded.parts.select(
+        *PART, "member_path", "parser",
         R.detect_source(
             F.col("columns"),
             F.when(F.col("member_path").isNull(), F.col("declared_type")).otherwise(
                 R.name_hint(F.col("member_path"))
             ),
-        ),
+        ).alias("source_type"),
     )
-    rows = typed.select(
-        *KEY, "member_path", "parser", "source_type", F.explode("records").alias("r")
-    ).filter(F.col("r.row_index") <= p.max_records)
+    rows = decoded.records.filter(F.col("row_index") <= p.max_records).join(typed, PART)
     mapped = F.when(
-        F.col("r.parse_error").isNull(),
-        R.map_record(R.canonical_fields(F.col("r.entries")), F.col("source_type")),
+        F.col("parse_error").isNull(),
+        R.map_record(R.canonical_fields(F.col("entries")), F.col("source_type")),
     )
     return rows.select(
-        *KEY, "member_path", F.col("r.row_index").alias("row_index"), F.col("r.raw").alias("content"),
-        F.col("r.parse_error").alias("parse_error"), "parser", mapped.alias("m"),
+        *KEY, "member_path", "row_index", F.col("raw").alias("content"), "parse_error", "parser", mapped.alias("m"),
     ).withColumn("reject_reason", F.coalesce("parse_error", "m.reject_reason"))
 
 
-def file_errors(decoded: DataFrame) -> DataFrame:
+def file_errors(parts: DataFrame) -> DataFrame:
     """One row per evidence file; ``error`` when it (or an archive member) cannot be read."""
-    unknown = (F.size("columns") > 0) & R.detect_source(F.col("columns"), F.lit("")).isNull()
+    unknown = (F.size("columns") > 0) & F.col("reject").isNull() & R.detect_source(F.col("columns"), F.lit("")).isNull()
     error = F.coalesce("error", F.when(unknown, F.lit(R.NO_TIMESTAMP)))
-    return decoded.groupBy(*KEY).agg(
+    return parts.groupBy(*KEY).agg(
         F.max(error).alias("error"),
         F.sort_array(F.collect_set("parser")).alias("parsers"),
         F.max("member_path").isNotNull().alias("archive"),
         F.flatten(F.collect_set("warnings")).alias("notes"),
+        F.sum("n").alias("found"),
     )
 
 
@@ -69,10 +67,10 @@ def process(
     recorded_sha256. Per-file steps stay bounded by the admission size and the
     record cap; numbering inside a case only sums per-file counts.
     """
-    decoded = reliable_checkpoint(decode_files(files, p))
-    errors = reliable_checkpoint(file_errors(decoded))
-    good = decoded.join(errors.filter("error is null").select(*KEY), KEY, "left_semi")
-    rows = reliable_checkpoint(read_records(good, p))
+    decoded = decode(files, p)
+    errors = reliable_checkpoint(file_errors(decoded.parts))
+    good = errors.filter("error is null").select(*KEY)
+    rows = reliable_checkpoint(read_records(Decoded(decoded.parts.join(good, KEY, "left_semi"), decoded.records), p))
 
     accepted = rows.filter("reject_reason is null")
     per_file = accepted.groupBy(*KEY).agg(F.count("*").alias("n"))
@@ -102,8 +100,6 @@ def process(
     ).withColumn("dedupe_hash", fingerprint())
     events = mark_duplicates(shaped, KEY, "row_index", "event_uid")
 
-    over_cap = F.size(F.filter("records", lambda r: r["row_index"] > p.max_records))
-    received = decoded.groupBy(*KEY).agg(F.sum(over_cap).alias("dropped"))
     counts = rows.groupBy(*KEY).agg(
         F.count("*").alias("records_received"),
         F.count_if(F.col("parse_error").isNull()).alias("records_parsed"),
@@ -114,7 +110,8 @@ def process(
     copies = events.groupBy(*KEY).agg(F.count_if(F.col("duplicate_of").isNotNull()).alias("duplicates_detected"))
     names = ("records_received", "records_parsed", "records_normalized", "records_rejected", "duplicates_detected", "dropped")
     joined = (
-        errors.join(counts, KEY, "left").join(copies, KEY, "left").join(received, KEY, "left")
+        errors.join(counts, KEY, "left").join(copies, KEY, "left")
+        .withColumn("dropped", F.greatest(F.col("found") - p.max_records, F.lit(0)))
         .withColumns({c: F.coalesce(c, F.lit(0)) for c in names})
     )
     truncated = F.col("dropped") > 0
@@ -137,10 +134,8 @@ def process(
         *KEY, F.when(F.col("error").isNull(), parser).alias("parser"), status.alias("status"),
         *names[:5], notes.alias("warnings"), "error",
     )
-    members = decoded.filter(F.col("member_path").isNotNull()).groupBy(*KEY, "member_path").agg(
-        F.first("member_status").alias("status"), F.first("detail").alias("detail"),
-        F.first("parser").alias("parser"), F.sum(F.size("records")).alias("records"),
-    )
+    members = decoded.parts.filter("member_path is not null").select(
+        *KEY, "entry", "member_path", F.col("member_status").alias("status"), "detail", "parser", F.col("n").alias("records"))
     return Processed(
         rows.select(*KEY, "row_index", "member_path", "content", "reject_reason"), events, runs, members
     )

@@ -73,3 +73,18 @@ ANSWER_EMPTY_CASE = "No forensic evidence is currently available for this case."
 ANSWER_FOOTER = (
     "Answers are constructed only from processed case evidence. No generative model is enabled."
 )
+
+ALTERED_FILE = (
+    "Evidence integrity mismatch — processing aborted because the stored file no longer matches its "
+    "recorded SHA-256."
+)
+EMPTY_FILE = "evidence file is empty"
+UNKNOWN_FORMAT = "unsupported evidence format; expected CSV, JSON, or a ZIP archive of those"
+NO_COLUMNS = "evidence header could not be read; no usable column names found"
+MALFORMED_JSON = "file appears to be JSON but could not be decoded"
+EMPTY_ARCHIVE = "archive contains no readable evidence members"
+UNKNOWN_MEMBER = "member format not recognised (expected CSV or JSON)"
+MALFORMED_MEMBER = "member could not be parsed: malformed JSON"
+NO_MEMBER_COLUMNS = "member header could not be read"
+NOT_AN_OBJECT = "record is not a JSON object"
+FALLBACK_NOTE = "file was not valid UTF-8; decoded using %s fallback"
