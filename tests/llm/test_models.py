@@ -4,6 +4,7 @@ import random
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -50,6 +51,37 @@ def test_grammar_round_trip_and_random_access(seed):
     assert all(len(block.expand(np.array([100 + n], np.uint32))) == size for n, size in enumerate(block.lengths))
 
 
+@pytest.mark.parametrize("copies", [4, 31, 40])
+@pytest.mark.parametrize("ascending", [False, True])
+def test_repeated_documents_shrink_to_few_symbols(copies, ascending):
+    one = np.arange(20_000, dtype=np.uint32) if ascending else np.random.default_rng(3).integers(0, 50_000, 20_000).astype(np.uint32)
+    ids, ends = np.tile(one, copies), 20_000 * np.arange(1, copies + 1)
+    rules, lengths, symbols, symbol_ends = repair_ids.compress(ids, ends, 50_257)
+    assert len(symbols) < 100 * copies and list(np.diff(symbol_ends.astype(np.int64), prepend=0)).count(len(symbols) // copies) == copies
+    block = repair_ids.Block(repair_ids.pack(ids, ends, 50_257))
+    assert np.array_equal(block.expand(block.symbols), ids) and np.array_equal(block.document(copies - 1, 7, 9_000), one[7:9_000])
+
+
+def test_no_pair_stays_frequent():
+    rng = np.random.default_rng(5)
+    for ids in (rng.integers(0, 12, 5_000), np.full(3_000, 7), np.tile([1, 2, 1], 700), rng.zipf(1.3, 8_000) % 500):
+        ends = np.unique(np.append(rng.integers(1, len(ids), 9), len(ids)))
+        rules, lengths, symbols, stops = repair_ids.compress(ids.astype(np.uint32), ends, 1_000)
+        inside = np.ones(len(symbols), bool)
+        inside[stops.astype(np.int64) - 1] = False
+        pairs = Counter(zip(symbols[:-1][inside[:-1]].tolist(), symbols[1:][inside[:-1]].tolist()))
+        assert max(pairs.values(), default=0) < 4
+        block = repair_ids.Block(repair_ids.pack(ids.astype(np.uint32), ends, 1_000))
+        assert np.array_equal(block.expand(block.symbols), ids) and all(len(block.expand(np.array([1_000 + i], np.uint32))) == k for i, k in enumerate(lengths))
+
+
+def test_blocks_are_smaller_than_16_bit_ids():
+    texts = [t for (t,) in duckdb.sql(f"SELECT text FROM '{SF.replace('0.001', '0.01')}/documents.parquet'").fetchall()]
+    parts = repair_ids.encode_texts(texts, queries.vocabulary("byte_bpe_50k.json"))
+    ids, ends = np.frombuffer(b"".join(parts), "<u4"), np.cumsum([len(x) // 4 for x in parts])
+    assert len(repair_ids.pack(ids, ends, 50_257)) < 0.75 * 2 * len(ids)
+
+
 def test_pieces_round_trip_and_best_score(docs):
     model = queries.vocabulary("piece_bpe_32k.model")
     rows = pieces.decode(pieces.encode(docs, model), model).collect()

@@ -6,6 +6,7 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,77 +18,110 @@ from pyspark.sql.window import Window
 
 from .common import staged, text_of
 
-MAGIC = b"RPG1"
-_HEAD = struct.Struct("<4sIIQI")
+MAGIC = b"RPG2"
+_HEAD = struct.Struct("<4sIIQIBB")
 _SPACE_AFTER_SPACE = re.compile(r"\s ")
 _known: dict[str, dict[str, bytes]] = {}
 _tokenizers: dict[str, object] = {}
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = 32, rounds: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(rules, expansion lengths, symbols, symbol ends) of the ids of documents that end at ``ends``.
 
-    Each round counts the adjacent pairs, ranks those seen ``least`` times or
-    more by frequency, and replaces them by nonterminals; where two chosen
-    pairs overlap, the more frequent one wins, and the left one of two equal
-    ones. A pair never spans two documents. Nonterminals are numbered from
-    ``base``. There are at most ``rounds`` rounds, so a nonterminal covers at
-    most 2 ** rounds ids; they end sooner when no pair is seen ``least`` times.
-    Pairs may therefore still repeat in the result.
+    Frequent pairs are replaced by nonterminals, numbered from ``base``, until
+    no pair is seen ``least`` times (a rule takes about three symbols' room, so
+    rarer ones would cost more than they save). A round replaces many pairs:
+    ranked by frequency, ties by a hash, a pair is taken wherever no better
+    ranked one overlaps it; in a run of one pair, every second. The most
+    frequent pair is replaced throughout in each round, so rounds end. A pair
+    never spans two documents.
+
+    Symbols stay where they are and are linked. A pair that was seen too
+    seldom can only get rarer, so a round looks again only at the places of
+    frequent pairs and next to new symbols.
     """
-    symbols, last = ids.astype(np.uint32), np.zeros(len(ids), bool)
-    last[ends[ends > 0] - 1] = True
-    rules, lengths = np.empty((0, 2), np.uint32), np.empty(0, np.uint32)
-    for _ in range(rounds):
-        if len(symbols) < 2:
+    n = len(ids)
+    symbols = np.append(ids, 0).astype(np.int64)
+    after, before = np.arange(1, n + 2), np.arange(-1, n)
+    stops = ends[np.diff(ends, prepend=0) > 0].astype(np.int64)
+    after[stops - 1], before[np.concatenate([[0], stops[:-1]])] = n, n
+    alive, seen = np.ones(n, bool), np.zeros(n + 1, bool)
+    unranked = np.iinfo(np.int64).max
+    rank = np.full(n + 1, unranked)
+    left, right, lengths, count = [], [], [np.ones(1, np.int64)], 0
+    size = np.ones(n + 1, np.int64)
+    look = np.flatnonzero(after[:n] < n)
+    while len(look):
+        a, b = symbols[look], symbols[after[look]]
+        if len(look) > 50_000:  # a cheap count by hash leaves few pairs to sort
+            slot = (a * 2654435761 + b * 2246822519) >> 7 & 0x3FFFFF
+            often = np.bincount(slot)[slot] >= least
+            look, a, b = look[often], a[often], b[often]
+        key = a << 32 | b
+        order = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]])) if len(key) else np.empty(0, np.int64)
+        times = np.diff(np.append(first, len(key)))
+        pair = np.empty(len(key), np.int64)
+        pair[order] = np.repeat(np.arange(len(first)), times)
+        kept = times[pair] >= least
+        look, pair = look[kept], pair[kept]
+        if not len(look):
             break
-        slot = (symbols[:-1] * np.uint32(2654435761) + symbols[1:] * np.uint32(2246822519)) >> np.uint32(12)
-        slot[last[:-1]] = 0
-        often = np.bincount(slot, minlength=1 << 20)
-        at = np.flatnonzero((often[slot] >= least) & ~last[:-1])
-        pairs, place, count = np.unique(symbols[at].astype(np.uint64) << np.uint64(32) | symbols[at + 1], return_inverse=True, return_counts=True)
-        frequent = count >= least
-        if not frequent.any():
-            break
-        order = np.full(len(pairs), len(pairs), np.int64)
-        ranked = np.flatnonzero(frequent)[np.argsort(-count[frequent], kind="stable")]
-        order[ranked] = np.arange(len(ranked))
-        none = len(pairs)
-        rank = np.full(len(symbols) + 1, none, np.int64)
-        rank[at + 1] = order[place]
-        here = rank[1:-1]
-        chosen = np.flatnonzero((here < none) & (here < rank[:-2]) & (here <= rank[2:]))
-        used, new = np.unique(here[chosen], return_inverse=True)
-        made = pairs[ranked[used]]
-        left, right = (made >> np.uint64(32)).astype(np.uint32), (made & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        known = lambda x: np.where(x < base, 1, lengths[np.minimum(x - base, max(len(lengths) - 1, 0))] if len(lengths) else 1)  # noqa: B023, E731
-        symbols[chosen] = (base + len(rules) + new).astype(np.uint32)
-        last[chosen] = last[chosen + 1]
-        keep = np.ones(len(symbols), bool)
-        keep[chosen + 1] = False
-        lengths = np.concatenate([lengths, (known(left) + known(right)).astype(np.uint32)])
-        rules = np.concatenate([rules, np.stack([left, right], 1)])
-        symbols, last = symbols[keep], last[keep]
-    # Every document holds one symbol at least (its end id), so ends map one to one.
-    stops = np.flatnonzero(last) + 1
-    symbol_ends = np.zeros(len(ends), np.uint64)
-    symbol_ends[np.flatnonzero(np.diff(ends, prepend=0) > 0)] = stops
-    return rules, lengths, symbols, np.maximum.accumulate(symbol_ends) if len(ends) else symbol_ends
+        keys = key[order[first]]
+        place = np.empty(len(keys), np.int64)
+        place[np.lexsort((keys * -7046029254386353131 & 0x7FFFFFFFFFFF, -times))] = np.arange(len(keys))
+        mine = place[pair]
+        rank[look] = mine
+        # In a run of one pair, number its places.
+        joined = np.zeros(len(look), bool)
+        joined[1:] = (before[look[1:]] == look[:-1]) & (mine[1:] == mine[:-1])
+        turn = np.arange(len(look)) - np.maximum.accumulate(np.where(joined, 0, np.arange(len(look))))
+        takes = (np.where(joined, turn % 2 == 0, rank[before[look]] > mine)) & (rank[after[look]] >= mine)
+        rank[look] = unranked
+        taken, which = look[takes], pair[takes]
+        used, new = np.unique(which, return_inverse=True)
+        gone = after[taken]
+        size[taken] += size[gone]
+        one = np.empty(len(used), np.int64)
+        one[new] = taken
+        left.append(keys[used] >> 32)
+        right.append(keys[used] & 0xFFFFFFFF)
+        lengths.append(size[one])
+        symbols[taken] = base + count + new
+        count += len(used)
+        alive[gone] = False
+        after[taken] = after[gone]
+        before[after[taken]] = taken
+        seen[look], seen[taken], seen[before[taken]] = True, True, True
+        seen[gone], seen[n] = False, False
+        look = np.flatnonzero(seen)
+        seen[look] = False
+        look = look[after[look] < n]
+    rules = np.stack([np.concatenate([*x, np.empty(0, np.int64)]) for x in (left, right)], 1).astype(np.uint32)
+    where = np.cumsum(alive)
+    symbol_ends = np.where(ends > 0, where[np.maximum(ends.astype(np.int64), 1) - 1], 0).astype(np.uint64) if n else np.zeros(len(ends), np.uint64)
+    return rules, np.concatenate(lengths)[1:].astype(np.uint32), symbols[:n][alive].astype(np.uint32), symbol_ends
+
+
+def _narrow(values: np.ndarray, width: int) -> bytes:
+    """Numbers of ``width`` bits: 16 of each together, then one plane for each further bit."""
+    return b"".join([(values & 0xFFFF).astype("<u2").tobytes(), *[np.packbits((values >> bit & 1).astype(np.uint8)).tobytes() for bit in range(16, width)]])
 
 
 def pack(ids: np.ndarray, ends: np.ndarray, base: int) -> bytes:
-    """A shard block: head, rules, expansion lengths, symbol ends and id ends per document, symbols."""
+    """A shard block: head, rules, expansion lengths, symbols (all as narrow as they can be), symbol ends and id ends per document."""
     rules, lengths, symbols, symbol_ends = compress(ids, ends, base)
-    head = _HEAD.pack(MAGIC, len(ends), len(rules), len(symbols), base)
-    return b"".join([head, rules.astype("<u4").tobytes(), lengths.astype("<u4").tobytes(), symbol_ends.astype("<u8").tobytes(),
-                     ends.astype("<u8").tobytes(), symbols.astype("<u4").tobytes()])
+    width, long = max(16, int(base + len(rules)).bit_length()), max(16, int(lengths.max(initial=0)).bit_length())
+    head = _HEAD.pack(MAGIC, len(ends), len(rules), len(symbols), base, width, long)
+    return b"".join([head, _narrow(rules.ravel(), width), _narrow(lengths, long), _narrow(symbols, width),
+                     symbol_ends.astype("<u8").tobytes(), ends.astype("<u8").tobytes()])
 
 
 class Block:
     """Reads a packed block; documents decode one by one."""
 
     def __init__(self, data: bytes):
-        magic, docs, rules, symbols, self.base = _HEAD.unpack_from(data)
+        magic, docs, rules, symbols, self.base, width, long = _HEAD.unpack_from(data)
         if magic != MAGIC:
             raise ValueError("not a block of token ids")
         at = _HEAD.size
@@ -98,8 +132,14 @@ class Block:
             at += part.nbytes
             return part
 
-        self.rules, self.lengths = take("<u4", 2 * rules).reshape(-1, 2), take("<u4", rules)
-        self.symbol_ends, self.ends, self.symbols = take("<u8", docs), take("<u8", docs), take("<u4", symbols)
+        def narrow(n: int, bits: int) -> np.ndarray:
+            values = take("<u2", n).astype(np.uint32)
+            for bit in range(16, bits):
+                values |= np.unpackbits(take("u1", -(-n // 8)), count=n).astype(np.uint32) << np.uint32(bit)
+            return values
+
+        self.rules, self.lengths, self.symbols = narrow(2 * rules, width).reshape(-1, 2), narrow(rules, long), narrow(symbols, width)
+        self.symbol_ends, self.ends = take("<u8", docs), take("<u8", docs)
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         while (inner := symbols >= self.base).any():
@@ -140,7 +180,7 @@ def encode_texts(texts: list[str], path: str, most_known: int = 1_000_000) -> li
 
         _tokenizers[path] = Tokenizer.from_file(path)
     tokenizer = _tokenizers[path]
-    run = lambda some: [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+    run = lambda some: [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)]
     known = _known.setdefault(path, {})
     if len(known) > most_known:
         known.clear()
