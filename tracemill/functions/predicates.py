@@ -25,6 +25,12 @@ SEVERITY_RANK = {"Low": 1, "Medium": 2, "High": 3, "Critical": 4}
 # -------------------------------------------------------------------------------
 
 
+def uid(prefix: str, number: Column, width: int = 6) -> Column:
+    """``prefix`` and the number, padded to ``width`` digits; longer numbers keep all of theirs."""
+    digits = number.cast("string")
+    return F.concat(F.lit(prefix), F.when(F.length(digits) < width, F.lpad(digits, width, "0")).otherwise(digits))
+
+
 def lookup(c: Column, table: dict, default=None) -> Column:
     """A dict as a CASE expression."""
     out = None

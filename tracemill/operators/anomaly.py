@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tracemill.functions import predicates as P
 from tracemill.operators.features import window_start
+from tracemill.operators.ranking import first_or_all
 from tracemill.operators.slices import top_k_per_group
 from tracemill.schema import FEATURE_NAMES, AnomalyParams
 from tracemill.session import reliable_checkpoint
@@ -185,8 +186,8 @@ def annotate_events(events: DataFrame, scored: DataFrame, p: AnomalyParams = Ano
 
 
 def ml_windows(scored: DataFrame, p: AnomalyParams = AnomalyParams()) -> DataFrame:
-    """The first flagged windows of every case, with severity and title."""
-    top = top_k_per_group(
+    """The first flagged windows of every case (all where the limit is None), with severity and title."""
+    top = first_or_all(
         scored.filter("flagged"), ["case_id"], [F.asc("window_start")], p.max_findings,
         rank="ml_rank",
     )

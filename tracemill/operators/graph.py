@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.functions import predicates as P
-from tracemill.operators.slices import top_k_per_group
-from tracemill.operators.timeline import flagged_events
+from tracemill.operators.ranking import first_or_all
+from tracemill.operators.timeline import flagged_events, over
 from tracemill.schema import ViewParams
 from tracemill.session import reliable_checkpoint
 
@@ -25,7 +25,7 @@ def graph(
     events: DataFrame, evidence: DataFrame, findings: DataFrame, finding_events: DataFrame,
     links: DataFrame, p: ViewParams = ViewParams(),
 ) -> Graph:
-    """Evidence, then findings, then events by priority, within the caps."""
+    """Evidence, then findings, then events by priority, within the caps; a cap of None leaves nothing out."""
     flagged = flagged_events(events, finding_events, links)
     tagged = F.col("rule_seen") | F.col("ml_seen")
     rank = (
@@ -69,7 +69,7 @@ def graph(
     candidates = evidence_nodes.unionByName(finding_nodes).unionByName(event_nodes, allowMissingColumns=True)
     order = [F.asc("layer"), F.asc("o1"), F.asc("o2"), F.asc("o3")]
     nodes = reliable_checkpoint(
-        top_k_per_group(candidates, ["case_id"], order, p.graph_max_nodes, rank="node_rank")
+        first_or_all(candidates, ["case_id"], order, p.graph_max_nodes, rank="node_rank")
     )
     # The node cap bounds every later join input.
     shown = nodes.filter("node_type = 'event'").select("case_id", "id", F.col("node_id").alias("event_uid"))
@@ -107,7 +107,7 @@ def graph(
     all_edges = triggered.unionByName(contains).unionByName(correlated).dropDuplicates(
         ["case_id", "source", "target", "relation"]
     )
-    edges = top_k_per_group(
+    edges = first_or_all(
         all_edges, ["case_id"], [F.asc("part"), F.asc("o1"), F.asc("o2"), F.asc("o3")],
         p.graph_max_edges, rank="edge_rank",
     )
@@ -115,8 +115,8 @@ def graph(
     edge_totals = all_edges.groupBy("case_id").agg(F.count("*").alias("edges_total"))
     totals = node_totals.join(edge_totals, "case_id", "left").select(
         "case_id", "nodes_total", F.coalesce("edges_total", F.lit(0)).alias("edges_total"),
-        ((F.col("nodes_total") > p.graph_max_nodes)
-         | (F.coalesce("edges_total", F.lit(0)) > p.graph_max_edges)).alias("truncated"),
+        ((F.col("nodes_total") > over(p.graph_max_nodes))
+         | (F.coalesce("edges_total", F.lit(0)) > over(p.graph_max_edges))).alias("truncated"),
     )
     return Graph(
         nodes.select("case_id", "node_rank", "node_id", "node_type", "label", "detail", "severity", "significance"),

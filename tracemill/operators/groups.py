@@ -7,11 +7,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions import predicates as P
+from tracemill.operators.ranking import first_or_all
 from tracemill.operators.slices import (
     nearest_preceding,
     next_instant,
     slice_of,
-    top_k_per_group,
 )
 from tracemill.schema import LinkParams
 from tracemill.session import reliable_checkpoint
@@ -201,7 +201,7 @@ def groups(
     )
     grouped = ev.join(components, ["case_id", "id"])
     key = ["case_id", "component"]
-    kept = top_k_per_group(
+    kept = first_or_all(
         grouped, key, [F.asc("timestamp"), F.asc("id")], p.max_members, rank="position"
     )
     kept = reliable_checkpoint(kept)
@@ -281,11 +281,11 @@ def groups(
         "time_start", "time_end", "members", F.coalesce("link_count", F.lit(0)).alias("link_count"),
         "correlation_uids", "evidence_ids",
     )
-    top = top_k_per_group(
+    top = first_or_all(
         titled, ["case_id"],
         [F.asc("time_start"), F.desc("members"), F.asc("title"), F.asc("component")],
         p.max_groups, rank="group_rank",
-    ).withColumn("group_uid", F.concat(F.lit("GRP-"), F.lpad(F.col("group_rank").cast("string"), 6, "0")))
+    ).withColumn("group_uid", P.uid("GRP-", F.col("group_rank")))
     out = reliable_checkpoint(top)
     members = kept.join(out.select(*key, "group_uid"), key).select(
         "case_id", "group_uid", "component", "position", "id", "event_uid", "timestamp"

@@ -273,7 +273,7 @@ def links(events: DataFrame, p: LinkParams = LinkParams()) -> DataFrame:
     return described.select(
         "case_id",
         "link_rank",
-        F.concat(F.lit("COR-"), F.lpad(F.col("link_rank").cast("string"), 6, "0")).alias("correlation_uid"),
+        P.uid("COR-", F.col("link_rank")).alias("correlation_uid"),
         "correlation_type",
         F.col("a.id").alias("event_a_id"),
         F.col("b.id").alias("event_b_id"),

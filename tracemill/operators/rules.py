@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tracemill.functions import predicates as P
 from tracemill.functions.network import external_ip
+from tracemill.operators.ranking import first_or_all
 from tracemill.operators.slices import (
     nearest_preceding,
     next_instant,
@@ -336,9 +337,9 @@ def candidates(events: DataFrame, p: RuleParams = RuleParams()) -> DataFrame:
 
 
 def cap_candidates(found: DataFrame, p: RuleParams = RuleParams()) -> DataFrame:
-    """The earliest findings per case and rule."""
+    """The earliest findings per case and rule, or all of them, ranked, where the limit is None."""
     order = [F.asc_nulls_first("start_us"), F.asc("scope_a"), F.asc("scope_b")]
-    return top_k_per_group(
+    return first_or_all(
         found, ["case_id", "rule_id"], order, p.max_findings_per_rule, rank="rule_rank",
     )
 

@@ -6,11 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.functions import predicates as P
+from tracemill.operators.ranking import MAX_PAGE, order_index
 from tracemill.operators.slices import top_k_per_group
 from tracemill.session import small_side
 
-MAX_PAGE = 500
-
 
 def search_events(
     events: DataFrame, *, case_id: str | None = None, source_type: str | None = None,
@@ -118,6 +117,32 @@ def of_run(df: DataFrame, runs: DataFrame, run_uid: str | None = None) -> DataFr
     return df.join(small_side(resolve_run(runs).select("case_id", "run_uid")), ["case_id", "run_uid"], "left_semi")
 
 
+def filter_groups(groups: DataFrame, *, kind: str | None = None) -> DataFrame:
+    return groups if kind is None else groups.filter(F.col("kind") == kind)
+
+
+def paged(df: DataFrame, order: list[Column], limit: int = 100, offset: int = 0) -> DataFrame:
+    """O1: a page of every case with its ``position`` and the case's ``total``."""
+    return order_index(df, ["case_id"], order, "position").page(limit, offset)
+
+
+def event_pages(events: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
+    return paged(events, [F.desc_nulls_last("timestamp"), F.desc("id")], limit, offset)
+
+
+def finding_pages(findings: DataFrame, limit: int = 100, offset: int = 0, **filters) -> DataFrame:
+    """Filtered findings, newest uid first."""
+    return paged(filter_findings(findings, **filters), [F.desc("finding_uid")], limit, offset)
+
+
+def link_pages(links: DataFrame, limit: int = 100, offset: int = 0, **filters) -> DataFrame:
+    return paged(filter_links(links, **filters), [F.asc("correlation_uid")], limit, offset)
+
+
+def group_pages(groups: DataFrame, limit: int = 100, offset: int = 0, **filters) -> DataFrame:
+    return paged(filter_groups(groups, **filters), [F.asc("group_uid")], limit, offset)
+
+
 def filter_links(
     links: DataFrame, *, correlation_type: str | None = None, band: str | None = None,
     min_confidence: float | None = None, event_uid: str | None = None,

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions import predicates as P
-from tracemill.operators.slices import near_any, top_k_per_group
+from tracemill.operators.ranking import first_or_all
+from tracemill.operators.slices import near_any
 from tracemill.schema import ViewParams
 from tracemill.session import reliable_checkpoint
 
@@ -64,6 +65,11 @@ def with_context(flagged: DataFrame, context_minutes: int) -> DataFrame:
     ).drop("near")
 
 
+def over(cap: int | None):
+    """A limit to compare with; without one nothing is above it."""
+    return F.lit(cap if cap is not None else 2**62)
+
+
 def significance():
     return (
         F.when(F.col("rule_seen"), "SUSPICIOUS")
@@ -76,18 +82,18 @@ def timeline(
     events: DataFrame, findings: DataFrame, finding_events: DataFrame, links: DataFrame,
     p: ViewParams = ViewParams(),
 ) -> Timeline:
-    """First ``timeline_max`` entries per case in time order, with their reasons."""
+    """First ``timeline_max`` entries per case in time order (all where it is None), with their reasons."""
     all_entries = with_context(flagged_events(events, finding_events, links), p.context_minutes)
     totals = (
         events.groupBy("case_id").agg(F.count_if(F.col("timestamp").isNull()).alias("undated_events"))
         .join(all_entries.groupBy("case_id").agg(F.count("*").alias("total")), "case_id", "left")
         .select(
             "case_id", F.coalesce("total", F.lit(0)).alias("total"),
-            (F.coalesce("total", F.lit(0)) > p.timeline_max).alias("truncated"), "undated_events",
+            (F.coalesce("total", F.lit(0)) > over(p.timeline_max)).alias("truncated"), "undated_events",
         )
     )
     kept = reliable_checkpoint(
-        top_k_per_group(
+        first_or_all(
             all_entries, ["case_id"], [F.asc("us"), F.asc("id")], p.timeline_max, rank="position",
         )
     )
@@ -100,7 +106,7 @@ def timeline(
         F.concat(F.lit("ML finding "), "finding_uid", F.lit(": "), "title", F.lit(" (anomaly score "),
                  F.format_string("%.3f", "anchor_score"), F.lit(")"))
     )
-    # At most 80 findings per case, so an event's list is short.
+    # An event is in few findings: at most one of each rule and scope, and one window.
     tags = (
         finding_events.join(ids, ["case_id", "id"])
         .join(findings.select("case_id", "finding_uid", "rule_id", "title", "severity", "anchor_score"),

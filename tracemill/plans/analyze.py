@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tracemill.functions import predicates as P
 from tracemill.functions.scores import suspicion
+from tracemill.operators.ranking import order_index
 from tracemill.operators import anomaly, rules
 from tracemill.operators.features import feature_windows
 from tracemill.schema import AnomalyParams, RuleParams
@@ -26,10 +27,13 @@ class Analysis:
     stats: DataFrame           # one row per case
 
 
-def _number(df: DataFrame, prefix: str, order: list) -> DataFrame:
-    """Sequential uid inside a case; the caps bound a case's rows (70 rule, 10 ML)."""
-    rn = F.row_number().over(Window.partitionBy("case_id").orderBy(*order))
-    return df.withColumn("finding_uid", F.concat(F.lit(prefix), F.lpad(rn.cast("string"), 6, "0")))
+def _number(df: DataFrame, prefix: str, order: list, bounded: bool) -> DataFrame:
+    """Sequential uid inside a case; caps bound a case's rows (70 rule, 10 ML), otherwise they are ranked by ranges."""
+    if bounded:
+        numbered = df.withColumn("_number", F.row_number().over(Window.partitionBy("case_id").orderBy(*order)))
+    else:
+        numbered = order_index(df, ["case_id"], order, "_number").rows
+    return numbered.withColumn("finding_uid", P.uid(prefix, F.col("_number"))).drop("_number")
 
 
 def analyze(
@@ -58,6 +62,7 @@ def analyze(
     rule_rows = _number(
         rule_rows, "RFND-",
         [F.asc_nulls_first("timestamp_start"), F.asc("rule_id"), F.asc("scope_a"), F.asc("scope_b")],
+        bounded=rule_params.max_findings_per_rule is not None,
     ).withColumn("kind", F.lit("rule"))
 
     flagged = anomaly.ml_windows(scored, anomaly_params)
@@ -65,7 +70,7 @@ def analyze(
     support = inside.groupBy("case_id", "ml_rank").agg(
         F.count("*").alias("event_count"), F.count_distinct("evidence_id").alias("distinct_evidence")
     )
-    ml_uid = F.concat(F.lit("MFND-"), F.lpad(F.col("ml_rank").cast("string"), 6, "0"))
+    ml_uid = P.uid("MFND-", F.col("ml_rank"))
     ml_rows = (
         flagged.drop("event_count", "distinct_evidence").join(support, ["case_id", "ml_rank"])
         .withColumns(

@@ -320,3 +320,37 @@ FROM lk JOIN ev a ON a.id=event_a_id JOIN ev b ON b.id=event_b_id WHERE correlat
     "graph_nodes": EV + GRAPH + "SELECT case_id, node_rank, node_id, node_type, severity, significance FROM nd",
     "graph_edges": EV + GRAPH + "SELECT case_id, edge_rank, source, target, relation FROM ed",
 })
+
+
+def _whole(sql: str) -> str:
+    """The same tables without their caps."""
+    for cap in ("<=10)", "<=10\n", "<=200)", "<= 50)", "<= 200)", "<= 500)"):
+        sql = sql.replace(cap, cap.replace(cap.strip(")\n").split("=")[1].strip(), "9000000000000"))
+    return sql
+
+
+_FINDINGS = _whole(FINDINGS)
+_RANKED = "row_number() OVER (PARTITION BY case_id ORDER BY {}) AS position, count(*) OVER (PARTITION BY case_id) AS total"
+ORACLES.update({
+    "findings_complete": _whole(ORACLES["findings"]),
+    "finding_members_complete": _whole(ORACLES["finding_members"]),
+    # Only the caps of groups, members, nodes, edges and entries go; the findings behind them are those of a run.
+    "groups_complete": EV + GROUPS[:len(TAGGED)] + _whole(GROUPS[len(TAGGED):]) + "SELECT case_id, group_uid, component, kind, title, severity, members, link_count, time_start, time_end FROM gr",
+    "group_members_complete": EV + GROUPS[:len(TAGGED)] + _whole(GROUPS[len(TAGGED):]) + "SELECT gm.case_id, group_uid, position, event_uid FROM gm JOIN gr USING (case_id, component)",
+    "timeline_complete": ORACLES["timeline"].replace("<=500)", "<=9000000000000)"),
+    "graph_nodes_complete": EV + GRAPH[:len(TAGGED)] + _whole(GRAPH[len(TAGGED):]) + "SELECT case_id, node_rank, node_id, node_type, severity, significance FROM nd",
+    "graph_edges_complete": EV + GRAPH[:len(TAGGED)] + _whole(GRAPH[len(TAGGED):]) + "SELECT case_id, edge_rank, source, target, relation FROM ed",
+    "event_pages": EV + f"SELECT * FROM (SELECT case_id, {_RANKED.format('timestamp DESC, id DESC')}, event_uid, timestamp FROM ev) WHERE position BETWEEN 51 AND 150",
+    "finding_pages": EV + _FINDINGS + f"SELECT * FROM (SELECT case_id, {_RANKED.format('finding_uid DESC')}, finding_uid, severity FROM fnd WHERE kind='rule') WHERE position BETWEEN 6 AND 25",
+    "link_pages": EV + LINKS + f"""SELECT * FROM (SELECT case_id, {_RANKED.format('link_rank')}, 'COR-'||lpad(CAST(link_rank AS VARCHAR),6,'0') AS correlation_uid, band
+ FROM lk WHERE confidence>=0.5) WHERE position BETWEEN 11 AND 210""",
+    "rule_catalogue": EV + _FINDINGS + """SELECT f.case_id, f.rule_id, f.findings, position, title, report_severity, TRUE AS enabled, settings
+FROM (SELECT case_id, rule_id, count(*) AS findings FROM fnd WHERE kind='rule' GROUP BY ALL) f JOIN (VALUES
+ (1,'AUTH-001','Repeated failed logins followed by a successful login','High',2), (2,'AUTH-002','Authentication events from an unusual external source IP','Medium',1),
+ (3,'AUTH-003','Rapid login sequence from two distinct source addresses','Low',1), (4,'PROC-001','Scripting or interpreter process execution','Medium',1),
+ (5,'FILE-001','Mass file modifications in a short window','Medium',3), (6,'FILE-002','Rapid file rename burst','High',2),
+ (7,'NET-001','External connection shortly after process execution','Medium',2)) c(position, rule_id, title, report_severity, settings) USING (rule_id)""",
+})
+ORACLES["group_pages"] = ORACLES["groups_complete"].replace(
+    "SELECT case_id, group_uid, component, kind, title, severity, members, link_count, time_start, time_end FROM gr",
+    f"SELECT * FROM (SELECT case_id, {_RANKED.format('group_uid')}, group_uid, title FROM gr WHERE kind='cross_source') WHERE position BETWEEN 2 AND 51")

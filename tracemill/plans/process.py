@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.functions import records as R
+from tracemill.functions import predicates as P, records as R
 from tracemill.operators.duplicates import fingerprint, mark_duplicates
 from tracemill.schema import IngestParams
 from tracemill.session import reliable_checkpoint
@@ -91,7 +91,7 @@ def process(
     numbered = accepted.withColumn("n", F.row_number().over(in_file)).join(offsets, KEY)
     shaped = numbered.select(
         (F.col("offset") + F.col("n")).alias("id"),
-        F.concat(F.lit("EVT-"), F.lpad((F.col("offset") + F.col("n")).cast("string"), 6, "0")).alias("event_uid"),
+        P.uid("EVT-", F.col("offset") + F.col("n")).alias("event_uid"),
         *KEY, "row_index",
         *[F.col(f"m.{c}").alias(c) for c in (
             "timestamp", "tz_note", "source_type", "event_type", "user", "host", "source_ip", "destination_ip",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from tracemill.operators.duplicates import fingerprint, mark_duplicates
 from tracemill.operators.features import feature_windows
 from tracemill.plans import analyze as analyze_plan
 from tracemill.plans.analyze import Analysis, analyze
-from tracemill.schema import LinkParams, RuleParams, ViewParams
+from tracemill.schema import AnomalyParams, LinkParams, RuleParams, ViewParams
 from tracemill.session import reliable_checkpoint
 
 # Windows widened to the density of the benchmark events; everything else default.
@@ -220,6 +222,91 @@ def top_findings(spark, d):
 # --- links, groups, timeline, graph -----------------------------------------------------
 
 
+def complete_analysis(spark: SparkSession, sf_dir: str) -> Analysis:
+    """Every finding of every rule and window, ranked and numbered."""
+    def build():
+        ev = adapter.events(spark, sf_dir)
+        out = analyze(ev, replace(RULE_PARAMS, max_findings_per_rule=None), AnomalyParams(max_findings=None), scored=surrogate_scores(ev))
+        return Analysis(out.events, out.windows, out.findings, reliable_checkpoint(out.finding_events), out.stats)
+
+    return stage(spark, sf_dir, "complete analysis", build)
+
+
+def complete_groups(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    def build():
+        lk, a = found_links(spark, sf_dir), analysis(spark, sf_dir)
+        tags = a.finding_events.join(a.findings.select("case_id", "finding_uid", "severity"), ["case_id", "finding_uid"])
+        return groups.groups(a.events, lk, groups.link_components(lk), tags, replace(LINK_PARAMS, max_groups=None, max_members=None))
+
+    return stage(spark, sf_dir, "complete groups", build)
+
+
+def complete_graph(spark: SparkSession, sf_dir: str) -> graph.Graph:
+    def build():
+        a = analysis(spark, sf_dir)
+        return graph.graph(a.events, adapter.evidence(spark, sf_dir), a.findings, a.finding_events, found_links(spark, sf_dir),
+                           replace(VIEW_PARAMS, graph_max_nodes=None, graph_max_edges=None))
+
+    return stage(spark, sf_dir, "complete graph", build)
+
+
+def findings_complete(spark, d):
+    return complete_analysis(spark, d).findings.select(
+        "case_id", "finding_uid", "kind", "rule_id", "severity", "event_count", "distinct_evidence", "timestamp_start", "timestamp_end",
+        F.round("css", 3).alias("css"))
+
+
+def finding_members_complete(spark, d):
+    return complete_analysis(spark, d).finding_events.select("case_id", "finding_uid", "kind", "id")
+
+
+def groups_complete(spark, d):
+    return complete_groups(spark, d)[0].select("case_id", "group_uid", "component", "kind", "title", "severity", "members", "link_count", "time_start", "time_end")
+
+
+def group_members_complete(spark, d):
+    return complete_groups(spark, d)[1].select("case_id", "group_uid", "position", "event_uid")
+
+
+def timeline_complete(spark, d):
+    a = analysis(spark, d)
+    whole = timeline.timeline(a.events, a.findings, a.finding_events, found_links(spark, d), replace(VIEW_PARAMS, timeline_max=None))
+    return whole.entries.select("case_id", "position", "event_uid", "significance", "context", F.size("finding_ids").alias("findings"),
+                                F.array_join("correlation_ids", ",").alias("correlation_ids"))
+
+
+def graph_nodes_complete(spark, d):
+    return complete_graph(spark, d).nodes.select("case_id", "node_rank", "node_id", "node_type", "severity", "significance")
+
+
+def graph_edges_complete(spark, d):
+    return complete_graph(spark, d).edges.select("case_id", "edge_rank", "source", "target", "relation")
+
+
+def event_pages(spark, d):
+    return search.event_pages(adapter.events(spark, d), limit=100, offset=50).select("case_id", "position", "total", "event_uid", "timestamp")
+
+
+def finding_pages(spark, d):
+    found = complete_analysis(spark, d).findings
+    return search.finding_pages(found, limit=20, offset=5, kind="rule", status="New").select("case_id", "position", "total", "finding_uid", "severity")
+
+
+def link_pages(spark, d):
+    return search.link_pages(found_links(spark, d), limit=200, offset=10, min_confidence=0.5).select("case_id", "position", "total", "correlation_uid", "band")
+
+
+def group_pages(spark, d):
+    return search.group_pages(complete_groups(spark, d)[0], limit=50, offset=1, kind="cross_source").select("case_id", "position", "total", "group_uid", "title")
+
+
+def rule_catalogue(spark, d):
+    """The catalogue with what each rule found in each case."""
+    found = complete_analysis(spark, d).findings.filter("kind = 'rule'").groupBy("case_id", "rule_id").agg(F.count("*").alias("findings"))
+    listed = rules.rule_catalogue(spark, RULE_PARAMS).select("position", "rule_id", "title", "report_severity", "enabled", F.size("config").alias("settings"))
+    return found.join(listed, "rule_id")
+
+
 def link_list(spark, d):
     return found_links(spark, d).select(
         "case_id", "link_rank", "correlation_uid", "correlation_type", "event_a_id", "event_b_id",
@@ -368,7 +455,10 @@ QUERIES = {
     "timeline": timeline_entries,
     "timeline_totals": timeline_totals,
     "context_events": context_events,
-    "graph_nodes": graph_nodes,
+    "graph_nodes": graph_nodes, "findings_complete": findings_complete, "finding_members_complete": finding_members_complete,
+    "groups_complete": groups_complete, "group_members_complete": group_members_complete, "timeline_complete": timeline_complete,
+    "graph_nodes_complete": graph_nodes_complete, "graph_edges_complete": graph_edges_complete, "event_pages": event_pages,
+    "finding_pages": finding_pages, "link_pages": link_pages, "group_pages": group_pages, "rule_catalogue": rule_catalogue,
     "graph_edges": graph_edges,
     "trace": trace,
 }

@@ -280,7 +280,7 @@ def snapshots(t: ReportTables, previous: DataFrame, generated_at: str) -> DataFr
     body = F.to_json(F.struct(*SECTIONS), {"ignoreNullFields": "false"})
     return report_sections(t).join(last, "case_id", "left").select(
         "case_id",
-        F.concat(F.lit("RPT-"), F.lpad(number.cast("string"), 6, "0")).alias("report_uid"),
+        P.uid("RPT-", number).alias("report_uid"),
         F.lit(W.REPORT_TITLE).alias("title"), F.lit(W.REPORT_VERSION).alias("version"),
         F.lit("Generated").alias("status"), F.lit(generated_at).cast("timestamp_ntz").alias("generated_at"),
         body.alias("report_json"), F.sha2(body, 256).alias("content_sha256"),

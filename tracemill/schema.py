@@ -79,7 +79,7 @@ RAW_RECORD_SCHEMA = T.StructType(
 class RuleParams:
     """Thresholds of the seven detection rules; defaults are the published ones."""
 
-    max_findings_per_rule: int = 10
+    max_findings_per_rule: int | None = 10
     auth001_min_failures: int = 3
     auth001_window_minutes: int = 15
     auth002_min_external_logins: int = 3
@@ -106,7 +106,7 @@ class AnomalyParams:
     max_samples: int = 256
     seed: int = 42
     high_score: float = 0.9
-    max_findings: int = 10
+    max_findings: int | None = 10
 
 
 @dataclass(frozen=True)
@@ -119,8 +119,8 @@ class LinkParams:
     weight_user: float = 0.30
     weight_ip: float = 0.15
     max_links: int = 5000
-    max_groups: int = 50
-    max_members: int = 200
+    max_groups: int | None = 50
+    max_members: int | None = 200
 
 
 @dataclass(frozen=True)
@@ -128,9 +128,9 @@ class ViewParams:
     """Caps of the timeline, graph, report and answer views."""
 
     context_minutes: int = 2
-    timeline_max: int = 500
-    graph_max_nodes: int = 200
-    graph_max_edges: int = 500
+    timeline_max: int | None = 500
+    graph_max_nodes: int | None = 200
+    graph_max_edges: int | None = 500
     top_n: int = 10
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +45,21 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def parquet_stage(df: DataFrame) -> DataFrame:
+    """``df`` written once as Parquet beside the checkpoints, and read back: columns prune, filters reach the files."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a shared folder")
+        folder = "file://" + tempfile.mkdtemp(prefix="tracemill-stages-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def small_side(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     """``df`` written once, and broadcast only if it has at most ``max_rows`` rows.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracemill.functions.predicates import uid
 from tracemill.functions.timestamps import strip
 from tracemill.schema import IngestParams
 
@@ -143,6 +144,6 @@ def evidence_ids(incoming: DataFrame, manifest: DataFrame) -> DataFrame:
     number = F.coalesce("last", F.lit(0)) + F.row_number().over(order)
     return (
         incoming.join(last, "case_id", "left")
-        .withColumn("evidence_id", F.concat(F.lit("EV-"), F.lpad(number.cast("string"), 4, "0")))
+        .withColumn("evidence_id", uid("EV-", number, 4))
         .drop("last")
     )
