@@ -25,7 +25,7 @@ from tracemill.operators.slices import (
     top_k_per_group,
 )
 from tracemill.schema import RuleParams
-from tracemill.session import reliable_checkpoint, small_side
+from tracemill.session import parquet_stage, reliable_checkpoint, small_side
 
 MINUTE_US = 60_000_000
 SCOPE = ["case_id", "scope_a", "scope_b"]
@@ -59,16 +59,6 @@ def _text(c: str) -> Column:
     return F.coalesce(F.col(c), F.lit(""))
 
 
-def _scoped(events: DataFrame, scope_a: Column, scope_b: Column | None = None) -> DataFrame:
-    return events.withColumns(
-        {
-            "scope_a": scope_a,
-            "scope_b": F.lit("") if scope_b is None else scope_b,
-            "us": P.micros(F.col("timestamp")),
-        }
-    )
-
-
 def _candidate(df: DataFrame, rule_id: str, **cols: Column) -> DataFrame:
     """Project to the common candidate shape."""
     shape = {
@@ -87,73 +77,86 @@ def _candidate(df: DataFrame, rule_id: str, **cols: Column) -> DataFrame:
     )
 
 
-# --- row selections, shared by candidates and members ---------------------------
+# --- one pass over the events: what each can mean to each rule -----------------------
 
+KEPT = ["id", "event_uid", "evidence_id", "timestamp", "us", "action", "process", "file_path", "destination_ip", "user", "source_ip"]
 
-def user_logins(events: DataFrame) -> DataFrame:
-    auth = events.filter(
-        (F.col("source_type") == "authentication")
-        & (_text("user") != "")
-        & P.is_login()
-        & F.col("timestamp").isNotNull()
-    )
-    return _scoped(auth, F.col("user"))
 
+def _roles() -> dict[str, list[tuple[str, Column, Column, Column]]]:
+    """Per rule the roles an event can have: (role, condition, scope_a, scope_b)."""
+    source = lambda kind: F.col("source_type") == kind
+    dated = F.col("timestamp").isNotNull()
+    login = source("authentication") & (_text("user") != "") & P.is_login() & dated
+    user, address, host, nobody = F.col("user"), F.col("source_ip"), _text("host"), F.lit("")
+    script = source("process") & (F.trim(_text("process")) != "") & (P.is_script_host(F.col("process")) | (F.size("tokens") > 0))
+    touched = source("file_activity") & (_text("file_path") != "") & dated
+    return {
+        "AUTH-001": [("failure", login & P.is_failure(), user, nobody), ("success", login & P.is_success(), user, nobody)],
+        "AUTH-002": [("all", source("authentication") & external_ip(address), address, nobody)],
+        "AUTH-003": [("login", login & (_text("source_ip") != ""), user, nobody)],
+        "PROC-001": [("all", script, host, _text("user"))],
+        "FILE-001": [("range", touched & P.is_modify(), host, _text("user"))],
+        "FILE-002": [("range", touched & P.is_rename(), host, _text("user"))],
+        "NET-001": [("connection", source("network") & external_ip(F.col("destination_ip")) & dated, host, nobody),
+                    ("process", source("process") & dated, host, nobody)],
+    }
 
-def external_auth(events: DataFrame) -> DataFrame:
-    auth = events.filter((F.col("source_type") == "authentication") & external_ip(F.col("source_ip")))
-    return _scoped(auth, F.col("source_ip"))
 
+def tag(events: DataFrame, p: RuleParams = RuleParams(), only: tuple[str, ...] = ()) -> DataFrame:
+    """One narrow row per event, rule and role: the only read of the events, stored sorted by rule.
 
-def scripting(events: DataFrame) -> DataFrame:
+    ``only`` names rules; otherwise all enabled ones are tagged.
+    """
     line = F.try_element_at("metadata", F.lit("command_line"))
-    hits = events.filter(
-        (F.col("source_type") == "process") & (F.trim(_text("process")) != "")
-    ).withColumn("tokens", P.command_tokens(line))
-    hits = hits.filter(P.is_script_host(F.col("process")) | (F.size("tokens") > 0))
-    return _scoped(hits, _text("host"), _text("user"))
-
-
-def file_actions(events: DataFrame, action: Column) -> DataFrame:
-    hits = events.filter(
-        (F.col("source_type") == "file_activity")
-        & (_text("file_path") != "")
-        & action
-        & F.col("timestamp").isNotNull()
-    )
-    return _scoped(hits, _text("host"), _text("user"))
+    known = events.withColumns({"us": P.micros(F.col("timestamp")), "tokens": P.command_tokens(line)})
+    spots = [
+        F.when(condition, F.struct(F.lit(rid).alias("rule_id"), F.lit(role).alias("role"), a.alias("scope_a"), b.alias("scope_b")))
+        for rid, roles in _roles().items() if rid in (only or set(RULES) - p.disabled)
+        for role, condition, a, b in roles
+    ]
+    if not spots:
+        spots = [F.lit(None).cast("struct<rule_id:string,role:string,scope_a:string,scope_b:string>")]
+    tagged = known.withColumn("_t", F.explode(F.array_compact(F.array(*spots)))).select(
+        "case_id", "_t.rule_id", "_t.role", "_t.scope_a", "_t.scope_b", *KEPT,
+        F.when(F.col("_t.rule_id") == "PROC-001", F.col("tokens")).alias("tokens"))
+    return parquet_stage(tagged.sortWithinPartitions("rule_id", "role"))
 
 
-def external_connections(events: DataFrame) -> DataFrame:
-    hits = events.filter(
-        (F.col("source_type") == "network")
-        & external_ip(F.col("destination_ip"))
-        & F.col("timestamp").isNotNull()
-    )
-    return _scoped(hits, _text("host"))
+def of(tags: DataFrame, rule_id: str, role: str | None = None) -> DataFrame:
+    """A rule's rows; the filter reaches the stored files."""
+    rows = tags.filter(F.col("rule_id") == rule_id)
+    return rows if role is None else rows.filter(F.col("role") == role)
+
 
+# --- candidates -----------------------------------------------------------------
 
-def host_processes(events: DataFrame) -> DataFrame:
-    hits = events.filter((F.col("source_type") == "process") & F.col("timestamp").isNotNull())
-    return _scoped(hits, _text("host"))
 
+def spans(p: RuleParams) -> dict[str, int]:
+    """Microseconds of the window that a rule counts in."""
+    return {"AUTH-001": p.auth001_window_minutes * MINUTE_US, "FILE-001": p.file001_window_minutes * MINUTE_US,
+            "FILE-002": p.file002_window_minutes * MINUTE_US}
 
-# --- candidates -----------------------------------------------------------------
 
+def windows_ahead(tags: DataFrame, p: RuleParams) -> DataFrame:
+    """Rows of a rule in the window that starts at each instant, for all rules that count in one: one kernel, the span a column.
 
-def auth001(events: DataFrame, p: RuleParams) -> DataFrame:
+    Instants of AUTH-001 count failures and hold the first success of the instant.
+    """
+    counted = F.count_if(F.col("role") != "success")
+    points = tags.filter(F.col("rule_id").isin(*spans(p))).groupBy("rule_id", *SCOPE, "us").agg(
+        counted.alias("c"), F.min(F.when(F.col("role") == "success", F.col("id"))).alias("success_id"))
+    points = points.withColumn("span", P.lookup(F.col("rule_id"), spans(p)).cast("long"))
+    return sliding(points, ["rule_id", *SCOPE], "us", F.col("span"), "c", edge="last_us")
+
+
+def auth001(ahead: DataFrame, p: RuleParams) -> DataFrame:
     """Failures before a success (High), else a failure burst (Medium).
 
     Both branches count failures per instant, then slide over instants.
     """
-    span = p.auth001_window_minutes * MINUTE_US
-    logins = user_logins(events)
-    points = logins.groupBy(*SCOPE, "us").agg(
-        F.count_if(P.is_failure()).alias("failures"),
-        F.min(F.when(P.is_success(), F.col("id"))).alias("success_id"),
-    ).filter((F.col("failures") > 0) | F.col("success_id").isNotNull())
-    before = sliding(points, SCOPE, "us", span, "failures", edge="first_us", forward=False)
-    after = sliding(points, SCOPE, "us", span, "failures", edge="last_us")
+    after = ahead.filter("rule_id = 'AUTH-001'").withColumnRenamed("c", "failures")
+    points = after.select(*SCOPE, "us", "failures", "success_id")
+    before = sliding(points, SCOPE, "us", spans(p)["AUTH-001"], "failures", edge="first_us", forward=False)
     # Most failures first; among equals the earliest instant.
     best_success = (
         before.filter(F.col("success_id").isNotNull() & (F.col("n") >= p.auth001_min_failures))
@@ -189,10 +192,10 @@ def auth001(events: DataFrame, p: RuleParams) -> DataFrame:
     return high.unionByName(medium)
 
 
-def auth002(events: DataFrame, p: RuleParams) -> DataFrame:
+def auth002(tags: DataFrame, p: RuleParams) -> DataFrame:
     """R2: enough authentication events from one external address."""
     counted = (
-        external_auth(events)
+        of(tags, "AUTH-002")
         .groupBy(*SCOPE)
         .agg(F.count("*").alias("n"), F.min("us").alias("start_us"), F.max("us").alias("end_us"))
         .filter(F.col("n") >= p.auth002_min_external_logins)
@@ -200,7 +203,7 @@ def auth002(events: DataFrame, p: RuleParams) -> DataFrame:
     return _candidate(counted, "AUTH-002")
 
 
-def auth003(events: DataFrame, p: RuleParams) -> DataFrame:
+def auth003(tags: DataFrame, p: RuleParams) -> DataFrame:
     """First pair of consecutive logins close in time from two addresses.
 
     Logins are folded to one row per instant (first and last login of it), so
@@ -208,7 +211,7 @@ def auth003(events: DataFrame, p: RuleParams) -> DataFrame:
     one instant and the first of the next.
     """
     span = p.auth003_window_seconds * 1_000_000
-    logins = user_logins(events).filter(_text("source_ip") != "")
+    logins = of(tags, "AUTH-003")
     instants = logins.groupBy(*SCOPE, "us").agg(
         F.min(F.struct("id", "source_ip")).alias("first"),
         F.max(F.struct("id", "source_ip")).alias("last"),
@@ -250,10 +253,10 @@ def auth003(events: DataFrame, p: RuleParams) -> DataFrame:
     return _candidate(both, "AUTH-003", id_1=F.col("id_1"), id_2=F.col("id_2"))
 
 
-def proc001(events: DataFrame, p: RuleParams) -> DataFrame:
+def proc001(tags: DataFrame, p: RuleParams) -> DataFrame:
     """Scripting or interpreter processes per host and user."""
     counted = (
-        scripting(events)
+        of(tags, "PROC-001")
         .groupBy(*SCOPE)
         .agg(
             F.count("*").alias("n"), F.min("us").alias("start_us"), F.max("us").alias("end_us"),
@@ -266,12 +269,10 @@ def proc001(events: DataFrame, p: RuleParams) -> DataFrame:
     )
 
 
-def _densest(rows: DataFrame, minutes: int, least: int) -> DataFrame:
+def _densest(ahead: DataFrame, rule_id: str, least: int) -> DataFrame:
     """Densest forward window per scope; among equals the one starting latest."""
-    points = rows.groupBy(*SCOPE, "us").agg(F.count("*").alias("c"))
     return (
-        sliding(points, SCOPE, "us", minutes * MINUTE_US, "c", edge="last_us")
-        .filter(F.col("n") >= least)
+        ahead.filter((F.col("rule_id") == rule_id) & (F.col("n") >= least))
         .groupBy(*SCOPE)
         .agg(F.max(F.struct("n", "us", "last_us")).alias("b"))
         .select(
@@ -281,11 +282,9 @@ def _densest(rows: DataFrame, minutes: int, least: int) -> DataFrame:
     )
 
 
-def file001(events: DataFrame, p: RuleParams) -> DataFrame:
+def file001(ahead: DataFrame, p: RuleParams) -> DataFrame:
     """Mass modification."""
-    best = _densest(
-        file_actions(events, P.is_modify()), p.file001_window_minutes, p.file001_min_modifications
-    )
+    best = _densest(ahead, "FILE-001", p.file001_min_modifications)
     return _candidate(
         best, "FILE-001",
         severity=F.when(F.col("n") >= p.file001_high_min, F.lit("High")).otherwise(F.lit("Medium")),
@@ -293,28 +292,26 @@ def file001(events: DataFrame, p: RuleParams) -> DataFrame:
     )
 
 
-def file002(events: DataFrame, p: RuleParams) -> DataFrame:
+def file002(ahead: DataFrame, p: RuleParams) -> DataFrame:
     """Rename burst."""
-    best = _densest(
-        file_actions(events, P.is_rename()), p.file002_window_minutes, p.file002_min_renames
-    )
+    best = _densest(ahead, "FILE-002", p.file002_min_renames)
     return _candidate(best, "FILE-002", lo_us=F.col("start_us"), hi_us=F.col("end_us"))
 
 
-def process_before_connection(events: DataFrame, p: RuleParams) -> DataFrame:
+def process_before_connection(tags: DataFrame, p: RuleParams) -> DataFrame:
     """The latest process instant within the window before each connection instant."""
-    connections = external_connections(events).groupBy(*SCOPE, "us").agg(F.count("*").alias("c"))
-    processes = host_processes(events).groupBy(*SCOPE, "us").agg(F.min("id").alias("process_id"))
+    connections = of(tags, "NET-001", "connection").groupBy(*SCOPE, "us").agg(F.count("*").alias("c"))
+    processes = of(tags, "NET-001", "process").groupBy(*SCOPE, "us").agg(F.min("id").alias("process_id"))
     hits = nearest_preceding(
         connections, processes, SCOPE, "us", p.net001_window_minutes * MINUTE_US, "process_id"
     )
     return hits.join(connections, [*SCOPE, "us"])
 
 
-def net001(events: DataFrame, p: RuleParams) -> DataFrame:
+def net001(tags: DataFrame, p: RuleParams) -> DataFrame:
     """External connections soon after a process on the host."""
     counted = (
-        process_before_connection(events, p)
+        process_before_connection(tags, p)
         .groupBy(*SCOPE)
         .agg(
             F.sum("c").alias("n"), F.min("matched_us").alias("start_us"), F.max("us").alias("end_us")
@@ -330,10 +327,18 @@ RULES = {
 }
 
 
-def candidates(events: DataFrame, p: RuleParams = RuleParams()) -> DataFrame:
-    """All enabled rules, uncapped."""
-    enabled = [rule(events, p) for rid, rule in RULES.items() if rid not in p.disabled]
-    return reduce(DataFrame.unionByName, enabled)
+def candidates_of(tags: DataFrame, p: RuleParams = RuleParams(), only: tuple[str, ...] = ()) -> DataFrame:
+    """All enabled (or the named) rules over tagged rows, uncapped."""
+    ids = [rid for rid in RULES if (rid in only if only else rid not in p.disabled)]
+    ahead = reliable_checkpoint(windows_ahead(tags, p)) if set(ids) & set(spans(p)) else None
+    found = [RULES[rid](ahead if rid in spans(p) else tags, p) for rid in ids]
+    return reduce(DataFrame.unionByName, found) if found else _candidate(tags.filter("false").withColumns(
+        {"n": F.lit(0), "start_us": F.col("us"), "end_us": F.col("us")}), "AUTH-001")
+
+
+def candidates(events: DataFrame, p: RuleParams = RuleParams(), only: tuple[str, ...] = ()) -> DataFrame:
+    """All enabled (or the named) rules over events, uncapped; the events are read once."""
+    return candidates_of(tag(events, p, only), p, only)
 
 
 def cap_candidates(found: DataFrame, p: RuleParams = RuleParams()) -> DataFrame:
@@ -344,60 +349,29 @@ def cap_candidates(found: DataFrame, p: RuleParams = RuleParams()) -> DataFrame:
     )
 
 
-def members(events: DataFrame, found: DataFrame, p: RuleParams) -> DataFrame:
+def members(tags: DataFrame, found: DataFrame, p: RuleParams) -> DataFrame:
     """Supporting events of the given candidates: (case, rule, scope, event).
 
-    Every event is tagged once with the rules it can support; one equi join on
-    the scope plus a range test picks the members.
+    One equi join of the tagged rows on rule and scope plus a range test picks
+    the members. For NET-001 they are the paired connections and processes.
     """
-    keep = ["id", "event_uid", "evidence_id", "timestamp", "us", "action", "process", "file_path",
-            "destination_ip", "user", "source_ip"]
-    tag = F.lit(None).cast("array<string>")
-
-    def tagged(rows: DataFrame, rule_id: str, role: str = "", tokens: Column = tag) -> DataFrame:
-        return rows.select(
-            *SCOPE, *keep, F.lit(rule_id).alias("rule_id"), F.lit(role).alias("role"),
-            tokens.alias("tokens"),
-        )
-
-    logins = user_logins(events)
-    parts = {
-        "AUTH-001": [
-            tagged(logins.filter(P.is_failure()), "AUTH-001", "range"),
-            tagged(logins.filter(P.is_success()), "AUTH-001", "pick"),
-        ],
-        "AUTH-002": [tagged(external_auth(events), "AUTH-002", "all")],
-        "AUTH-003": [tagged(logins, "AUTH-003", "pick")],
-        "PROC-001": [tagged(scripting(events), "PROC-001", "all", F.col("tokens"))],
-        "FILE-001": [tagged(file_actions(events, P.is_modify()), "FILE-001", "range")],
-        "FILE-002": [tagged(file_actions(events, P.is_rename()), "FILE-002", "range")],
-    }
-    plain = reduce(
-        DataFrame.unionByName,
-        [d for rid, ds in parts.items() if rid not in p.disabled for d in ds],
-    )
     want = found.select(*SCOPE, "rule_id", "lo_us", "hi_us", "id_1", "id_2")
+    picked = F.coalesce(F.col("id") == F.col("id_1"), F.lit(False)) | F.coalesce(F.col("id") == F.col("id_2"), F.lit(False))
     inside = (
         F.when(F.col("role") == "all", True)
-        .when(F.col("role") == "range", F.col("us").between(F.col("lo_us"), F.col("hi_us")))
-        .otherwise(
-            F.coalesce(F.col("id") == F.col("id_1"), F.lit(False))
-            | F.coalesce(F.col("id") == F.col("id_2"), F.lit(False))
-        )
+        .when(F.col("role").isin("range", "failure"), F.col("us").between(F.col("lo_us"), F.col("hi_us")))
+        .otherwise(picked)
     )
-    out = plain.join(want, [*SCOPE, "rule_id"]).filter(inside)
+    shape = [*SCOPE, "rule_id", *KEPT, "role", "tokens"]
+    out = tags.filter("rule_id <> 'NET-001'").join(want, [*SCOPE, "rule_id"]).filter(inside).select(*shape)
     if "NET-001" not in p.disabled:
         net = found.filter(F.col("rule_id") == "NET-001").select(*SCOPE)
-        pairs = process_before_connection(events, p).join(net, SCOPE)
-        connections = external_connections(events).join(
-            pairs.select(*SCOPE, "us"), [*SCOPE, "us"], "left_semi"
-        )
+        pairs = process_before_connection(tags, p).join(net, SCOPE)
+        connections = of(tags, "NET-001", "connection").join(pairs.select(*SCOPE, "us"), [*SCOPE, "us"], "left_semi")
         process_ids = pairs.select("case_id", F.col("process_id").alias("id")).distinct()
-        processes = host_processes(events).join(process_ids, ["case_id", "id"], "left_semi")
-        out = out.unionByName(
-            tagged(connections, "NET-001", "connection"), allowMissingColumns=True
-        ).unionByName(tagged(processes, "NET-001", "process"), allowMissingColumns=True)
-    return out.select(*SCOPE, "rule_id", *keep, "role", "tokens")
+        processes = of(tags, "NET-001", "process").join(process_ids, ["case_id", "id"], "left_semi")
+        out = out.unionByName(connections.select(*shape)).unionByName(processes.select(*shape))
+    return out
 
 
 # A text spells out the first of these and ends in "…" beyond
@@ -581,12 +555,14 @@ def _texts(p: RuleParams) -> tuple[Column, Column]:
 def run_rules(events: DataFrame, p: RuleParams = RuleParams()) -> RuleOutput:
     """All rules over all cases: capped findings with text, and their members.
 
-    The capped candidates (at most 70 rows per case) and the members feed
-    several branches, so each is computed once and cut from its lineage. The
-    events are not shuffled for the member join while the candidates are few.
+    The events are read once, for the tagged rows; everything else reads
+    those. The candidates and the members feed several branches, so each is
+    computed once and cut from its lineage. The tagged rows are not shuffled
+    for the member join while the candidates are few.
     """
-    kept = small_side(cap_candidates(candidates(events, p), p))
-    rows = reliable_checkpoint(members(events, kept, p))
+    tags = tag(events, p)
+    kept = small_side(cap_candidates(candidates_of(tags, p), p))
+    rows = reliable_checkpoint(members(tags, kept, p))
     key = [*SCOPE, "rule_id"]
     explanation, reasons = _texts(p)
     support = rows.groupBy(*key).agg(

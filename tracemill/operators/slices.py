@@ -35,9 +35,10 @@ def top_k_per_group(
     )
 
 
-def slice_of(us: Column, span_us: int) -> Column:
+def slice_of(us: Column, span_us: int | Column) -> Column:
     """Index of the time slice, by whole-number arithmetic, also before 1970."""
-    return F.call_function("div", us - F.pmod(us, F.lit(span_us)), F.lit(span_us))
+    span = F.lit(span_us)
+    return F.call_function("div", us - F.pmod(us, span), span)
 
 
 def with_neighbour_slice(points: DataFrame, us: str, span_us: int, forward: bool) -> DataFrame:
@@ -56,13 +57,14 @@ def with_neighbour_slice(points: DataFrame, us: str, span_us: int, forward: bool
 
 
 def sliding(
-    points: DataFrame, keys: list[str], us: str, span_us: int, value: str, out: str = "n",
+    points: DataFrame, keys: list[str], us: str, span_us: int | Column, value: str, out: str = "n",
     edge: str | None = None, forward: bool = True,
 ) -> DataFrame:
     """Sum of ``value`` over ``[us, us + span]`` (or ``[us - span, us]``) per key.
 
     ``edge`` names a column for the farthest instant of the frame whose value
-    is above 0. ``points`` must hold one row per (key, instant). Each instant
+    is above 0. ``span_us`` may be a column that is one value per key.
+    ``points`` must hold one row per (key, instant). Each instant
     also puts a probe at the far end of its frame; running sums at the two
     positions give the frame's sum, so the work per slice is one sort, whereas
     a moving frame would be added up anew for every row.

@@ -179,7 +179,7 @@ def css_scores(spark, d):
 
 def _rule(rule_id):
     def run(spark, d):
-        found = rules.RULES[rule_id](adapter.events(spark, d), RULE_PARAMS)
+        found = rules.candidates(adapter.events(spark, d), RULE_PARAMS, (rule_id,))
         return found.select("case_id", "rule_id", "scope_a", "scope_b", "severity", "n", "start_us", "end_us")
 
     return run
