@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +50,30 @@ def release_stages(spark: SparkSession) -> None:
         where.getFileSystem(conf).delete(where, True)
 
 
+def sheltered(docs: DataFrame) -> tuple[DataFrame, Callable[[str], str], Callable[[DataFrame], DataFrame]]:
+    """``docs`` with room for helper columns, the present name of a column, and a way back to the caller's names.
+
+    Helper columns begin with two underscores. A caller's columns that do so
+    are renamed meanwhile; where a result adds a column that the caller has
+    already, the new one gets a further underscore.
+    """
+    hidden = {c: f"own{i}_{c}" for i, c in enumerate(docs.columns) if c.startswith("__")}
+    own = {c.lower() for c in docs.columns}
+
+    def restored(df: DataFrame) -> DataFrame:
+        if not hidden:
+            return df
+        back, names = {v: k for k, v in hidden.items()}, []
+        for c in df.columns:
+            name = back.get(c, c)
+            while c not in back and c.startswith("__") and name.lower() in own:
+                name += "_"
+            names.append(name)
+        return df.toDF(*names)
+
+    return docs.withColumnsRenamed(hidden) if hidden else docs, lambda c: hidden.get(c, c), restored
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, staged, text_of
+from .common import row_key, sheltered, staged, text_of
 
 
 def _lines(docs: DataFrame, id_column: str, text_column: str, site_column: str) -> DataFrame:
@@ -68,16 +68,19 @@ def drop_spread_lines(docs: DataFrame, min_sites: int = 6, keep_first: bool = Tr
 
     Every row stays, also one that loses all its lines (empty text); a null
     text stays null; rows that repeat id and text lose the same lines; a null
-    site is a site of its own. Texts shuffle once, by the row's hash.
+    site is a site of its own. A caller's own ``__lines`` stays as it is, and the
+    count is then called ``__lines_``. Texts shuffle once, by the row's hash.
     """
+    docs, named, restored = sheltered(docs)
+    id_column, text_column, site_column = map(named, (id_column, text_column, site_column))
     gone = removals(docs, min_sites, keep_first, id_column, text_column, site_column)
     keyed = docs.withColumn("__row", row_key(F.col(id_column), F.col(text_column)))
     joined = keyed.join(gone.select(F.col("row").alias("__row"), F.col("removed").alias("__gone")), "__row", "left")
     lines = F.split(F.col(text_column), "\n", -1)
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
     text = F.when(F.col("__gone").isNull(), F.col(text_column)).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
-    return joined.select(
+    return restored(joined.select(
         *[text.alias(c) if c == text_column else keyed[c] for c in docs.columns],
         F.size(F.split(text_of(text_column), "\n", -1)).cast("bigint").alias("__lines"),
         F.coalesce(F.size("__gone"), F.lit(0)).cast("bigint").alias("__removed"),
-    )
+    ))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import staged, text_of, uniform
+from .common import sheltered, staged, text_of, uniform
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -68,6 +68,8 @@ def copies(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float =
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0, seed: int = 17, id_column: str = "doc_id",
         text_column: str = "text", source_column: str = "source") -> DataFrame:
     """The rows of ``docs`` with all their columns, each as often as ``copies`` says."""
+    docs, named, restored = sheltered(docs)
+    id_column, text_column, source_column = map(named, (id_column, text_column, source_column))
     sized = docs.select(F.col(source_column).alias("source"), words(text_column).alias("size"))
     rates = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most).select(
         F.col("source").alias("__named"),
@@ -76,4 +78,4 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0
     rates = staged(rates, "mix-rates")
     n = F.floor("__rate") + (uniform(F.lit(seed), F.col(id_column)) <= F.col("__rate") - F.floor("__rate")).cast("bigint")
     joined = docs.join(rates, docs[source_column].eqNullSafe(rates["__named"]))
-    return joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), n.cast("int")))).select(*[docs[c] for c in docs.columns])
+    return restored(joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), n.cast("int")))).select(*[docs[c] for c in docs.columns]))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tracemill.operators.groups import star_components
 
-from .common import row_key, staged, text_of
+from .common import row_key, sheltered, staged, text_of
 
 _U = np.uint64
 _MIX1, _MIX2, _GOLD = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB), _U(0x9E3779B97F4A7C15)
@@ -455,6 +455,7 @@ def drop_near(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
     """
     classes = _classes(docs, id_column=id_column, text_column=text_column, **how)
     stay = classes.filter("kept").select(F.col("own").alias("__own"), F.col("h").alias("__h")).distinct()
-    text = text_of(text_column)
+    docs, named, restored = sheltered(docs)
+    id_column, text = named(id_column), text_of(named(text_column))
     keyed = docs.withColumn("__own", F.coalesce(F.col(id_column), row_key(F.col(id_column), text))).withColumn("__h", F.unhex(F.md5(text)))
-    return keyed.join(stay, ["__own", "__h"], "left_semi").dropDuplicates(["__own", "__h"]).select(*docs.columns)
+    return restored(keyed.join(stay, ["__own", "__h"], "left_semi").dropDuplicates(["__own", "__h"]).select(*docs.columns))

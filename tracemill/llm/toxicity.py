@@ -17,7 +17,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended, staged, text_of
+from .common import extended, sheltered, staged, text_of
 
 # A small seed lexicon of insults and the second-person pronouns of the four languages.
 SEED_LEXICON = frozenset((
@@ -227,4 +227,5 @@ def scored(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_c
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", most: float = 0.5) -> DataFrame:
     """The rows of ``docs``, all columns, that score below ``most``; a null text scores as an empty one."""
     model = fit_on(docs, labels, id_column, text_column)
-    return model.score(docs, text_column, "__score", keep_text=True).filter(F.col("__score") < most).select(*docs.columns)
+    docs, named, restored = sheltered(docs)
+    return restored(model.score(docs, named(text_column), "__score", keep_text=True).filter(F.col("__score") < most).select(*docs.columns))
