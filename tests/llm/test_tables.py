@@ -1,6 +1,7 @@
 """Sharding, mixing, exact dedup, lines and secrets against plain loops on hostile rows."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -199,6 +200,47 @@ def test_an_owner_may_hold_a_key_in_many_documents(spark):
     assert all(got[100 + i].added == [] and got[100 + i].copied == 1 for i in range(3))
 
 
+def loop_scan(rows):
+    """Per row: base spans, added spans, live and copied counts, most repositories of one owner; plain loops."""
+    found = {}
+    for key, text, _ in rows:
+        text = text or ""
+        values = {(m.start(), 0, m.end()): m[2] for m in ASSIGN.finditer(text) if len(m[2]) >= 6}
+        for kind, pattern, least in ((1, r"AKIA[A-Z0-9]+", 20), (2, r"[0-9a-f]+", 24), (3, secret_scan.MIXED, 20)):
+            values.update({(m.start(), kind, m.end()): m[0] for m in re.finditer(pattern, text) if len(m[0]) >= least})
+        found[key, text] = values
+    owners = defaultdict(lambda: defaultdict(set))
+    for key, text, owner in rows:
+        for value in found[key, text or ""].values():
+            owners[value][owner].add(key)
+    out = {}
+    for (key, text), values in found.items():
+        base = sorted(s for s in values if s[1] < 3)
+        live = [s for s, v in values.items() if len(owners[v]) <= 2]
+        added = sorted(s for s in live if s[1] == 3 and not any(b[0] < s[2] and s[0] < b[2] for b in base))
+        most = max([len(ids) for v in values.values() for ids in owners[v].values()], default=0)
+        out[key, len(text)] = (base, added, len(live), len(values) - len(live), most)
+    return out
+
+
+def test_ownership_counts_equal_a_loop(spark):
+    """Random texts with shared and own values, one with thousands of spans, repeated rows and null owners."""
+    draw = random.Random(5)
+    values = [f"Key{i}abcdefGHIJKLM{i}xyz" for i in range(12)] + [f"{i:x}" * 25 for i in range(10, 15)] + [f"AKIA{i:016d}" for i in range(4)]
+    forms = ["{v}", "token={v}", "secret: {v} and {v}", "<{v}>{v}", "password = '{v}' plain words", "é {v}é"]
+    rows = [(i, " ".join(draw.choice(forms).replace("{v}", draw.choice(values)) for _ in range(draw.randrange(5))), draw.choice(["a", "b", "c", None]))
+            for i in range(60)]
+    rows += [(100, "".join(f"token=Abc{i:06d} Xy{i:020d}z AKIA{i:016d}," for i in range(900)), "a"), (101, None, "a"), rows[7], rows[8]]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = secret_scan.scan(frame).collect()
+    want = loop_scan(rows)
+    lengths = {key: len(text or "") for key, text, _ in rows}
+    assert len(got) == len(rows)
+    spans = lambda found: sorted((s.start, s.kind, s.end) for s in found)
+    for r in got:
+        assert (spans(r.base), spans(r.added), r.live, r.copied, r.repositories) == want[r.doc_id, lengths[r.doc_id]], r.doc_id
+
+
 def test_lines_at_the_production_threshold(spark):
     spread = {f"line on {n} sites": n for n in (5, 6, 7)}
     rows = [(100 * n + i, f"{line}\nown {n} {i}", f"s{i}") for line, n in spread.items() for i in range(n)]

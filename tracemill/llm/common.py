@@ -84,10 +84,18 @@ def text_of(column: str = "text") -> Column:
 
 
 def row_key(id_column: Column, text: Column) -> Column:
-    """A long that equal (id, text) rows share, and nobody else: id and text may be null or repeat."""
+    """A long that equal (id, text) rows share: id and text may be null or repeat."""
     return F.xxhash64(id_column.isNull(), id_column, text.isNull(), text)
 
 
+def row_hash(id_column: Column, text: Column) -> Column:
+    """128 bits that equal (id, text) rows share: id and text may be null or repeat."""
+    own = id_column.cast("string")
+    return F.unhex(F.md5(F.concat(
+        F.coalesce(F.concat(F.length(own).cast("string"), F.lit(":"), own), F.lit("-")),
+        F.coalesce(F.concat(F.lit("+"), text.cast("string")), F.lit("-")))))
+
+
 def uniform(*parts: Column) -> Column:
     """A double in (0, 1] drawn from the md5 of the parts; the same everywhere and in every run."""
     digest = F.md5(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("null")) for p in parts]))

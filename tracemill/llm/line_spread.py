@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, sheltered, staged, text_of
+from .common import row_hash, sheltered, staged, text_of
 
 
 def _lines(docs: DataFrame, id_column: str, text_column: str, site_column: str) -> DataFrame:
@@ -13,7 +13,7 @@ def _lines(docs: DataFrame, id_column: str, text_column: str, site_column: str)
     text = text_of(text_column)
     line = F.trim("line")
     return docs.select(
-        row_key(F.col(id_column), F.col(text_column)).alias("row"), F.col(id_column).alias("id"),
+        row_hash(F.col(id_column), F.col(text_column)).alias("row"), F.col(id_column).alias("id"),
         F.concat(F.when(F.col(site_column).isNull(), "n").otherwise("s"), F.coalesce(F.col(site_column).cast("string"), F.lit(""))).alias("site"),
         F.posexplode(F.split(text, "\n", -1)).alias("at", "line"),
     ).filter(line != "").select("row", "id", "site", "at", F.xxhash64(line).alias("a"), F.xxhash64(F.lit("line"), line).alias("b"))
@@ -74,7 +74,7 @@ def drop_spread_lines(docs: DataFrame, min_sites: int = 6, keep_first: bool = Tr
     docs, named, restored = sheltered(docs)
     id_column, text_column, site_column = map(named, (id_column, text_column, site_column))
     gone = removals(docs, min_sites, keep_first, id_column, text_column, site_column)
-    keyed = docs.withColumn("__row", row_key(F.col(id_column), F.col(text_column)))
+    keyed = docs.withColumn("__row", row_hash(F.col(id_column), F.col(text_column)))
     joined = keyed.join(gone.select(F.col("row").alias("__row"), F.col("removed").alias("__gone")), "__row", "left")
     lines = F.split(F.col(text_column), "\n", -1)
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))

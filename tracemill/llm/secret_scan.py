@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import row_key, staged, text_of
+from .common import row_hash, staged, text_of
 
 # The patterns of the base kinds, in the order in which kinds are listed.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -14,32 +17,54 @@ HEX = r"[0-9a-f]{24,}"
 # The kind this method adds: runs that mix cases and digits, as generated keys do.
 MIXED = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[a-z0-9+/_=-]*[A-Z])(?=[A-Z0-9+/_=-]*[a-z])[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "mixed")
+BLOCK = 64  # matches whose lengths are summed one by one
 SPAN = "struct<start:bigint,kind:int,end:bigint,value:string>"
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, also where a lambda reads it for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _block_starts(lengths: Column) -> Column:
+    """The sum of all lengths before each block."""
+    zero = F.lit(0).cast("bigint")
+    blocks = F.sequence(F.lit(0), ((F.size(lengths) - 1) / BLOCK).cast("int"))
+    inside = lambda b: F.aggregate(F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK)), zero, lambda n, x: n + x)
+    return F.aggregate(
+        blocks, F.struct(zero.alias("at"), F.array().cast("array<bigint>").alias("out")),
+        lambda acc, b: F.struct((acc["at"] + inside(b)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
+        lambda acc: acc["out"])
+
+
+def _start(lengths: Column, starts: Column, i: Column) -> Column:
+    """The sum of all lengths before element ``i``."""
+    block = (i / BLOCK).cast("int")
+    return F.aggregate(F.slice(lengths, block * BLOCK + 1, i % BLOCK), F.get(starts, block), lambda n, x: n + x)
+
+
 def spans(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0) -> Column:
     """Array of spans of ``pattern``, leftmost first and never overlapping; ends are exclusive code points.
 
-    The text between matches comes from ``split``, so starts are sums of
-    lengths. Matches whose ``group`` is shorter than ``least`` are dropped
+    The text between matches comes from ``split``, so a start is the sum of
+    the lengths before it: sums of whole blocks of matches plus a sum inside
+    the own block, so the work of a text grows with its matches and not with
+    their square. Matches whose ``group`` is shorter than ``least`` are dropped
     after matching, as a match consumes its text either way.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("hit"), values.alias("value"))
-    gap, hit = lambda x: F.length(x["gap"]).cast("bigint"), lambda x: F.length(x["hit"]).cast("bigint")
+    long = lambda x: F.coalesce(F.length(x), F.lit(0)).cast("bigint")
     none = F.array().cast(f"array<{SPAN}>")
-    walked = F.aggregate(
-        parts, F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("out")),
-        lambda acc, x: F.when(x["hit"].isNull(), acc).otherwise(F.struct(
-            (acc["at"] + gap(x) + hit(x)).alias("at"),
-            F.when(F.length(x["value"]) < least, acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(
-                (acc["at"] + gap(x)).alias("start"), F.lit(kind).alias("kind"), (acc["at"] + gap(x) + hit(x)).alias("end"),
-                x["value"].alias("value"))))).alias("out"),
-        )),
-        lambda acc: acc["out"],
-    )
-    return F.when(text.rlike(pattern), walked).otherwise(none)
+
+    def placed(p: Column) -> Column:
+        return _bound(F.transform(p, lambda x: long(x["gap"]) + long(x["hit"])), lambda lengths: _bound(_block_starts(lengths), lambda starts: F.filter(
+            F.transform(p, lambda x, i: _bound(_start(lengths, starts, i) + long(x["gap"]), lambda start: F.struct(
+                start.alias("start"), F.lit(kind).alias("kind"), (start + long(x["hit"])).alias("end"), x["value"].alias("value")))),
+            lambda s: F.length(s["value"]) >= least)))
+
+    return F.when(text.rlike(pattern), _bound(parts, placed)).otherwise(none)
 
 
 def written(found: Column) -> Column:
@@ -69,7 +94,7 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     rows = docs.select(F.col(id_column).alias("id"), text_of(text_column).alias("text"), F.col(repository).cast("string").alias("repository"),
                        F.col(owner).cast("string").alias("owner"))
     found = staged(rows.select(
-        "id", row_key(F.col("id"), text).alias("row"), "repository", "owner",
+        "id", row_hash(F.col("id"), text).alias("row"), "repository", "owner",
         F.concat(spans(text, ASSIGN, 0, 2, 6), spans(text, ACCESS, 1), spans(text, HEX, 2)).alias("base"),
         spans(text, MIXED, 3).alias("mixed"),
     ), "secret-spans")
@@ -80,16 +105,18 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
         .groupBy("value", "owner").agg(F.count("*").alias("repositories"))
         .groupBy("value").agg(F.count("*").alias("owners"), F.max("repositories").alias("repositories"))
     )
-    live = F.col("owners") <= most_owners
-    judged = each.select("row", "s", "value").distinct().join(spread, "value").withColumn("live", live).groupBy("row").agg(
+    live, base = F.col("owners") <= most_owners, F.col("s.kind") < 3
+    before = F.max(F.when(base, F.col("s.end"))).over(Window.partitionBy("row").orderBy("s.start"))
+    after = F.min(F.when(base, F.col("s.start"))).over(Window.partitionBy("row").orderBy(F.desc("s.start")))
+    covered = F.coalesce(before > F.col("s.start"), F.lit(False)) | F.coalesce(after < F.col("s.end"), F.lit(False))
+    judged = each.select("row", "s", "value").distinct().join(spread, "value").withColumns({"live": live, "covered": covered}).groupBy("row").agg(
         F.max("repositories").alias("repositories"),
         F.sum(F.col("live").cast("bigint")).alias("live"), F.sum((~F.col("live")).cast("bigint")).alias("copied"),
-        F.collect_list(F.when(F.col("live") & (F.col("s.kind") == 3), F.col("s"))).alias("extra"),
+        F.collect_list(F.when(F.col("live") & (F.col("s.kind") == 3) & ~F.col("covered"), F.col("s"))).alias("added"),
     )
-    covered = lambda s: F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     none = F.array().cast(f"array<{SPAN}>")
     return found.join(judged, "row", "left").select(
-        F.col("id").alias(id_column), "base", F.filter(F.coalesce("extra", none), lambda s: ~covered(s)).alias("added"),
+        F.col("id").alias(id_column), "base", F.coalesce("added", none).alias("added"),
         F.coalesce("live", F.lit(0)).alias("live"), F.coalesce("copied", F.lit(0)).alias("copied"),
         F.coalesce("repositories", F.lit(0)).alias("repositories"),
     )
