@@ -1,3 +1,5 @@
+from collections import Counter
+
 import pytest
 
 import brute
@@ -36,6 +38,24 @@ def test_address_only_events_still_link(spark, seed):
         assert got == {c: v[0] for c, v in brute.links(rows, 60, cap).items() if v[0]}
 
 
+@pytest.mark.parametrize("seed,step,bare", [(31, 1, False), (32, 20, False), (33, 5, True)])
+def test_link_counts_without_links_equal_all_links(spark, seed, step, bare):
+    rows = random_events(seed, span=1500, step=step)
+    rows = [dict(r, host=None, user=None) if bare else r for r in rows]
+    p = LinkParams(max_links=10**6, window_seconds=120)
+    ev = frame(spark, rows)
+    want = {c: Counter(t for _, _, t in v[0]) for c, v in brute.links(rows, 120, 10**9).items()}
+    bands = {(r.case_id, r.band): r["count"] for r in L.links(ev, p).groupBy("case_id", "band").count().collect()}
+    got = L.link_counts(ev, p).collect()
+    assert {r.case_id for r in got} >= set(want)
+    for r in got:
+        types = want.get(r.case_id, Counter())
+        assert r.links == sum(types.values())
+        assert [r[f"corr_00{i}"] for i in range(1, 6)] == [types[f"CORR-00{i}"] for i in range(1, 6)]
+        assert [r[f"band_{b.lower()}"] for b in ("Low", "Medium", "High")] == [bands.get((r.case_id, b), 0) for b in ("Low", "Medium", "High")]
+    assert L.link_counts(ev.limit(0), p).count() == 0
+
+
 @pytest.mark.parametrize("seed", [21, 22, 23])
 def test_sessions_give_the_components_of_all_links(spark, seed):
     rows = random_events(seed, n=120, span=6000, step=1)

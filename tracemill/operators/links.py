@@ -349,3 +349,69 @@ def link_stats(events: DataFrame, found: DataFrame, p: LinkParams = LinkParams()
             (F.coalesce("links", F.lit(0)) >= p.max_links).alias("links_truncated"),
         )
     )
+
+
+def link_counts(events: DataFrame, p: LinkParams = LinkParams()) -> DataFrame:
+    """A7 without a cap: per case all links by type and band, and no pair is built.
+
+    A pair's type and confidence follow from which of {host, user, address} it
+    shares and from its two event classes. For each of the seven subsets, pairs
+    that agree on it (and maybe on more) are counted from sliding sums per
+    instant; inclusion and exclusion over the supersets leaves the pairs that
+    agree on exactly that subset. Rows are folded to one per (values, instant)
+    before they are repeated for the subsets, and a task holds the instants of
+    two time slices of one value at most. Events without time or without any
+    value link to nothing; their case is listed with zeros.
+    """
+    span = p.window_seconds * 1_000_000
+    parts = {"host": 1, "user": 2, "source_ip": 4}
+    weights = {"host": p.weight_host, "user": p.weight_user, "source_ip": p.weight_ip}
+    sets = range(1, 8)
+    kind = F.col("source_type")
+    classes = {
+        "n": F.lit(True), "process": kind == "process", "file": kind == "file_activity", "outward": F.col("external"),
+        "untyped": ~F.coalesce(kind.isin("authentication", "network"), F.lit(False)),
+    }
+    dated = dated_events(events)
+    folded = dated.groupBy("case_id", *parts, "us").agg(*[F.count_if(c).alias(name) for name, c in classes.items()])
+    agreed = F.array(*[
+        F.when(F.expr(" AND ".join(f"{c} IS NOT NULL" for c, bit in parts.items() if m & bit)), F.struct(
+            F.lit(m).alias("shared"), *[(F.col(c) if m & bit else F.lit("")).alias(c) for c, bit in parts.items()]))
+        for m in sets])
+    keys = ["case_id", "shared", *parts]
+    points = (
+        folded.select("case_id", "us", *classes, F.explode(F.array_compact(agreed)).alias("k"))
+        .groupBy("case_id", "k.shared", *[F.col(f"k.{c}").alias(c) for c in parts], "us")
+        .agg(*[F.sum(c).alias(c) for c in classes])
+    )
+    ahead = sliding(points, keys, "us", span, "n", out="n_ahead", also={c: f"{c}_ahead" for c in classes if c != "n"})
+    within = lambda c: F.col(c) * F.col(f"{c}_ahead") - F.call_function("div", F.col(c) * (F.col(c) + 1), F.lit(2))
+    between = lambda a, b: F.col(a) * F.col(f"{b}_ahead") + F.col(b) * F.col(f"{a}_ahead") - F.col(a) * F.col(b)
+    pairs = {"n": within("n"), "untyped": within("untyped"), "file": between("process", "file"), "outward": between("process", "outward")}
+    sums = ahead.groupBy("case_id").agg(
+        *[F.sum(F.when(F.col("shared") == m, amount).otherwise(0)).alias(f"{name}_{m}") for m in sets for name, amount in pairs.items()])
+
+    def exactly(name: str, m: int) -> Column:
+        return sum((F.col(f"{name}_{t}") * (-1) ** (t ^ m).bit_count() for t in sets if t & m == m), F.lit(0))
+
+    counts = {name: F.lit(0) for name in (*CORRELATION_TYPES, *CONFIDENCE_BANDS)}
+    for m in sets:
+        every, untyped = exactly("n", m), exactly("untyped", m)
+        file, outward = (exactly(c, m) if m & 1 else F.lit(0) for c in ("file", "outward"))
+        rest = every - file - outward
+        # A process and a file event are both untyped, an outward connection never is.
+        by_address = F.lit(0) if m & 2 or not m & 4 else every - untyped - outward
+        by_type = {"CORR-004": file, "CORR-005": outward, "CORR-002": rest if m & 2 else F.lit(0), "CORR-003": by_address,
+                   "CORR-001": rest - by_address if m & 1 and not m & 2 else F.lit(0)}
+        confidence = p.weight_time
+        for c, bit in parts.items():
+            confidence += weights[c] if m & bit else 0.0
+        band = P.confidence_band(F.lit(round(min(confidence, 1.0), 4)))
+        for t, amount in by_type.items():
+            counts[t] = counts[t] + amount
+        for b in CONFIDENCE_BANDS:
+            counts[b] = counts[b] + F.when(band == b, sum(by_type.values(), F.lit(0))).otherwise(0)
+    names = {**{t: t.replace("-", "_").lower() for t in CORRELATION_TYPES}, **{b: f"band_{b.lower()}" for b in CONFIDENCE_BANDS}}
+    return dated.groupBy("case_id").agg(F.count("*").alias("dated_events")).join(sums, "case_id", "left").select(
+        "case_id", "dated_events", F.coalesce(sum((counts[t] for t in CORRELATION_TYPES), F.lit(0)), F.lit(0)).cast("bigint").alias("links"),
+        *[F.coalesce(counts[k], F.lit(0)).cast("bigint").alias(name) for k, name in names.items()])

@@ -58,11 +58,11 @@ def with_neighbour_slice(points: DataFrame, us: str, span_us: int, forward: bool
 
 def sliding(
     points: DataFrame, keys: list[str], us: str, span_us: int | Column, value: str, out: str = "n",
-    edge: str | None = None, forward: bool = True,
+    edge: str | None = None, forward: bool = True, also: dict[str, str] | None = None,
 ) -> DataFrame:
     """Sum of ``value`` over ``[us, us + span]`` (or ``[us - span, us]``) per key.
 
-    ``edge`` names a column for the farthest instant of the frame whose value
+    ``also`` maps further columns (none negative) to the names of their sums, in the same pass. ``edge`` names a column for the farthest instant of the frame whose value
     is above 0. ``span_us`` may be a column that is one value per key.
     ``points`` must hold one row per (key, instant). Each instant
     also puts a probe at the far end of its frame; running sums at the two
@@ -79,14 +79,16 @@ def sliding(
     )
     rows = points.withColumn("_s", F.explode(spots)).select(*points.columns, "_s.*")
     so_far = Window.partitionBy(*keys, "slice").orderBy("pos", "probe").rowsBetween(Window.unboundedPreceding, 0)
-    amount = F.when(F.col("probe") == 0, F.col(value)).otherwise(F.lit(0))
+    names = {value: out, **(also or {})}
+    amounts = {c: F.when(F.col("probe") == 0, F.col(c)).otherwise(F.lit(0)) for c in names}
     summed = rows.select(
-        "*", amount.alias("_v"), F.sum(amount).over(so_far).alias("_sum"),
-        F.max(F.when(amount > 0, F.col("pos"))).over(so_far).alias("_far"),
+        "*", *[a.alias(f"_v_{c}") for c, a in amounts.items()], *[F.sum(a).over(so_far).alias(f"_sum_{c}") for c, a in amounts.items()],
+        F.max(F.when(amounts[value] > 0, F.col("pos"))).over(so_far).alias("_far"),
     )
     is_probe = F.col("probe") == 1
     aggs = [
-        (F.max(F.when(is_probe, F.col("_sum"))) - F.max(F.when(~is_probe, F.col("_sum") - F.col("_v")))).alias(out)
+        (F.max(F.when(is_probe, F.col(f"_sum_{c}"))) - F.max(F.when(~is_probe, F.col(f"_sum_{c}") - F.col(f"_v_{c}")))).alias(name)
+        for c, name in names.items()
     ]
     if edge:
         aggs.append((F.max(F.when(is_probe, F.col("_far"))) * sign).alias(edge))

@@ -257,6 +257,14 @@ LEFT JOIN (SELECT p.case_id, count(*) AS n FROM pairs p LEFT JOIN lim m USING (c
 LEFT JOIN (SELECT case_id, count(*) AS links, count(*) FILTER (correlation_type='CORR-001') AS corr_001, count(*) FILTER (correlation_type='CORR-002') AS corr_002,
   count(*) FILTER (correlation_type='CORR-003') AS corr_003, count(*) FILTER (correlation_type='CORR-004') AS corr_004, count(*) FILTER (correlation_type='CORR-005') AS corr_005,
   count(*) FILTER (band='Low') AS band_low, count(*) FILTER (band='Medium') AS band_medium, count(*) FILTER (band='High') AS band_high FROM lk GROUP BY 1) l USING (case_id)""",
+    "link_counts": EV + LINKS + """SELECT e.case_id, e.dated_events, coalesce(l.links,0) AS links,
+ coalesce(corr_001,0) AS corr_001, coalesce(corr_002,0) AS corr_002, coalesce(corr_003,0) AS corr_003, coalesce(corr_004,0) AS corr_004, coalesce(corr_005,0) AS corr_005,
+ coalesce(band_low,0) AS band_low, coalesce(band_medium,0) AS band_medium, coalesce(band_high,0) AS band_high
+FROM (SELECT case_id, count(*) AS dated_events FROM ev GROUP BY 1) e
+LEFT JOIN (SELECT case_id, count(*) AS links, count(*) FILTER (correlation_type='CORR-001') AS corr_001, count(*) FILTER (correlation_type='CORR-002') AS corr_002,
+  count(*) FILTER (correlation_type='CORR-003') AS corr_003, count(*) FILTER (correlation_type='CORR-004') AS corr_004, count(*) FILTER (correlation_type='CORR-005') AS corr_005,
+  count(*) FILTER (confidence<0.65) AS band_low, count(*) FILTER (confidence>=0.65 AND confidence<0.85) AS band_medium, count(*) FILTER (confidence>=0.85) AS band_high
+  FROM typed WHERE correlation_type IS NOT NULL GROUP BY 1) l USING (case_id)""",
     "components": EV + COMPONENTS + "SELECT case_id, id, component FROM comp",
     "session_components": EV + COMPONENTS + "SELECT case_id, id, component FROM comp",
     "timeline": EV + TAGGED + entries(2, 500) + """

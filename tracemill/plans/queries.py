@@ -319,6 +319,11 @@ def link_stats(spark, d):
     return links.link_stats(adapter.events(spark, d), found_links(spark, d), LINK_PARAMS)
 
 
+def link_counts(spark, d):
+    """All links of a case by type and band, whatever the cap of a run."""
+    return links.link_counts(adapter.events(spark, d), LINK_PARAMS)
+
+
 def components(spark, d):
     return groups.link_components(found_links(spark, d))
 
@@ -447,7 +452,7 @@ QUERIES = {
     "analysis_stats": analysis_stats,
     "top_findings": top_findings,
     "links": link_list,
-    "link_stats": link_stats,
+    "link_stats": link_stats, "link_counts": link_counts,
     "components": components,
     "session_components": session_components,
     "groups": group_list,
