@@ -45,17 +45,22 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def parquet_stage(df: DataFrame) -> DataFrame:
-    """``df`` written once as Parquet beside the checkpoints, and read back: columns prune, filters reach the files."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``; only a local master (tests) may go without, and gets a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not sc.master.startswith("local[") and sc.master != "local":
+        master = spark.sparkContext.master
+        if not master.startswith("local[") and master != "local":
             raise ValueError("set spark.checkpoint.dir to a shared folder")
         folder = "file://" + tempfile.mkdtemp(prefix="tracemill-stages-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def parquet_stage(df: DataFrame) -> DataFrame:
+    """``df`` written once as Parquet beside the checkpoints, and read back: columns prune, filters reach the files."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
