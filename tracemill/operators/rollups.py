@@ -48,6 +48,35 @@ def breakdown(df: DataFrame, column: str, vocabulary: tuple[str, ...], keys: lis
     )
 
 
+def breakdowns(df: DataFrame, vocabularies: dict[str, tuple[str, ...] | None]) -> DataFrame:
+    """(breakdown, value, position, n) for several columns in one scan, by grouping sets.
+
+    Values of a vocabulary that do not occur count 0; others are left out.
+    Without a vocabulary (``None``) the occurring values are listed, null too,
+    and have no position.
+    """
+    columns = list(vocabularies)
+    bit = {c: 1 << (len(columns) - 1 - i) for i, c in enumerate(columns)}
+    of_set = lambda c: F.col("_set") == (1 << len(columns)) - 1 - bit[c]
+    grouped = df.select(*columns).groupingSets([[c] for c in columns], *columns).agg(F.grouping_id().alias("_set"), F.count("*").alias("n"))
+    counted = grouped.select(
+        F.coalesce(*[F.when(of_set(c), F.lit(c)) for c in columns]).alias("breakdown"),
+        F.coalesce(*[F.when(of_set(c), F.col(c)) for c in columns]).alias("value"), "n")
+    listed = [(c, v, i) for c, words in vocabularies.items() for i, v in enumerate(words or ())]
+    words = df.sparkSession.createDataFrame(listed, "breakdown string, value string, position int")
+    filled = words.join(counted, ["breakdown", "value"], "left").select("breakdown", "value", "position", F.coalesce("n", F.lit(0)).alias("n"))
+    free = [c for c, v in vocabularies.items() if v is None]
+    if not free:
+        return filled
+    return filled.unionByName(counted.filter(F.col("breakdown").isin(*free)).select("breakdown", "value", F.lit(None).cast("int").alias("position"), "n"))
+
+
+def sums(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """(metric, value) rows: the sums of columns over all rows, 0 for an empty table."""
+    row = df.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in columns])
+    return row.unpivot([], list(columns), "metric", "value")
+
+
 def latest_integrity(checks: DataFrame) -> DataFrame:
     """Newest check per evidence with its check counts."""
     counts = checks.groupBy("case_id", "evidence_id").agg(

@@ -66,6 +66,7 @@ _CASES = """
 , cd AS (SELECT case_id, 'Investigation '||no AS title, CASE WHEN no%2=0 THEN 'Active' ELSE 'Under Review' END AS status, CASE WHEN no%3=0 THEN 'High' ELSE 'Medium' END AS severity FROM cs)
 """
 _CSV_CTES = CSV_SQL[len("WITH "):]
+_BOARD = EV + GROUPS + _EVIDENCE + _CASES + _REVIEW + TALK + _FOLD + ", " + _CSV_CTES.replace("ids AS", "ids0 AS").replace("FROM ids)", "FROM ids0)") + f""", cr AS ({_CSV_COUNTS}), cu AS ({_CUSTODY})"""
 
 _CONTAINS = lambda words: " OR ".join(f"contains(t, '{w}')" for w in words)
 
@@ -133,11 +134,28 @@ FROM (SELECT DISTINCT e.case_id, e.evidence_id FROM ev e JOIN (SELECT id FROM le
 SELECT v.*, (SELECT count(*) FROM fnd WHERE CASE breakdown WHEN 'severity' THEN severity WHEN 'status' THEN 'New' ELSE kind END = value) AS n FROM v""",
     "case_headers": EV + FINDINGS + _EVIDENCE + _CASES + """SELECT cd.*, (SELECT count(*) FROM evd WHERE evd.case_id=cd.case_id) AS evidence_count,
  (SELECT count(*) FROM fnd WHERE fnd.case_id=cd.case_id) AS finding_count FROM cd""",
+    "status_breakdown": _BOARD + """, w AS (SELECT 'analysis_runs' AS breakdown, unnest(['Pending','Running','Completed','Failed']) AS value, unnest([0,1,2,3]) AS position
+ UNION ALL SELECT 'correlation_runs', unnest(['Pending','Running','Completed','Failed']), unnest([0,1,2,3])
+ UNION ALL SELECT 'processing_runs', unnest(['Pending','Processing','Completed','Partial','Failed']), unnest([0,1,2,3,4]) UNION ALL SELECT 'integrity', unnest(['VERIFIED','MISMATCH']), unnest([0,1]))
+, x AS (SELECT 'analysis_runs' AS breakdown, 'Completed' AS value, count(DISTINCT case_id) AS n FROM ev UNION ALL SELECT 'correlation_runs', 'Completed', count(DISTINCT case_id) FROM ev
+ UNION ALL SELECT 'processing_runs', CASE WHEN altered THEN 'Failed' WHEN ok<n THEN 'Partial' ELSE 'Completed' END, count(*) FROM cr GROUP BY 2 UNION ALL SELECT 'integrity', result, count(*) FROM ck GROUP BY 2)
+SELECT breakdown, value, position, coalesce(x.n,0) AS n FROM w LEFT JOIN x USING (breakdown, value)
+UNION ALL SELECT 'custody', action, NULL, sum(n)::BIGINT FROM cu GROUP BY action""",
+    "dashboard_totals": _BOARD + _NOTES + """, m AS (SELECT sum(CASE WHEN altered THEN 0 ELSE n END)::BIGINT AS received, sum(CASE WHEN altered THEN 0 ELSE ok END)::BIGINT AS kept,
+ sum(CASE WHEN altered THEN 0 ELSE n-ok END)::BIGINT AS rejected, sum(copies)::BIGINT AS copies FROM cr)
+""" + " UNION ALL ".join(f"SELECT '{metric}' AS metric, ({value}) AS value" for metric, value in {
+        "cases": "SELECT count(DISTINCT case_id) FROM ev", "evidence": "SELECT count(*) FROM evd", "raw_records": "SELECT count(*) FROM ev",
+        "forensic_events": "SELECT count(*) FROM ev", "processing_runs": "SELECT count(*) FROM cr", "analysis_runs": "SELECT count(DISTINCT case_id) FROM ev",
+        "correlation_runs": "SELECT count(DISTINCT case_id) FROM ev", "correlations": "SELECT count(*) FROM lk", "investigation_groups": "SELECT count(*) FROM gr",
+        "integrity_checks": "SELECT count(*) FROM ck", "custody_events": "SELECT sum(n)::BIGINT FROM cu", "rule_findings": "SELECT count(*) FROM fnd WHERE kind='rule'",
+        "ml_findings": "SELECT count(*) FROM fnd WHERE kind='ml'", "assistant_queries": "SELECT count(*) FROM tk", "investigation_reports": "SELECT count(DISTINCT case_id) FROM ev",
+        "investigator_notes": "SELECT count(*) FROM nr WHERE reject_reason IS NULL", "records_received": "SELECT received FROM m",
+        "records_normalized": "SELECT kept FROM m", "records_rejected": "SELECT rejected FROM m", "duplicates_detected": "SELECT copies FROM m"}.items()),
     "totals": EV + GROUPS + _EVIDENCE + """SELECT 'cases' AS metric, (SELECT count(DISTINCT case_id) FROM ev) AS value UNION ALL SELECT 'evidence', (SELECT count(*) FROM evd)
  UNION ALL SELECT 'events', (SELECT count(*) FROM ev) UNION ALL SELECT 'findings', (SELECT count(*) FROM fnd) UNION ALL SELECT 'finding_events', (SELECT count(*) FROM fe)
  UNION ALL SELECT 'links', (SELECT count(*) FROM lk) UNION ALL SELECT 'groups', (SELECT count(*) FROM gr) UNION ALL SELECT 'integrity_checks', (SELECT count(*) FROM ck)
  UNION ALL SELECT 'notes', (SELECT count(*) FROM conversations) UNION ALL SELECT 'runs', (SELECT count(DISTINCT event_id//500) FROM events)""",
-    "kpis": EV + GROUPS + _EVIDENCE + _CASES + _REVIEW + TALK + _FOLD + ", " + _CSV_CTES.replace("ids AS", "ids0 AS").replace("FROM ids)", "FROM ids0)") + f""", cr AS ({_CSV_COUNTS}), cu AS ({_CUSTODY})
+    "kpis": _BOARD + """
 SELECT cd.*, (SELECT count(*) FROM evd x WHERE x.case_id=cd.case_id) AS evidence_count, (SELECT count(*) FROM evs x WHERE x.case_id=cd.case_id) AS event_count,
  (SELECT count(*) FROM evs x WHERE x.case_id=cd.case_id AND is_anomalous) AS anomalous_event_count, (SELECT count(*) FROM cr x WHERE x.case_id=cd.case_id) AS processing_runs,
  (SELECT coalesce(sum(ok),0)::BIGINT FROM cr x WHERE x.case_id=cd.case_id AND NOT altered) AS records_normalized, (SELECT coalesce(sum(n-ok),0)::BIGINT FROM cr x WHERE x.case_id=cd.case_id AND NOT altered) AS records_rejected,

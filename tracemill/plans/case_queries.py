@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from tracemill.operators.features import feature_windows
 from tracemill.plans import assistant, classifier, report
 from tracemill.plans import queries as Q
 from tracemill.plans.ingest_queries import csv_run
-from tracemill.schema import FINDING_STATUSES, SEVERITIES
+from tracemill.schema import FINDING_KINDS, FINDING_STATUSES, INTEGRITY_RESULTS, PROCESSING_STATUSES, RUN_STATUSES, SEVERITIES
 from tracemill.session import reliable_checkpoint
 from tracemill.sources.evidence_files import split_new
 from tracemill.sources.sinks import pinned_evidence
@@ -151,8 +153,23 @@ def review_summary(spark, d):
 
 def finding_breakdown(spark, d):
     f = Q.analysis(spark, d).findings
-    parts = [rollups.breakdown(f, "severity", SEVERITIES), rollups.breakdown(f, "status", FINDING_STATUSES), rollups.breakdown(f, "kind", ("rule", "ml"))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return rollups.breakdowns(f, {"severity": SEVERITIES, "status": FINDING_STATUSES, "kind": FINDING_KINDS})
+
+
+def status_breakdown(spark, d):
+    """Runs, custody and integrity checks by status."""
+    done = F.lit("Completed")
+    tables = [
+        (Q.analysis(spark, d).stats, "analysis_runs", done, RUN_STATUSES), (link_runs(spark, d), "correlation_runs", done, RUN_STATUSES),
+        (csv_run(spark, d).runs, "processing_runs", F.col("status"), PROCESSING_STATUSES), (_custody(spark, d), "custody", F.col("action"), None),
+        (checks(spark, d), "integrity", F.col("result"), INTEGRITY_RESULTS)]
+    return reduce(DataFrame.unionByName, [
+        rollups.breakdowns(df.select(value.alias(name)), {name: words}) for df, name, value, words in tables])
+
+
+def link_runs(spark, d) -> DataFrame:
+    """One linking run per case that has events."""
+    return adapter.cases(spark, d).join(adapter.events(spark, d).select("case_id").distinct(), "case_id", "left_semi")
 
 
 def case_headers(spark, d):
@@ -168,12 +185,29 @@ def totals(spark, d):
         "integrity_checks": checks(spark, d), "notes": note_rows(spark, d), "runs": csv_run(spark, d).runs})
 
 
+def _reports(spark, d) -> DataFrame:
+    return report.report_register(adapter.cases(spark, d), spark.createDataFrame([], "case_id string, report_uid string"))
+
+
+def dashboard_totals(spark, d):
+    """A10: rows of every table, and what processing read and kept."""
+    a, runs = Q.analysis(spark, d), csv_run(spark, d).runs
+    counts = rollups.totals({
+        "cases": adapter.cases(spark, d), "evidence": adapter.evidence(spark, d), "raw_records": adapter.raw_records(spark, d), "forensic_events": a.events,
+        "processing_runs": runs, "analysis_runs": a.stats, "correlation_runs": link_runs(spark, d), "correlations": Q.found_links(spark, d),
+        "investigation_groups": Q.found_groups(spark, d)[0], "integrity_checks": checks(spark, d), "custody_events": _custody(spark, d),
+        "rule_findings": a.findings.filter("kind = 'rule'"), "ml_findings": a.findings.filter("kind = 'ml'"), "assistant_queries": questions(spark, d),
+        "investigation_reports": _reports(spark, d),
+        "investigator_notes": casework.load_notes(note_rows(spark, d), a.findings).filter("reject_reason is null")})
+    return counts.unionByName(rollups.sums(runs, ("records_received", "records_normalized", "records_rejected", "duplicates_detected")))
+
+
 def kpis(spark, d):
     a = Q.analysis(spark, d)
     return rollups.case_kpis(
         adapter.cases(spark, d), adapter.evidence(spark, d), a.events, csv_run(spark, d).runs, a.findings,
         Q.found_links(spark, d), Q.found_groups(spark, d)[0], checks(spark, d), _custody(spark, d), questions(spark, d),
-        report_snapshot(spark, d))
+        _reports(spark, d))
 
 
 def ml_rollup(spark, d):
@@ -322,7 +356,8 @@ QUERIES = {
     "custody_log": custody_log, "synthetic_cases": synthetic_cases, "corpus_match": corpus_match, "evidence_append": evidence_append,
     "history_pins": history_pins, "latest_checks": latest_checks, "integrity_headline": integrity_headline,
     "evidence_rollup": evidence_rollup, "review_queue": review_queue, "review_summary": review_summary,
-    "finding_breakdown": finding_breakdown, "case_headers": case_headers, "totals": totals, "kpis": kpis, "ml_rollup": ml_rollup,
+    "finding_breakdown": finding_breakdown, "status_breakdown": status_breakdown, "case_headers": case_headers,
+    "dashboard_totals": dashboard_totals, "totals": totals, "kpis": kpis, "ml_rollup": ml_rollup,
     "run_resolution": run_resolution, "intent_classify": intent_classify, "answer_batch": answer_batch,
     "answer_confidence": answer_confidence, "answer_history": answer_history, "report_snapshot": report_snapshot,
     "report_summary": report_summary, "report_conclusion": report_conclusion, "report_integrity": report_integrity,

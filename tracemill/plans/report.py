@@ -273,14 +273,17 @@ def report_sections(t: ReportTables) -> DataFrame:
     return out.select("case_id", *SECTIONS)
 
 
+def report_register(cases: DataFrame, previous: DataFrame) -> DataFrame:
+    """(case_id, report_uid) of the next report of each case, numbered after ``previous``; no report is built."""
+    last = previous.groupBy("case_id").agg(F.max(F.substring("report_uid", 5, 20).try_cast("int")).alias("last"))
+    return cases.select("case_id").join(last, "case_id", "left").select("case_id", P.uid("RPT-", F.coalesce("last", F.lit(0)) + 1).alias("report_uid"))
+
+
 def snapshots(t: ReportTables, previous: DataFrame, generated_at: str) -> DataFrame:
     """One immutable snapshot row per case, numbered after ``previous``."""
-    last = previous.groupBy("case_id").agg(F.max(F.substring("report_uid", 5, 20).try_cast("int")).alias("last"))
-    number = F.coalesce("last", F.lit(0)) + 1
     body = F.to_json(F.struct(*SECTIONS), {"ignoreNullFields": "false"})
-    return report_sections(t).join(last, "case_id", "left").select(
-        "case_id",
-        P.uid("RPT-", number).alias("report_uid"),
+    return report_sections(t).join(report_register(t.cases, previous), "case_id").select(
+        "case_id", "report_uid",
         F.lit(W.REPORT_TITLE).alias("title"), F.lit(W.REPORT_VERSION).alias("version"),
         F.lit("Generated").alias("status"), F.lit(generated_at).cast("timestamp_ntz").alias("generated_at"),
         body.alias("report_json"), F.sha2(body, 256).alias("content_sha256"),
