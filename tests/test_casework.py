@@ -3,8 +3,7 @@ from datetime import datetime
 
 from fixtures import event, frame, random_events
 from pyspark.sql import functions as F
-from tracemill.operators import anomaly, casework, graph, links, timeline
-from tracemill.operators import rollups
+from tracemill.operators import anomaly, casework, graph, links, rollups, timeline
 from tracemill.operators.features import feature_windows
 from tracemill.plans import assistant, classifier
 from tracemill.plans.analyze import analyze
@@ -176,3 +175,14 @@ def test_classifier_guards_and_learning(spark):
     assert out.confusion.count() == 9 and out.confusion.agg(F.sum("n")).first()[0] == 20
     summary = classifier.fold_summary(out.folds).first()
     assert summary.folds == 2 and abs(summary["mean"] - sum(out.cv_accuracy) / 2) < 1e-12
+
+
+def test_breakdowns_fill_vocabularies_and_list_free_values(spark):
+    rows = spark.createDataFrame([("a", "x", 1), ("a", None, 2), ("z", "y", None), (None, "x", 4)], "one string, two string, n long")
+    got = lambda df, v: sorted(map(tuple, rollups.breakdowns(df, v).collect()), key=repr)
+    want = [("one", "a", 0, 2), ("one", "b", 1, 0), ("two", "x", None, 2), ("two", "y", None, 1), ("two", None, None, 1)]
+    assert got(rows, {"one": ("a", "b"), "two": None}) == sorted(want, key=repr)
+    assert got(rows.limit(0), {"one": ("a", "b"), "two": None}) == [("one", "a", 0, 0), ("one", "b", 1, 0)]
+    assert got(rows, {"two": ("y",)}) == [("two", "y", 0, 1)]
+    assert [tuple(r) for r in rollups.sums(rows, ("n",)).collect()] == [("n", 7)]
+    assert [tuple(r) for r in rollups.sums(rows.limit(0), ("n",)).collect()] == [("n", 0)]

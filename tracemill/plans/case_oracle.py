@@ -124,6 +124,11 @@ SELECT case_id, action, sum(n)::BIGINT AS entries FROM ({_CUSTODY}) GROUP BY 1,2
 SELECT case_id, evidence_id, CASE WHEN links IS NOT NULL THEN 'rebuild skipped: '||links||' preserved correlation link(s) reference these events (append-only history keeps the existing rows)'
  ELSE 'rebuild skipped: a preserved finding references these events (append-only history keeps the existing rows)' END AS reason
 FROM (SELECT DISTINCT e.case_id, e.evidence_id FROM ev e JOIN (SELECT id FROM le UNION SELECT id FROM fe) x USING (id)) LEFT JOIN pin USING (case_id, evidence_id)""",
+    "committed_events": EV + """, f AS (SELECT *, CAST(right(evidence_id,4) AS INT)%2=0 AND case_id<>'CASE-2024-003' AS again FROM ev)
+SELECT case_id, evidence_id, CASE WHEN again THEN 2 ELSE 1 END::BIGINT AS runs, (CASE WHEN again THEN 2 ELSE 1 END*n)::BIGINT AS "rows",
+ CASE WHEN NOT again THEN 'first' WHEN critical>0 THEN 'second' END AS "commit", CASE WHEN NOT again THEN n WHEN critical>0 THEN critical END AS events,
+ CASE WHEN NOT again THEN all_ids ELSE critical_ids END::BIGINT AS ids
+FROM (SELECT case_id, evidence_id, again, count(*) AS n, sum(id) AS all_ids, count(*) FILTER (severity='Critical') AS critical, sum(id) FILTER (severity='Critical') AS critical_ids FROM f GROUP BY ALL)""",
     "latest_checks": EV + _EVIDENCE + "SELECT * FROM lc",
     "integrity_headline": EV + _EVIDENCE + "SELECT * FROM hl",
     "evidence_rollup": EV + _EVIDENCE + "SELECT case_id, total, processed, verified, mismatch, unverified, failed, total_bytes FROM er",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -14,9 +15,10 @@ from tracemill.plans import assistant, classifier, report
 from tracemill.plans import queries as Q
 from tracemill.plans.ingest_queries import csv_run
 from tracemill.schema import FINDING_KINDS, FINDING_STATUSES, INTEGRITY_RESULTS, PROCESSING_STATUSES, RUN_STATUSES, SEVERITIES
-from tracemill.session import reliable_checkpoint
+from tracemill.session import reliable_checkpoint, shared_folder
+from tracemill.sources.commits import CommitLog
 from tracemill.sources.evidence_files import split_new
-from tracemill.sources.sinks import pinned_evidence
+from tracemill.sources.sinks import pinned_evidence, rebuildable
 
 # --- inputs derived from the benchmark tables ----------------------------------------
 
@@ -131,6 +133,22 @@ def history_pins(spark, d):
     return pinned_evidence(adapter.events(spark, d), Q.found_links(spark, d), Q.analysis(spark, d).finding_events, members)
 
 
+def committed_events(spark, d):
+    """All events in one commit, every second evidence replaced by its critical events in the next unless pinned, both given twice."""
+    events = adapter.events(spark, d).select("case_id", "evidence_id", "id", "severity")
+    log = CommitLog(spark, f"{shared_folder(spark)}/logs/{uuid.uuid4().hex}")
+    even = events.filter(F.substring("evidence_id", 4, 4).cast("int") % 2 == 0)
+    pinned = even.filter(F.col("case_id") == "CASE-2024-003").select("case_id", "evidence_id").distinct()
+    free = rebuildable(even, pinned)
+    runs = lambda df: df.groupBy("case_id", "evidence_id").agg(F.count("*").alias("rows"))
+    for key in ("first", "first", "second", "second"):
+        df = events if key == "first" else free.filter(F.col("severity") == "Critical")
+        log.commit(key, {"events": df}, {"runs": runs(events if key == "first" else free)}, None if key == "first" else free)
+    now = log.current("events", events.schema).groupBy("case_id", "evidence_id", "commit").agg(F.count("*").alias("events"), F.sum("id").alias("ids"))
+    seen = log.history("runs", runs(events).schema).groupBy("case_id", "evidence_id").agg(F.count("*").alias("runs"), F.sum("rows").alias("rows"))
+    return seen.join(now, ["case_id", "evidence_id"], "left")
+
+
 def latest_checks(spark, d):
     return rollups.latest_integrity(checks(spark, d)).select("case_id", "evidence_id", "checks", "verified", "mismatch", "latest")
 
@@ -354,7 +372,7 @@ def segment_folds(spark, d):
 QUERIES = {
     "review_fold": review_fold, "review_status": review_status, "notes_load": notes_load, "notes_newest": notes_newest,
     "custody_log": custody_log, "synthetic_cases": synthetic_cases, "corpus_match": corpus_match, "evidence_append": evidence_append,
-    "history_pins": history_pins, "latest_checks": latest_checks, "integrity_headline": integrity_headline,
+    "history_pins": history_pins, "committed_events": committed_events, "latest_checks": latest_checks, "integrity_headline": integrity_headline,
     "evidence_rollup": evidence_rollup, "review_queue": review_queue, "review_summary": review_summary,
     "finding_breakdown": finding_breakdown, "status_breakdown": status_breakdown, "case_headers": case_headers,
     "dashboard_totals": dashboard_totals, "totals": totals, "kpis": kpis, "ml_rollup": ml_rollup,
