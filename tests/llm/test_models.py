@@ -177,6 +177,50 @@ def test_recall_and_empty_table(spark, vectors):
     assert multi_index.search(frame.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+@pytest.mark.parametrize("spread", [0.2, 3.0])
+def test_recall_at_the_defaults(spark, spread):
+    """20,000 vectors around 300 centres: tight groups are walked shortly, near noise is walked as far as it needs."""
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(300, 24))[rng.integers(0, 300, 20_000)] + spread * rng.normal(size=(20_000, 24))
+    frame = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(20_000), "embedding": x.tolist()})).repartition(8)
+    got = multi_index.search(frame, F.col("vec_id") % 50 == 0).collect()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    found = {}
+    for r in got:
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for i in range(0, 20_000, 50):
+        near = unit @ unit[i]
+        near[i] = -2
+        hits += len(set(np.argsort(-near)[:5].tolist()) & found[i])
+    assert len(got) == 2000 and hits >= 0.9 * 2000
+
+
+def test_many_vectors_of_one_id_leave_full_answers(spark):
+    """The cells near a query hold one id only; the walk goes on until there are five ids."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(12)
+    rows = [(0, [1.0] * 8)] + [(7, (1 + rng.normal(size=8) * 0.001).tolist()) for _ in range(600)] + [(100 + i, rng.normal(size=8).tolist()) for i in range(300)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = multi_index.search(frame, F.col("vec_id") == 0, share=0.1).orderBy("rank").collect()
+    assert [r["rank"] for r in got] == [1, 2, 3, 4, 5] and got[0].vec_id == 7
+    best = sorted((-sum(v) / np.sqrt(8 * np.dot(v, v)), i) for i, v in rows[601:])[:4]
+    assert [r.vec_id for r in got[1:]] == [i for _, i in best]
+
+
+def test_entries_before_a_cell_end_the_walk_there():
+    rng = np.random.default_rng(4)
+    one, two, counts = rng.random(5), rng.random(6), rng.integers(1, 9, 30)
+    for cell in range(30):
+        need = int(multi_index.entries_before(one, two, counts, np.array([cell]))[0])
+        assert multi_index.multi_sequence(one, two, counts, need)[-1] == cell
+        assert cell not in multi_index.multi_sequence(one, two, counts, need - 1)
+
+
 def test_cells_come_in_order_of_distance():
     rng = np.random.default_rng(2)
     one, two, counts = rng.random(7), rng.random(9), rng.integers(0, 4, 63)
