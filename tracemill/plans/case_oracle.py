@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from tracemill.plans.assistant import KEYWORDS, TRACE_WORDS
+from tracemill.operators.hash_tree import FAN
+from tracemill.operators.rules import TITLES
 from tracemill.plans.ingest_queries import _CSV_COUNTS, CSV_SQL
-from tracemill.plans.oracle import EV, FINDINGS, GRAPH, GROUPS, windows
+from tracemill.plans.ingest_queries import ORACLES as INGEST
+from tracemill.plans.oracle import EV, FINDINGS, GRAPH, GROUPS, ORACLES as BASE, windows
 from tracemill.schema import FEATURE_NAMES
 from tracemill import wording as W
 
@@ -222,3 +225,58 @@ SELECT *, NULL::VARCHAR AS abstained_reason, false AS abstained, round(greatest(
 SELECT label, part, CASE WHEN n%4>part THEN n//4+1 ELSE n//4 END AS windows FROM c, (SELECT unnest([0,1,2,3]) AS part)""",
 }
 
+
+def _item(query: str, section: str, key: str, /, **fields: str) -> str:
+    made = ", ".join(f"'{name}', {value}" for name, value in fields.items())
+    return f"SELECT case_id, '{section}' AS section, {key} AS item_key, json_object({made})::VARCHAR AS item FROM ({query})"
+
+
+def _same(*names: str) -> dict[str, str]:
+    return {c: c for c in names}
+
+
+def _second(c: str) -> str:
+    return f"strftime({c}, '%Y-%m-%d %H:%M:%S')"
+
+
+_TITLE = "CASE rule_id" + "".join(f" WHEN '{k}' THEN '{v}'" for k, v in TITLES.items()) + (
+    " ELSE 'Anomalous activity window '||strftime(timestamp_start,'%H:%M')||'–'||strftime(timestamp_end,'%H:%M') END")
+_LINK_ENDS = f"""SELECT l.*, a.event_uid AS event_a_uid, b.event_uid AS event_b_uid FROM ({BASE["links"]}) l
+ JOIN ({EV}SELECT id, event_uid FROM ev) a ON a.id=event_a_id JOIN ({EV}SELECT id, event_uid FROM ev) b ON b.id=event_b_id"""
+_LISTS = [
+    _item(INGEST["ingest_csv_runs"], "processing", "evidence_id", **_same("parser", "status", "records_received", "records_parsed",
+          "records_normalized", "records_rejected", "duplicates_detected")),
+    _item(BASE["findings"], "key_findings", "finding_uid", **_same("kind", "rule_id"), title=_TITLE, severity="severity", status="'New'",
+          confidence="CASE WHEN kind='ml' THEN NULL ELSE CASE severity WHEN 'Low' THEN 0.4 WHEN 'Medium' THEN 0.6 WHEN 'High' THEN 0.8 ELSE 0.95 END END::DOUBLE",
+          css="css", event_count="event_count", evidence_count="distinct_evidence", first_seen=_second("timestamp_start"), last_seen=_second("timestamp_end")),
+    _item(_LINK_ENDS, "correlations", "correlation_uid", **_same("correlation_type", "event_a_uid", "event_b_uid", "time_delta_seconds",
+          "confidence", "band", "evidence_ids")),
+    _item(BASE["groups_complete"], "activity_groups", "group_uid", **_same("kind", "title", "severity"), event_count="members",
+          correlation_count="link_count", first_seen=_second("time_start"), last_seen=_second("time_end")),
+    _item(BASE["timeline_complete"], "timeline", "position::VARCHAR", **_same("event_uid", "significance", "context", "findings")),
+    _item(BASE["graph_edges_complete"], "graph", "edge_rank::VARCHAR", **_same("source", "relation", "target")),
+]
+ORACLES["report_lists"] = " UNION ALL ".join(f"({part})" for part in _LISTS)
+
+
+def _seals() -> str:
+    """Digests by levels of one group per FAN nodes; five levels hold FAN**5 items a case."""
+    own = "||".join(f"coalesce(length({c})||':'||{c}, '-')" for c in ("section", "item_key", "item"))
+    steps = f"""WITH it AS MATERIALIZED (({ORACLES["report_items"]}) UNION ALL ({ORACLES["report_lists"]}))
+, n0 AS (SELECT case_id, count(*) OVER (PARTITION BY case_id) AS total, row_number() OVER (PARTITION BY case_id ORDER BY section, item_key, hash)-1 AS p, hash
+  FROM (SELECT *, sha256({own}) AS hash FROM it))"""
+    for level in range(1, 6):
+        steps += f"""
+, n{level} AS (SELECT case_id, total, p//{FAN} AS p, sha256(string_agg(hash, '' ORDER BY p)) AS hash FROM n{level - 1}
+  {f"WHERE total>{FAN ** (level - 1)}" if level > 1 else ""} GROUP BY case_id, total, p//{FAN})"""
+    tops = " UNION ALL ".join(f"SELECT case_id, total, hash FROM n{level} WHERE total<={FAN ** level}" for level in range(1, 6))
+    return steps + f"""
+, sl AS (SELECT c.case_id, 'RPT-000001' AS report_uid, coalesce(total,0) AS items, coalesce(hash, sha256('')) AS digest
+  FROM ({EV}SELECT DISTINCT case_id FROM ev) c LEFT JOIN ({tops}) t USING (case_id))
+"""
+
+
+ORACLES["report_seals"] = _seals() + "SELECT * FROM sl"
+ORACLES["report_seal_check"] = _seals() + """, lost AS (SELECT count(*) AS n FROM it WHERE case_id='CASE-2024-001' AND section='review')
+SELECT case_id, report_uid, items, items-CASE WHEN case_id='CASE-2024-001' THEN n ELSE 0 END AS found,
+ NOT (case_id='CASE-2024-001' AND n>0) AND NOT (case_id='CASE-2024-002' AND EXISTS (SELECT 1 FROM it WHERE it.case_id='CASE-2024-002' AND section='key_findings')) AS intact FROM sl, lost"""

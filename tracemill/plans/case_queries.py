@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -15,7 +16,7 @@ from tracemill.plans import assistant, classifier, report
 from tracemill.plans import queries as Q
 from tracemill.plans.ingest_queries import csv_run
 from tracemill.schema import FINDING_KINDS, FINDING_STATUSES, INTEGRITY_RESULTS, PROCESSING_STATUSES, RUN_STATUSES, SEVERITIES
-from tracemill.session import reliable_checkpoint, shared_folder
+from tracemill.session import parquet_stage, reliable_checkpoint, shared_folder
 from tracemill.sources.commits import CommitLog
 from tracemill.sources.evidence_files import split_new
 from tracemill.sources.sinks import pinned_evidence, rebuildable
@@ -309,6 +310,39 @@ def report_items(spark, d):
     return report.report_items(_report_tables(spark, d))
 
 
+def _whole_report(spark, d) -> report.ReportTables:
+    """The tables of a report with groups, timeline and graph complete."""
+    return replace(_report_tables(spark, d), groups=Q.complete_groups(spark, d)[0], entries=Q.complete_timeline(spark, d).entries,
+                   edges=Q.complete_graph(spark, d).edges)
+
+
+def report_lists(spark, d):
+    return report.report_lists(_whole_report(spark, d))
+
+
+def _sealed(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Headers and stored items of the long reports."""
+    def build():
+        t = _whole_report(spark, d)
+        items = parquet_stage(report.report_items(t).unionByName(report.report_lists(t)))
+        return report.sealed_reports(items, t.cases, spark.createDataFrame([], "case_id string, report_uid string"), "2024-03-01 00:00:00")[0], items
+
+    return Q.stage(spark, d, "sealed reports", build)
+
+
+def report_seals(spark, d):
+    """Digest of every long report."""
+    return _sealed(spark, d)[0].select("case_id", "report_uid", "items", "digest")
+
+
+def report_seal_check(spark, d):
+    """Long reports of which the first case lost its review notes and the second had a status changed."""
+    headers, items = _sealed(spark, d)
+    lost = (F.col("case_id") == "CASE-2024-001") & (F.col("section") == "review")
+    edited = F.when((F.col("case_id") == "CASE-2024-002") & (F.col("section") == "key_findings"), F.replace("item", F.lit("New"), F.lit("Confirmed")))
+    return report.check_seals(headers, items.filter(~lost).withColumn("item", F.coalesce(edited, "item")))
+
+
 def report_graph(spark, d):
     return report.graph_section(_report_tables(spark, d)).drop("table_rows")
 
@@ -379,7 +413,8 @@ QUERIES = {
     "run_resolution": run_resolution, "intent_classify": intent_classify, "answer_batch": answer_batch,
     "answer_confidence": answer_confidence, "answer_history": answer_history, "report_snapshot": report_snapshot,
     "report_summary": report_summary, "report_conclusion": report_conclusion, "report_integrity": report_integrity,
-    "report_trace": report_trace, "report_items": report_items, "report_graph": report_graph, "workspace": workspace, "segment_labels": segment_labels,
+    "report_trace": report_trace, "report_items": report_items, "report_lists": report_lists,
+    "report_seals": report_seals, "report_seal_check": report_seal_check, "report_graph": report_graph, "workspace": workspace, "segment_labels": segment_labels,
     "segment_features": segment_features, "segment_guard": segment_guard, "segment_split": segment_split,
     "segment_classifier": segment_classifier, "segment_metrics": segment_metrics,
     "segment_confusion": segment_confusion, "segment_folds": segment_folds,

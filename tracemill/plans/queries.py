@@ -268,10 +268,16 @@ def group_members_complete(spark, d):
     return complete_groups(spark, d)[1].select("case_id", "group_uid", "position", "event_uid")
 
 
+def complete_timeline(spark: SparkSession, sf_dir: str) -> timeline.Timeline:
+    def build():
+        a = analysis(spark, sf_dir)
+        return timeline.timeline(a.events, a.findings, a.finding_events, found_links(spark, sf_dir), replace(VIEW_PARAMS, timeline_max=None))
+
+    return stage(spark, sf_dir, "complete timeline", build)
+
+
 def timeline_complete(spark, d):
-    a = analysis(spark, d)
-    whole = timeline.timeline(a.events, a.findings, a.finding_events, found_links(spark, d), replace(VIEW_PARAMS, timeline_max=None))
-    return whole.entries.select("case_id", "position", "event_uid", "significance", "context", F.size("finding_ids").alias("findings"),
+    return complete_timeline(spark, d).entries.select("case_id", "position", "event_uid", "significance", "context", F.size("finding_ids").alias("findings"),
                                 F.array_join("correlation_ids", ",").alias("correlation_ids"))
 
 

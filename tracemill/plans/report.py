@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tracemill import wording as W
 from tracemill.functions import predicates as P
 from tracemill.operators import rollups, search
+from tracemill.operators.hash_tree import HashTree, hash_tree
 from tracemill.operators.slices import top_k_per_group
 from tracemill.schema import FINDING_STATUSES
 from tracemill.session import small_side
@@ -163,6 +164,62 @@ def report_items(t: ReportTables) -> DataFrame:
     )
 
 
+def report_lists(t: ReportTables) -> DataFrame:
+    """(case_id, section, item_key, item): every run, finding, link, group, timeline entry and relation.
+
+    With ``report_items`` the complete long form of a report, one row per item;
+    complete as far as the given tables are.
+    """
+    def rows(df: DataFrame, section: str, key: Column, **fields: Column | str) -> DataFrame:
+        item = F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(name) for name, c in fields.items()])
+        return df.select("case_id", F.lit(section).alias("section"), key.cast("string").alias("item_key"),
+                         F.to_json(item, {"ignoreNullFields": "false"}).alias("item"))
+
+    def same(*names: str) -> dict[str, str]:
+        return {c: c for c in names}
+
+    def seconds(c: str) -> Column:
+        return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+
+    return (
+        rows(t.runs, "processing", F.col("evidence_id"), **same("parser", "status", "records_received", "records_parsed",
+             "records_normalized", "records_rejected", "duplicates_detected"))
+        .unionByName(rows(t.findings, "key_findings", F.col("finding_uid"), **same("kind", "rule_id", "title", "severity", "status", "confidence"),
+                          css=F.round("css", 3), event_count="event_count", evidence_count="distinct_evidence",
+                          first_seen=seconds("timestamp_start"), last_seen=seconds("timestamp_end")))
+        .unionByName(rows(t.links, "correlations", F.col("correlation_uid"), **same("correlation_type", "event_a_uid", "event_b_uid",
+                          "time_delta_seconds", "confidence", "band"), evidence_ids=F.array_join("evidence_ids", ",")))
+        .unionByName(rows(t.groups, "activity_groups", F.col("group_uid"), **same("kind", "title", "severity"), event_count="members",
+                          correlation_count="link_count", first_seen=seconds("time_start"), last_seen=seconds("time_end")))
+        .unionByName(rows(t.entries, "timeline", F.col("position"), **same("event_uid", "significance", "context"), findings=F.size("finding_ids")))
+        .unionByName(rows(t.edges, "graph", F.col("edge_rank"), **same("source", "relation", "target")))
+    )
+
+
+def sealed_reports(items: DataFrame, cases: DataFrame, previous: DataFrame, generated_at: str) -> tuple[DataFrame, HashTree]:
+    """C19 without a wide row: (one header per case with the digest of all its items, the tree that proves single items).
+
+    ``items`` are rows of (case_id, section, item_key, item), stored beside the
+    headers. Reports are numbered after ``previous``. A case without items has
+    none and the digest of an empty text; items of unknown cases are sealed nowhere.
+    """
+    tree = hash_tree(items, ["case_id"], ["section", "item_key"], ["section", "item_key", "item"])
+    headers = report_register(cases, previous).join(tree.roots, "case_id", "left").select(
+        "case_id", "report_uid", F.lit(W.REPORT_TITLE).alias("title"), F.lit(W.REPORT_VERSION).alias("version"),
+        F.lit("Generated").alias("status"), F.lit(generated_at).cast("timestamp_ntz").alias("generated_at"),
+        _zero("items").alias("items"), F.coalesce("digest", F.sha2(F.lit(""), 256)).alias("digest"))
+    return headers, tree
+
+
+def check_seals(headers: DataFrame, items: DataFrame) -> DataFrame:
+    """(case_id, report_uid, items, found, intact): whether stored items still give the digest of their header."""
+    roots = hash_tree(items, ["case_id"], ["section", "item_key"], ["section", "item_key", "item"]).roots.select(
+        "case_id", F.col("items").alias("found"), F.col("digest").alias("now"))
+    return headers.join(roots, "case_id", "left").select(
+        "case_id", "report_uid", "items", _zero("found").alias("found"),
+        (F.col("digest") == F.coalesce("now", F.sha2(F.lit(""), 256))).alias("intact"))
+
+
 def links_section(t: ReportTables) -> DataFrame:
     item = F.struct("correlation_uid", "correlation_type", "event_a_uid", "event_b_uid", "time_delta_seconds",
                     "confidence", "reason", "evidence_ids")
