@@ -1,4 +1,5 @@
 import random
+import threading
 from datetime import datetime
 
 from fixtures import event, frame, random_events
@@ -177,6 +178,19 @@ def test_classifier_guards_and_learning(spark):
     assert summary.folds == 2 and abs(summary["mean"] - sum(out.cv_accuracy) / 2) < 1e-12
 
 
+def test_forests_of_an_evaluation_grow_side_by_side(spark, monkeypatch):
+    """Each fit waits for another one, so fits one after the other would break the barrier."""
+    together, grow = threading.Barrier(2, timeout=60), classifier.fit
+
+    def fit(*args):
+        together.wait()
+        return grow(*args)
+
+    monkeypatch.setattr(classifier, "fit", fit)
+    out = classifier.evaluate(labelled(spark, {"benign": 40, "compromise": 24, "ransomware_like": 16}), trees=2, folds=2)
+    assert [r.fold for r in out.folds.orderBy("fold").collect()] == [0, 1] and out.folds.agg(F.sum("windows")).first()[0] == 80
+
+
 def test_breakdowns_fill_vocabularies_and_list_free_values(spark):
     rows = spark.createDataFrame([("a", "x", 1), ("a", None, 2), ("z", "y", None), (None, "x", 4)], "one string, two string, n long")
     got = lambda df, v: sorted(map(tuple, rollups.breakdowns(df, v).collect()), key=repr)
