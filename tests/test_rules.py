@@ -3,6 +3,7 @@ import pytest
 import brute
 from fixtures import event, frame, random_events
 from tracemill.operators import rules as R
+from tracemill.plans.queries import surrogate_scores
 from tracemill.schema import RuleParams
 
 LOOSE = RuleParams(
@@ -68,3 +69,20 @@ def test_a_burst_without_success_is_medium(spark):
     rows = [event(i, i * 180, source="authentication", event_type="login", action="login", user="bob", metadata={"status": "denied"}) for i in range(3)]
     (f,) = R.run_rules(frame(spark, rows)).findings.collect()
     assert (f.rule_id, f.severity, f.event_count, f.confidence) == ("AUTH-001", "Medium", 3, 0.6)
+
+
+def test_roles_are_spread_by_generated_code(spark, monkeypatch):
+    """No function over arrays stands between the roles and the explode; an event without a role gives no row."""
+    monkeypatch.setattr(R, "parquet_stage", lambda df: df)
+    events = frame(spark, random_events(3, n=40))
+    tagged = R.tag(events, LOOSE)
+    plan = tagged._jdf.queryExecution().executedPlan().toString()
+    assert "explode(array(" in plan and "explode(filter(" not in plan
+    assert tagged.filter("rule_id is null or role is null").isEmpty() and not tagged.isEmpty()
+
+
+def test_windows_of_the_surrogate_are_counted_once(spark):
+    """The gate reads the windows twice, so they are cut off from the events."""
+    scored = surrogate_scores(frame(spark, random_events(3, n=40)))
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan and not scored.isEmpty()
