@@ -88,3 +88,11 @@ def test_columns_and_detection(spark):
     assert [r.s for r in df.select(R.detect_source(F.col("c"), F.col("d")).alias("s")).collect()] == [w for _, _, w in shapes]
     hints = spark.createDataFrame([("x/auth_logs.csv",), ("net.csv",), ("syslog.txt",), ("plain.csv",)], "p string")
     assert [r.h for r in hints.select(R.name_hint(F.col("p")).alias("h")).collect()] == ["authentication", "network", "system", None]
+
+
+def test_fields_of_distinct_names_are_taken_as_they_are(spark):
+    rows = [([("ts", "1"), ("usr", "a"), ("other", "x")],), ([("usr", ""), ("user", "b"), ("account", "c"), ("x", None)],), ([],), (None,)]
+    df = spark.createDataFrame(rows, "e array<struct<key:string,value:string>>")
+    fields = R.canonical_fields(F.col("e"))
+    assert [r[0] for r in df.select(fields).collect()] == [{"timestamp": "1", "user": "a", "other": "x"}, {"user": "b"}, {}, None]
+    assert "map_from_entries" in df.select(fields)._jdf.queryExecution().analyzed().toString()
