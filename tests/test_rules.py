@@ -86,3 +86,20 @@ def test_windows_of_the_surrogate_are_counted_once(spark):
     scored = surrogate_scores(frame(spark, random_events(3, n=40)))
     plan = scored._jdf.queryExecution().optimizedPlan().toString()
     assert "Expand" not in plan and not scored.isEmpty()
+
+
+def test_best_windows_and_first_pairs_are_found_once(spark):
+    """Both branches of AUTH-001 and AUTH-003 read their windows from a stage instead of counting them anew."""
+    tags = R.tag(frame(spark, random_events(3, n=60)), LOOSE)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan(R.auth001(R.reliable_checkpoint(R.windows_ahead(tags, LOOSE)), LOOSE))
+    assert "Window" not in plan(R.auth003(tags, LOOSE))
+
+
+def test_only_processes_are_searched_for_tokens(spark, monkeypatch):
+    monkeypatch.setattr(R, "parquet_stage", lambda df: df)
+    rows = [event(1, 60, source="process", host="H1", user="a", process="x.exe", metadata={"command_line": "x -ENC aa"}),
+            event(2, 90, source="system", host="H1", user="a", process="cmd.exe", metadata={"command_line": "x -enc aa"})]
+    tagged = R.tag(frame(spark, rows), RuleParams(), ("PROC-001",))
+    assert [(r.id, r.tokens) for r in tagged.select("id", "tokens").collect()] == [(1, ["enc"])]
+    assert "CASE WHEN (source_type" in tagged._jdf.queryExecution().optimizedPlan().toString()
