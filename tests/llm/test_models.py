@@ -35,6 +35,34 @@ def test_stored_ids_equal_the_tokenizer(spark, docs):
     assert repair_ids.read_documents(repair_ids.write_blocks(docs.limit(0), queries.vocabulary("byte_bpe_50k.json"), base=50_257)).count() == 0
 
 
+def test_words_are_read_by_runs_that_they_share():
+    from tokenizers import Tokenizer
+
+    path, rng = queries.vocabulary("byte_bpe_50k.json"), random.Random(7)
+    tokenizer = Tokenizer.from_file(path)
+    parts = ["xq" + c for c in "abcdef"] + [*".,;:!?", "...", "$$$", "7", "2024", "\n", "\n\n", "\t", "'s", "'", "<|endoftext|>", "<", "_", "é", "ª", "×", "ÿ", "中", "\u00a0", "²", "ĳ"]
+    texts = [" ".join("".join(rng.choices(parts, k=rng.randint(0, 4))) for _ in range(rng.randint(0, 9))) for _ in range(3_000)]
+    got = repair_ids.encode_texts(texts, path)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    words = repair_ids._Words(tokenizer)
+    asked = []
+    words.merge = lambda run: asked.append(run) or tokenizer.model.tokenize(run)
+    for word in ("zyxwq", "zyxwq.", "zyxwq,", "zyxwq\nzyxwq", "zyxwq."):
+        assert words[word] == np.array(tokenizer.encode(" " + word, add_special_tokens=False).ids, "<u4").tobytes()
+    assert sorted(asked) == sorted(["\u0120zyxwq", ".", ",", "\u010a", "zyxwq"])
+
+
+def test_a_block_is_read_whole():
+    rng = np.random.default_rng(2)
+    for base in (60, 50_257, 2**31 - 10_000):  # pairs and places share a number, or have no room in one
+        ids = np.tile(rng.integers(0, 60, 400), 30).astype(np.uint32)
+        ids[rng.integers(0, len(ids), 300)] = rng.integers(0, 60, 300)
+        ends = np.array([0, 0, 5_000, 5_001, len(ids)])
+        block = repair_ids.Block(repair_ids.pack(ids, ends, base))
+        assert np.array_equal(block.whole(), ids) and np.array_equal(block.expand(block.symbols), ids) and len(block.symbols) < len(ids) / 2
+    assert len(repair_ids.Block(repair_ids.pack(ids[:0], ends[:1], base)).whole()) == 0
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_grammar_round_trip_and_random_access(seed):
     rng = np.random.default_rng(seed)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -21,7 +22,15 @@ from .common import staged, text_of
 MAGIC = b"RPG2"
 _HEAD = struct.Struct("<4sIIQIBB")
 _SPACE_AFTER_SPACE = re.compile(r"\s ")
-_known: dict[str, dict[str, bytes]] = {}
+# Characters that the pre-tokenizer takes as plain letters, digits or signs; no apostrophe (it may begin a contraction) and no "<".
+_LETTERS, _SIGNS = r"A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF", r"!-&(-/:;=-@\[-`{-~"
+_ENDS = ".,;:!?"
+_PLAIN = re.compile(rf"[{_LETTERS}0-9{_SIGNS}]+(?:\n[{_LETTERS}0-9{_SIGNS}]+)*")
+_RUN = re.compile(rf"[{_LETTERS}]+|[0-9]+|[{_SIGNS}]+|\n")
+# The byte-level alphabet: printable bytes stand for themselves, the others for the characters from 256 on.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_SIGNS = {byte: 256 + i for i, byte in enumerate(b for b in range(256) if b not in _PRINTED)}
+_known: dict[str, _Words] = {}
 _tokenizers: dict[str, object] = {}
 
 
@@ -41,48 +50,64 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = 4) -> tu
     frequent pairs and next to new symbols.
     """
     n = len(ids)
-    symbols = np.append(ids, 0).astype(np.int64)
-    after, before = np.arange(1, n + 2), np.arange(-1, n)
+    # Half as wide where numbers fit: the time goes into reading them at scattered places.
+    kind = np.int32 if n < 1 << 30 and base < 1 << 30 else np.int64
+    symbols = np.append(ids, 0).astype(kind)
+    after, before = np.arange(1, n + 2, dtype=kind), np.arange(-1, n, dtype=kind)
     stops = ends[np.diff(ends, prepend=0) > 0].astype(np.int64)
     after[stops - 1], before[np.concatenate([[0], stops[:-1]])] = n, n
     alive, seen = np.ones(n, bool), np.zeros(n + 1, bool)
-    unranked = np.iinfo(np.int64).max
-    rank = np.full(n + 1, unranked)
+    unranked = np.iinfo(kind).max
+    rank = np.full(n + 1, unranked, kind)
     left, right, lengths, count = [], [], [np.ones(1, np.int64)], 0
-    size = np.ones(n + 1, np.int64)
+    size = np.ones(n + 1, kind)
     look = np.flatnonzero(after[:n] < n)
+    places = max(n, 1).bit_length()
     while len(look):
-        a, b = symbols[look], symbols[after[look]]
-        if len(look) > 50_000:  # a cheap count by hash leaves few pairs to sort
-            slot = (a * 2654435761 + b * 2246822519) >> 7 & 0x3FFFFF
-            often = np.bincount(slot)[slot] >= least
-            look, a, b = look[often], a[often], b[often]
-        key = a << 32 | b
-        order = np.argsort(key, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]])) if len(key) else np.empty(0, np.int64)
-        times = np.diff(np.append(first, len(key)))
-        pair = np.empty(len(key), np.int64)
-        pair[order] = np.repeat(np.arange(len(first)), times)
-        kept = times[pair] >= least
-        look, pair = look[kept], pair[kept]
-        if not len(look):
+        a, b = symbols[look].astype(np.int64), symbols[after[look]]
+        # Numbers sort much faster than their places, so pair and place share a number where it has room.
+        bits = int(base + count).bit_length()
+        if 2 * bits + places < 64:
+            ordered = np.sort((a << bits | b) << places | np.arange(len(look)))
+            order, key = ordered & (1 << places) - 1, ordered >> places
+            left_of, right_of = key >> bits, key & (1 << bits) - 1
+        else:
+            order = np.lexsort((b, a))
+            left_of, right_of = a[order], b[order]
+        new_pair = np.ones(len(look), bool)
+        new_pair[1:] = (left_of[1:] != left_of[:-1]) | (right_of[1:] != right_of[:-1])
+        first = np.flatnonzero(new_pair)
+        times = np.diff(np.append(first, len(look)))
+        kept = times >= least
+        if not kept.any():
             break
-        keys = key[order[first]]
-        place = np.empty(len(keys), np.int64)
+        number = np.full(len(first), -1, kind)
+        number[kept] = np.arange(kept.sum())
+        pair = np.empty(len(look), kind)
+        pair[order] = np.repeat(number, times)
+        first, times = first[kept], times[kept]
+        mine = np.flatnonzero(pair >= 0)
+        look, pair = look[mine], pair[mine]
+        keys = left_of[first] << 32 | right_of[first]
+        place = np.empty(len(keys), kind)
         place[np.lexsort((keys * -7046029254386353131 & 0x7FFFFFFFFFFF, -times))] = np.arange(len(keys))
         mine = place[pair]
         rank[look] = mine
+        takes = rank[before[look]] > mine
         # In a run of one pair, number its places.
-        joined = np.zeros(len(look), bool)
-        joined[1:] = (before[look[1:]] == look[:-1]) & (mine[1:] == mine[:-1])
-        turn = np.arange(len(look)) - np.maximum.accumulate(np.where(joined, 0, np.arange(len(look))))
-        takes = (np.where(joined, turn % 2 == 0, rank[before[look]] > mine)) & (rank[after[look]] >= mine)
+        joined = np.flatnonzero((mine[1:] == mine[:-1]) & (before[look[1:]] == look[:-1])) + 1
+        begins = np.diff(joined, prepend=-1) != 1
+        takes[joined] = (joined - np.maximum.accumulate(np.where(begins, joined, 0))) % 2 == 1
+        takes &= rank[after[look]] >= mine
         rank[look] = unranked
+        takes = np.flatnonzero(takes)
         taken, which = look[takes], pair[takes]
-        used, new = np.unique(which, return_inverse=True)
+        some = np.zeros(len(keys), bool)
+        some[which] = True
+        used, new = np.flatnonzero(some), (np.cumsum(some) - 1)[which]
         gone = after[taken]
         size[taken] += size[gone]
-        one = np.empty(len(used), np.int64)
+        one = np.empty(len(used), kind)
         one[new] = taken
         left.append(keys[used] >> 32)
         right.append(keys[used] & 0xFFFFFFFF)
@@ -92,9 +117,10 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = 4) -> tu
         alive[gone] = False
         after[taken] = after[gone]
         before[after[taken]] = taken
-        seen[look], seen[taken], seen[before[taken]] = True, True, True
+        near = np.concatenate([look, taken, before[taken]])
+        seen[near] = True
         seen[gone], seen[n] = False, False
-        look = np.flatnonzero(seen)
+        look = np.flatnonzero(seen) if len(near) > n >> 5 else np.unique(near[seen[near]])
         seen[look] = False
         look = look[after[look] < n]
     rules = np.stack([np.concatenate([*x, np.empty(0, np.int64)]) for x in (left, right)], 1).astype(np.uint32)
@@ -150,6 +176,22 @@ class Block:
             symbols = out
         return symbols
 
+    def whole(self) -> np.ndarray:
+        """All ids of the block: every rule is expanded once, its ids are copied wherever it stands."""
+        inner = np.flatnonzero(self.symbols >= self.base)
+        which = self.symbols[inner] - self.base
+        rules = self.expand(np.arange(self.base, self.base + len(self.rules), dtype=np.uint32))
+        starts = np.cumsum(self.lengths, dtype=np.int64) - self.lengths
+        size = np.ones(len(self.symbols), np.int64)
+        size[inner] = self.lengths[which]
+        # An id's place in (rules, symbols): the start of its rule's ids or its symbol's own place, and how far it is behind.
+        source = np.arange(len(rules), len(rules) + len(self.symbols))
+        source[inner] = starts[which]
+        source -= np.cumsum(size) - size
+        place = np.repeat(source, size)
+        place += np.arange(len(place))
+        return np.concatenate([rules, self.symbols])[place]
+
     def document(self, i: int, start: int = 0, stop: int | None = None) -> np.ndarray:
         """Ids ``start`` to ``stop`` of document ``i``; only the symbols that cover them are expanded."""
         begin = int(self.symbol_ends[i - 1]) if i else 0
@@ -166,6 +208,61 @@ class Block:
         return self.expand(symbols[first:final])[start - skip:stop - skip]
 
 
+class _Words(dict):
+    """Ids by word; a word stands for itself behind a space. Words not met before are encoded by the library.
+
+    The byte-level pre-tokenizer cuts runs of letters, of digits and of signs
+    apart, the first one with the space before it, and a single line break
+    between them stands alone. So the ids of a word of plain characters are
+    those of its runs, which words share; a run is read by the library's model.
+    All other words are encoded whole, as are all words of a tokenizer that is
+    set up otherwise or has an added token of plain characters.
+    """
+
+    def __init__(self, tokenizer, most_runs: int = 250_000):
+        super().__init__()
+        self.tokenizer, self.runs, self.most_runs, self.merge = tokenizer, {}, most_runs, tokenizer.model.tokenize
+        set_up = json.loads(tokenizer.to_str())
+        cut, after = set_up["pre_tokenizer"] or {}, set_up["post_processor"] or {"type": "ByteLevel"}
+        self.plain = (
+            set_up["normalizer"] is set_up["truncation"] is set_up["padding"] is None and after["type"] == "ByteLevel"
+            and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut["add_prefix_space"]
+            and set_up["model"].get("type") == "BPE" and not set_up["model"].get("dropout")
+            and not any(re.fullmatch(rf"[{_LETTERS}0-9{_SIGNS}\s]*", t["content"]) for t in set_up["added_tokens"]))
+
+    def ids(self, run: str) -> bytes:
+        signs = "\u0120" + run[1:] if run[0] == " " and run.isascii() else run.encode().decode("latin-1").translate(_BYTE_SIGNS)
+        return array("I", [token.id for token in self.merge(signs)]).tobytes()
+
+    def inner(self, run: str) -> bytes:
+        """Ids of a run behind another one."""
+        data = self.runs.get(run)
+        if data is None:
+            if len(self.runs) >= self.most_runs:
+                self.runs.clear()
+            data = self.runs[run] = self.ids(run)
+        return data
+
+    def __missing__(self, word: str) -> bytes:
+        first = word.rstrip(_ENDS)
+        if self.plain and first.isalpha() and (first.isascii() or max(first) <= "\u00FF"):
+            others = (word[len(first):],) if len(first) < len(word) else ()
+        elif self.plain and _PLAIN.fullmatch(word):
+            first, *others = _RUN.findall(word)
+        else:
+            data = self[word] = array("I", self.tokenizer.encode(" " + word, add_special_tokens=False).ids).tobytes()
+            return data
+        data = self.get(first)
+        rare = data is None
+        if rare:
+            data = self[first] = self.ids(" " + first)
+        if others:
+            data += b"".join(map(self.inner, others))
+            if not rare:  # a word that begins with a new run hardly comes again
+                self[word] = data
+        return data
+
+
 def encode_texts(texts: list[str], path: str, most_known: int = 1_000_000) -> list[bytes]:
     """Ids of whole texts as little-endian uint32 bytes; no special tokens are added, their strings in a text are read as the library does.
 
@@ -179,9 +276,9 @@ def encode_texts(texts: list[str], path: str, most_known: int = 1_000_000) -> li
         from tokenizers import Tokenizer
 
         _tokenizers[path] = Tokenizer.from_file(path)
-    tokenizer = _tokenizers[path]
+        _known[path] = _Words(_tokenizers[path])
+    tokenizer, known = _tokenizers[path], _known[path]
     run = lambda some: [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-    known = _known.setdefault(path, {})
     if len(known) > most_known:
         known.clear()
     out: list[bytes] = []
@@ -190,11 +287,7 @@ def encode_texts(texts: list[str], path: str, most_known: int = 1_000_000) -> li
         pieces = [None if _SPACE_AFTER_SPACE.search(t) else t.split(" ") for t in some]
         whole = iter(run([t for t, p in zip(some, pieces) if p is None]))
         heads = iter(run([p[0] for p in pieces if p is not None]))
-        rest = [p[1:] for p in pieces if p is not None]
-        fresh = list(set().union(*rest).difference(known))
-        known.update(zip(fresh, run([" " + x for x in fresh])))
-        tails = iter(rest)
-        out += [next(whole) if p is None else next(heads) + b"".join(map(known.__getitem__, next(tails))) for p in pieces]
+        out += [next(whole) if p is None else next(heads) + b"".join(map(known.__getitem__, p[1:])) for p in pieces]
     return out
 
 
@@ -254,7 +347,7 @@ def read_documents(stored: DataFrame) -> DataFrame:
         for batch in batches:
             for row in range(batch.num_rows):
                 block, start = Block(batch.column(2)[row].as_py()), batch.column(0)[row].as_py()
-                ids, ends = block.expand(block.symbols), block.ends.astype(np.int64)
+                ids, ends = block.whole(), block.ends.astype(np.int64)
                 begins = np.concatenate([[0], ends[:-1]])
                 crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(begins, ends)]
                 yield pa.RecordBatch.from_arrays([pa.array(batch.column(1)[row].as_py(), pa.int64()), pa.array(start + begins), pa.array(ends - begins), pa.array(crc, pa.int64())], schema=kinds)
