@@ -3,6 +3,7 @@ import threading
 from datetime import datetime
 
 from fixtures import event, frame, random_events
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import functions as F
 from tracemill.operators import anomaly, casework, graph, links, rollups, timeline
 from tracemill.operators.features import feature_windows
@@ -178,6 +179,16 @@ def test_classifier_guards_and_learning(spark):
     assert summary.folds == 2 and abs(summary["mean"] - sum(out.cv_accuracy) / 2) < 1e-12
 
 
+def test_rows_keep_their_nodes_while_a_forest_grows(spark):
+    """The same trees as from a forest that is sent out anew for each group of nodes."""
+    data = classifier.vectors(labelled(spark, {"benign": 40, "compromise": 24, "ransomware_like": 16}))
+    model = classifier.fit(data, trees=6, seed=3)
+    plain = RandomForestClassifier(featuresCol="features", labelCol="y", weightCol="w", numTrees=6, seed=3, maxDepth=classifier.DEPTH,
+                                   maxBins=classifier.BINS, featureSubsetStrategy="sqrt").fit(classifier._weighted(data))
+    assert model.getCacheNodeIds() and model.getNumTrees == 6
+    assert [t.toDebugString.partition("\n")[2] for t in model.trees] == [t.toDebugString.partition("\n")[2] for t in plain.trees]
+
+
 def test_forests_of_an_evaluation_grow_side_by_side(spark, monkeypatch):
     """Each fit waits for another one, so fits one after the other would break the barrier."""
     together, grow = threading.Barrier(2, timeout=60), classifier.fit
