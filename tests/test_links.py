@@ -4,6 +4,7 @@ import pytest
 
 import brute
 from fixtures import event, frame, random_events
+from pyspark.sql import functions as F
 from tracemill.operators import groups as G
 from tracemill.operators import links as L
 from tracemill.schema import LinkParams
@@ -107,3 +108,42 @@ def test_groups_title_severity_and_members(spark):
         ("cross_source", "Cross-source activity group — a", "Low", 2, 1),
     ]
     assert out[0].group_uid == "GRP-000001" and m.count() == 6
+
+
+@pytest.mark.parametrize("seed,step", [(41, 1), (42, 20)])
+def test_links_without_a_limit_and_of_given_openers(spark, seed, step):
+    rows = random_events(seed, span=1500, step=step)
+    ev, p = frame(spark, rows), LinkParams(max_links=None, window_seconds=120)
+    want = {c: v[0] for c, v in brute.links(rows, 120, 10**9).items() if v[0]}
+
+    def listed(found):
+        got = {}
+        for r in found.orderBy("case_id", "link_rank").collect():
+            got.setdefault(r.case_id, []).append((r.link_rank, r.event_a_id, r.event_b_id, r.correlation_type))
+        return got
+
+    numbered = {c: [(i, *x) for i, x in enumerate(v, 1)] for c, v in want.items()}
+    assert listed(L.links(ev, p)) == numbered
+    linked = {(c, x) for c, v in want.items() for a, b, _ in v for x in (a, b)}
+    first = {(c, r["id"]) for c, evs in brute.by(rows, lambda r: r["case_id"]).items() for r in [r for r in evs if (c, r["id"]) in linked][:7]}
+    openers = L.dated_events(ev).select("case_id", "id", "us").filter(F.concat_ws("/", "case_id", "id").isin([f"{c}/{x}" for c, x in first]))
+    assert listed(L.links(ev, p, openers)) == {c: [x for x in v if (c, x[1]) in first] for c, v in numbered.items()}
+
+
+@pytest.mark.parametrize("seed", [51, 52])
+def test_totals_of_all_links_by_case_and_component_also_with_rows_twice(spark, seed):
+    rows = random_events(seed, n=120, span=3000, step=5)
+    rows += rows[:40]
+    ev, p = frame(spark, rows), LinkParams(max_links=None, window_seconds=60)
+    found = L.links(ev, p).select("case_id", "event_a_id", "event_b_id", "correlation_type").collect()
+    totals = {r.case_id: r.links for r in L.link_totals(ev, p).collect() if r.links}
+    assert totals == dict(Counter(r.case_id for r in found))
+    parts = G.session_components(L.dated_events(ev), 60)
+    of = {(r.case_id, r.id): r.component for r in parts.collect()}
+    assert {(r.case_id, x) for r in found for x in (r.event_a_id, r.event_b_id)} == set(of)
+    want = {}
+    for r in found:
+        assert of[r.case_id, r.event_a_id] == of[r.case_id, r.event_b_id]
+        want.setdefault((r.case_id, of[r.case_id, r.event_a_id]), []).append(r.correlation_type)
+    got = {(r.case_id, r.component): (r.link_count, list(r.types)) for r in L.component_links(ev, parts, p).collect()}
+    assert got == {k: (len(v), sorted(set(v))) for k, v in want.items()}
