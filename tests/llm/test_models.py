@@ -1,6 +1,7 @@
 """Token ids, pieces, toxicity, neighbours and the pipeline: round trips, brute force and held-out accuracy."""
 
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -148,6 +149,16 @@ def brute(rows, k=5):
     return out
 
 
+def test_centroids_hold_few_distances_at_once():
+    x = np.random.default_rng(3).normal(size=(20_000, 8))
+    tracemalloc.start()
+    centres = multi_index._centroids(x, 500, 1, steps=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6  # all distances at once take 80 MB, three times
+    assert (multi_index._nearest(x, centres, 999) == multi_index._distances(x, centres).argmin(1)).all()
+
+
 def test_whole_walk_equals_brute_force(vectors):
     from pyspark.sql import functions as F
 
