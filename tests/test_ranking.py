@@ -2,12 +2,14 @@
 
 import random
 
+import fixtures
 import pytest
 from pyspark.sql import functions as F
 
 from tracemill.functions.predicates import uid
-from tracemill.operators import search
+from tracemill.operators import links, ranking, search, timeline
 from tracemill.operators.ranking import first_or_all, order_index
+from tracemill.schema import ViewParams
 
 
 @pytest.fixture(scope="module")
@@ -70,3 +72,17 @@ def test_filtered_pages(spark):
 def test_long_numbers_keep_their_digits(spark):
     got = spark.createDataFrame([(7,), (999_999,), (1_234_567,)], "n long").select(uid("EVT-", F.col("n")).alias("u")).collect()
     assert [r.u for r in got] == ["EVT-000007", "EVT-999999", "EVT-1234567"]
+
+
+def test_a_complete_timeline_is_not_stored_twice_nor_with_columns_it_does_not_show(spark, monkeypatch):
+    ev = fixtures.frame(spark, fixtures.random_events(61, n=80))
+    none = spark.createDataFrame([], "case_id string, id long, kind string, finding_uid string")
+    found = spark.createDataFrame([], "case_id string, finding_uid string, rule_id string, title string, severity string, anchor_score double")
+    lk = links.links(ev)
+    want = timeline.timeline(ev, found, none, lk).entries.orderBy("case_id", "position").collect()
+    stored, again, store, check = [], [], timeline.parquet_stage, ranking.reliable_checkpoint
+    monkeypatch.setattr(timeline, "parquet_stage", lambda df: stored.append(df.columns) or store(df))
+    monkeypatch.setattr(ranking, "reliable_checkpoint", lambda df: again.append(df.columns) or check(df))
+    got = timeline.timeline(ev, found, none, lk, ViewParams(timeline_max=None)).entries.orderBy("case_id", "position").collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in want] and len(got) > 40
+    assert not again and "metadata" not in stored[0] and len(stored) == 1
